@@ -59,12 +59,26 @@ def part_graph(spark: SparkSession, sf_dir: str) -> LinkGraph:
     return LinkGraph(pages=pages, links=links)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (regex splits over whole texts) every core.
+
+    A scan yields one task per file split; a crawl-sized input already has far
+    more splits than cores and is returned unchanged. Only when the scan has
+    fewer partitions than the default parallelism (a small input in a few
+    large row groups) are the rows spread round-robin.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text documents ``(url, text)`` keyed by ``doc_id``."""
-    return read_table(spark, sf_dir, "documents", "doc_id", "text").select(
-        F.col("doc_id").alias("url"), "text")
+    return spread(read_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.col("doc_id").alias("url"), "text"))
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages ``(page_id, url, html)``."""
-    return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return spread(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
