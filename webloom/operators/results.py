@@ -83,7 +83,7 @@ def pick_seeds(found: DataFrame, n_seeds: int) -> DataFrame:
     """
     top = best_pages(found, n_seeds)
     w = Window.orderBy(F.desc("rank"), F.asc("url"))
-    return top.select((F.row_number().over(w) - 1).alias("seed_idx"), "url", "rank",
+    return top.select((F.row_number().over(w) - 1).cast("long").alias("seed_idx"), "url", "rank",
                       "total_links")
 
 

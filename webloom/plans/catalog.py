@@ -230,3 +230,122 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_prefix": page_prefix,
     "event_key": event_key,
 }
+
+
+# ------------------------------------------------------------ added families
+
+from webloom.operators import cluster as CL  # noqa: E402
+from webloom.operators import paging as PA  # noqa: E402
+from webloom.plans import batch_search as BS  # noqa: E402
+from webloom.plans import production as PR  # noqa: E402
+from webloom.sources import readers as RD  # noqa: E402
+from webloom.sources import sinks as SK  # noqa: E402
+
+# fixed values: the archive-path layout used to derive index lines from `pages`
+ARCHIVE_DIRS = 10
+
+
+def index_lines_from_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl-index lines ``<host> <page_id> {"url": ..., "filename": ...}`` derived
+    from every row of ``pages``; the archive file is chosen by page id."""
+    p = TB.read_table(spark, sf, "pages", "page_id", "url")
+    fname = F.concat(F.lit("crawl/segment-"), (F.col("page_id") % ARCHIVE_DIRS).cast("string"),
+                     F.lit("/warc/part-"), (F.col("page_id") % ARCHIVE_DIRS).cast("string"),
+                     F.lit(".warc.gz"))
+    line = F.concat(U.host(F.col("url")), F.lit(" "), F.col("page_id").cast("string"),
+                    F.lit(' {"url": "'), F.col("url"), F.lit('", "filename": "'), fname,
+                    F.lit('"}'))
+    return p.select(line.alias("value"))
+
+
+def index_records(spark: SparkSession, sf: str) -> DataFrame:
+    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    return idx.select("urlkey", "url", "filename", "valid",
+                      U.text_archive_path(F.col("filename")).alias("text_path"),
+                      U.meta_archive_path(F.col("filename")).alias("meta_path"))
+
+
+def index_archive_paths(spark: SparkSession, sf: str) -> DataFrame:
+    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    return PR.archive_paths(idx, DOMAIN_PATTERN)
+
+
+def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    paths = PR.archive_paths(idx)
+    # Records that arrived: pages of the .net domain, attributed to their archive.
+    arrived = PG.match_url(idx, DOMAIN_PATTERN).select(F.col("filename").alias("source_file"))
+    return SK.ingest_manifest(paths, arrived)
+
+
+def index_page(spark: SparkSession, sf: str) -> DataFrame:
+    p = TB.read_table(spark, sf, "pages", "page_id", "url")
+    return PA.index_page(p, PAGE_NO, PAGE_SIZE, "url", "page_id")
+
+
+def index_page_count(spark: SparkSession, sf: str) -> DataFrame:
+    return PA.page_count(TB.read_table(spark, sf, "pages", "page_id"), PAGE_SIZE)
+
+
+def _batch_queries(spark, sf):
+    """One query per distinct part name (e.g. 'red widget')."""
+    return (TB.read_table(spark, sf, "part", "p_name").select(F.col("p_name").alias("q"))
+            .distinct().select(F.col("q").alias("query_id"), "q"))
+
+
+def batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf))
+
+
+def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    return BS.batch_tables(BS.batch_search(S.build_index(g.pages), ranked,
+                                           _batch_queries(spark, sf)))
+
+
+def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked store after round 1, updated with the round-2 ranking."""
+    g = _graph(spark, sf)
+    old = G.ranked_pages(g, G.pagerank(g, 1)).select("url", _r6("rank"))
+    new = G.ranked_pages(g, G.pagerank(g, 2)).select("url", _r6("rank"))
+    return SK.upsert(old, new, "url")
+
+
+def _analysis_rows(spark, sf):
+    g = _graph(spark, sf)
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf)).select(
+        "url", "rank", "total_links").distinct()
+
+
+def scatter_points(spark: SparkSession, sf: str) -> DataFrame:
+    return CL.scatter_points(_analysis_rows(spark, sf)).select(
+        "url", "total_links", "rank", _r6("log_rank"))
+
+
+def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _analysis_rows(spark, sf)
+    return CL.assign(rows, CL.fit(rows))
+
+
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _analysis_rows(spark, sf)
+    return CL.centroids(CL.assign(rows, CL.fit(rows)))
+
+
+QUERIES.update({
+    "index_records": index_records,
+    "index_archive_paths": index_archive_paths,
+    "ingest_manifest": ingest_manifest,
+    "index_page": index_page,
+    "index_page_count": index_page_count,
+    "batch_search": batch_search,
+    "batch_tables": batch_tables,
+    "upsert_ranks": upsert_ranks,
+    "scatter_points": scatter_points,
+    "cluster_labels": cluster_labels,
+    "cluster_centroids": cluster_centroids,
+})

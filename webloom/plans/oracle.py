@@ -172,3 +172,80 @@ WHERE lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) = '
     "page_prefix": f"SELECT page_id, url FROM pages WHERE starts_with(url, '{C.PREFIX_PATTERN}')",
     "event_key": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
 }
+
+
+def _r6(x: str) -> str:
+    return f"floor(round({x}, 9) * 1000000 + 0.5) / 1000000"
+
+
+HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
+
+INDEX_LINES = f"""WITH l AS (
+  SELECT {HOST_SQL} || ' ' || CAST(page_id AS VARCHAR) || ' {{"url": "' || url
+         || '", "filename": "crawl/segment-' || CAST(page_id % 10 AS VARCHAR) || '/warc/part-'
+         || CAST(page_id % 10 AS VARCHAR) || '.warc.gz"}}' AS value
+  FROM pages),
+p AS (SELECT split_part(value, ' ', 1) AS urlkey,
+             json_extract_string(regexp_extract(value, '\\{{.*', 0), '$.url') AS url,
+             json_extract_string(regexp_extract(value, '\\{{.*', 0), '$.filename') AS filename
+      FROM l),
+idx AS (SELECT urlkey, url, filename, filename IS NOT NULL AS valid,
+               replace(replace(filename, '/warc/', '/wet/'), 'warc.gz', 'warc.wet.gz') AS text_path,
+               replace(replace(filename, '/warc/', '/wat/'), 'warc.gz', 'warc.wat.gz') AS meta_path
+        FROM p),
+dom AS (SELECT * FROM idx WHERE valid AND
+          (lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) = 'example.net'
+           OR ends_with(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)),
+                        '.example.net')))"""
+
+BATCH = _with(P_BASE, _rounds(1), RANKED, _index("pg", "url", "text"), f"""
+dl AS (SELECT url, sum(tf) AS dl FROM idx GROUP BY url),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+qs AS (SELECT DISTINCT p_name AS query_id FROM part),
+qt AS (SELECT DISTINCT query_id, term FROM
+         (SELECT query_id, unnest(regexp_split_to_array(lower(query_id), '{TOKEN}')) AS term FROM qs)
+       WHERE term <> ''),
+tp AS (SELECT * FROM idx WHERE term IN (SELECT term FROM qt)),
+dft AS (SELECT term, count(*) AS df FROM tp GROUP BY term),
+sc AS (SELECT qt.query_id, tp.url,
+              sum(ln(1.0 + (CAST(st.n - dft.df AS DOUBLE) + 0.5) / (CAST(dft.df AS DOUBLE) + 0.5))
+                  * tp.tf * 2.2 / (tp.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score
+       FROM tp JOIN dft ON tp.term = dft.term JOIN qt ON tp.term = qt.term
+            JOIN dl ON tp.url = dl.url, st
+       GROUP BY qt.query_id, tp.url),
+fh AS (SELECT query_id, url FROM
+         (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS r
+          FROM sc) WHERE r <= 10000),
+found AS (SELECT fh.query_id, rk.url, {_r6('rk.rank')} AS rank, rk.total_links
+          FROM fh JOIN rk ON fh.url = rk.url WHERE {_r6('rk.rank')} > 2.0),
+arows AS (SELECT DISTINCT url, rank, total_links FROM found)""")
+
+SQL.update({
+    "index_records": INDEX_LINES
+    + " SELECT urlkey, url, filename, valid, text_path, meta_path FROM idx",
+    "index_archive_paths": INDEX_LINES
+    + " SELECT DISTINCT filename AS path, text_path, meta_path FROM dom",
+    "ingest_manifest": INDEX_LINES + """,
+paths AS (SELECT DISTINCT filename AS source_file FROM idx WHERE valid),
+cnt AS (SELECT filename AS source_file, count(*) AS n FROM dom GROUP BY filename)
+SELECT paths.source_file,
+       CASE WHEN coalesce(cnt.n, 0) > 0 THEN 'uploaded' ELSE 'NOTuploaded' END AS status,
+       coalesce(cnt.n, 0) AS n_records
+FROM paths LEFT JOIN cnt ON paths.source_file = cnt.source_file""",
+    "index_page": f"""SELECT page_id, url, row_idx FROM
+  (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages)
+WHERE row_idx >= {C.PAGE_NO * C.PAGE_SIZE} AND row_idx < {(C.PAGE_NO + 1) * C.PAGE_SIZE}""",
+    "index_page_count": f"""SELECT count(*) AS n_rows,
+       CAST(ceil(count(*) / {float(C.PAGE_SIZE)}) AS BIGINT) AS n_pages FROM pages""",
+    "batch_search": BATCH + " SELECT query_id, url, rank, total_links FROM found",
+    "batch_tables": BATCH + """ SELECT query_id, url, rank, total_links FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, url) AS r FROM found)
+WHERE r <= 100""",
+    "upsert_ranks": _with(P_BASE, _rounds(2), f"""
+o AS (SELECT r1.url, {_r6('r1.rank')} AS rank FROM r1 JOIN pg ON r1.url = pg.url),
+n AS (SELECT r2.url, {_r6('r2.rank')} AS rank FROM r2 JOIN pg ON r2.url = pg.url)""")
+    + " SELECT url, rank FROM o WHERE url NOT IN (SELECT url FROM n)"
+      " UNION ALL SELECT url, rank FROM n",
+    "scatter_points": BATCH + f""" SELECT url, total_links, rank, {_r6('log10(rank)')} AS log_rank
+FROM arows WHERE total_links BETWEEN 2 AND 500 AND rank BETWEEN 2 AND 500""",
+})
