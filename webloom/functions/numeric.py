@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def report_round(x: str | Column, places: int = 6) -> Column:
-    """Round half up to ``places`` with the same IEEE result on any engine.
+    """Round to ``places`` with the same IEEE result on any engine.
 
     Last-bit noise from summation order is snapped first (``places + 3``), then
     ``floor(v * 10^p + 0.5) / 10^p`` is used instead of ``round``: engines

@@ -21,8 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.constants import (CHECKPOINT_EVERY, DAMPING, DEFAULT_ROUNDS, INITIAL_RANK,
-                               TELEPORT)
+from webloom.constants import (CHECKPOINT_EVERY, DAMPING, DEFAULT_ROUNDS, HOT_MAX_KEYS,
+                               HOT_MIN_ROWS, INITIAL_RANK, TELEPORT)
 from webloom.functions.numeric import report_round
 from webloom.operators.skew import hot_keys, split_by_keys
 from webloom.session import ensure_checkpoint_dir
@@ -85,7 +85,8 @@ def out_degree(links: DataFrame) -> DataFrame:
                                     F.count(F.lit(1)).alias("n_targets"))
 
 
-def build_edges(links: DataFrame) -> Edges:
+def build_edges(links: DataFrame, hot_max_keys: int = HOT_MAX_KEYS,
+                hot_min_rows: int = HOT_MIN_ROWS) -> Edges:
     """Pre-aggregate the long link table once into weighted, skew-split edges.
 
     ``(src, dst)`` pairs are counted (partial aggregate), then each pair is
@@ -96,7 +97,7 @@ def build_edges(links: DataFrame) -> Edges:
              .agg(F.count(F.lit(1)).alias("mult")))
     degree = pairs.groupBy("src").agg(F.sum("mult").alias("out_degree"),
                                       F.count(F.lit(1)).alias("n_targets"))
-    hot = hot_keys(degree, "src", "n_targets")
+    hot = hot_keys(degree, "src", "n_targets", hot_max_keys, hot_min_rows)
     pairs_hot, pairs_cold = split_by_keys(pairs, "src", hot, "src")
     degree_hot, _ = split_by_keys(degree, "src", hot, "src")
     w = (F.col("mult") / F.col("out_degree")).alias("w")
