@@ -169,3 +169,14 @@ def top_ranks(ranks: DataFrame, n: int, decimals: int = 6) -> DataFrame:
     r = report_round("rank", decimals)
     return (ranks.select("url", r.alias("rank"))
             .orderBy(F.desc("rank"), F.asc("url")).limit(n))
+
+
+def slice_keys(ranked: DataFrame) -> DataFrame:
+    """Distinct link counts of the ranked table (the rank-slice partition keys)."""
+    return ranked.select("total_links").distinct()
+
+
+def rank_slice(ranked: DataFrame, n_links: int) -> DataFrame:
+    """One link-count slice in rank order (ties by url)."""
+    return (ranked.filter(F.col("total_links") == n_links)
+            .orderBy(F.desc("rank"), F.asc("url")))

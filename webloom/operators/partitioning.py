@@ -1,0 +1,21 @@
+"""Physical verbs users call: hash partitioning by key, persistence and release."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+
+def partition_by_key(df: DataFrame, key: str = "url", n: int | None = None) -> DataFrame:
+    """Hash-partition by ``key`` (``n`` partitions, default: the session's shuffle
+    partitions, which AQE may coalesce)."""
+    return df.repartition(n, key) if n else df.repartition(key)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist in memory, spilling to disk; lost blocks are recomputed from lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame) -> None:
+    df.unpersist()

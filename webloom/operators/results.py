@@ -180,3 +180,8 @@ def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "nodes", F.transform("_e", lambda x: F.struct(
             x["source"].alias("source"), x["target"].alias("target"),
             x["value"].alias("value"))).alias("links"))
+
+
+def text_with_ranks(text_pages: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Text pages joined with their ranks on url (both one row per url)."""
+    return text_pages.join(ranked, "url")

@@ -127,20 +127,20 @@ def hit_share_graph(spark: SparkSession, sf: str) -> DataFrame:
 def text_with_ranks(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
-    return g.pages.join(ranked, "url").select("url", _r6("rank"),
-                                              F.length("text").alias("n_chars"))
+    return R.text_with_ranks(g.pages, ranked).select("url", _r6("rank"),
+                                                     F.length("text").alias("n_chars"))
 
 
 def rank_slice_keys(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    return G.ranked_pages(g, G.pagerank(g, 1)).select("total_links").distinct()
+    return G.slice_keys(G.ranked_pages(g, G.pagerank(g, 1)))
 
 
 def rank_slice(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
-    return (ranked.filter(F.col("total_links") == SLICE_LINKS)
-            .select("url", _r6("rank")).orderBy(F.desc("rank"), "url"))
+    return G.rank_slice(ranked.select("url", _r6("rank"), "total_links"),
+                        SLICE_LINKS).select("url", "rank")
 
 
 # ------------------------------------------------------------ documents
@@ -278,6 +278,11 @@ def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return SK.ingest_manifest(paths, arrived)
 
 
+def records_per_file(spark: SparkSession, sf: str) -> DataFrame:
+    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    return SK.records_per_file(idx.filter("valid").select(F.col("filename").alias("source_file")))
+
+
 def index_page(spark: SparkSession, sf: str) -> DataFrame:
     p = TB.read_table(spark, sf, "pages", "page_id", "url")
     return PA.index_page(p, PAGE_NO, PAGE_SIZE, "url", "page_id")
@@ -340,6 +345,7 @@ QUERIES.update({
     "index_records": index_records,
     "index_archive_paths": index_archive_paths,
     "ingest_manifest": ingest_manifest,
+    "records_per_file": records_per_file,
     "index_page": index_page,
     "index_page_count": index_page_count,
     "batch_search": batch_search,

@@ -232,6 +232,8 @@ SELECT paths.source_file,
        CASE WHEN coalesce(cnt.n, 0) > 0 THEN 'uploaded' ELSE 'NOTuploaded' END AS status,
        coalesce(cnt.n, 0) AS n_records
 FROM paths LEFT JOIN cnt ON paths.source_file = cnt.source_file""",
+    "records_per_file": INDEX_LINES
+    + " SELECT filename AS source_file, count(*) AS n_records FROM idx WHERE valid GROUP BY filename",
     "index_page": f"""SELECT page_id, url, row_idx FROM
   (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages)
 WHERE row_idx >= {C.PAGE_NO * C.PAGE_SIZE} AND row_idx < {(C.PAGE_NO + 1) * C.PAGE_SIZE}""",

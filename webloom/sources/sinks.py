@@ -102,3 +102,9 @@ def ingest_manifest(paths: DataFrame, records: DataFrame,
     return j.select("source_file",
                     F.when(n > 0, F.lit(STATUS_LOADED)).otherwise(F.lit(STATUS_MISSING))
                     .alias("status"), n.alias("n_records"))
+
+
+def records_per_file(records: DataFrame, source_col: str = "source_file") -> DataFrame:
+    """Records produced per source file ``(source_file, n_records)``."""
+    return records.groupBy(F.col(source_col).alias("source_file")).agg(
+        F.count(F.lit(1)).alias("n_records"))
