@@ -52,10 +52,19 @@ def build_index(docs: DataFrame, url: str = "url", text: str = "text") -> DataFr
 
 
 def doc_lengths(index: DataFrame) -> DataFrame:
-    """``(url, dl)``: tokens per document."""
+    """``(url, dl)``: tokens per document, from the postings."""
     return index.groupBy("url").agg(F.sum("tf").alias("dl"))
 
 
+def text_lengths(docs: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """``(url, dl)`` straight from the documents: a narrow map, no shuffle.
+
+    Documents without any token are left out, as they are from the postings.
+    """
+    return (docs.select(F.col(url).alias("url"), F.size(tokens(F.col(text))).alias("dl"))
+            .filter(F.col("dl") > 0).select("url", F.col("dl").cast("long").alias("dl")))
+
+
 def write_index(index: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
     """Persist postings partitioned by term bucket, sorted by term within files."""
     (index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))

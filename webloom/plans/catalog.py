@@ -82,7 +82,7 @@ def _request(spark, sf):
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
     return search_request(S.build_index(g.pages), ranked, g.links, GRAPH_QUERY,
-                          budget=GRAPH_BUDGET)
+                          budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
 
 
 def search_analysis(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +168,9 @@ def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return S.score(S.build_index(_docs(spark, sf)), DOC_QUERY).select("url", _r6("score"))
+    d = _docs(spark, sf)
+    return S.score(S.build_index(d), DOC_QUERY, lengths=S.text_lengths(d)).select(
+        "url", _r6("score"))
 
 
 def doc_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +303,8 @@ def _batch_queries(spark, sf):
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
-    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf))
+    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
+                           lengths=S.text_lengths(g.pages))
 
 
 def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
