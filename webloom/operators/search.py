@@ -67,23 +67,16 @@ def text_lengths(docs: DataFrame, url: str = "url", text: str = "text") -> DataF
 
 def write_index(index: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
     """Persist postings partitioned by term bucket, sorted by term within files."""
-    (index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-     .repartition("bucket").sortWithinPartitions("term", "url")
-     .write.mode(mode).partitionBy("bucket").parquet(path))
+    from webloom.sources.keyed import write_keyed
+    write_keyed(index, path, "term", buckets, mode)
 
 
 def read_index(spark, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Read postings; with ``terms`` only their buckets (partition pruning)."""
-    idx = spark.read.parquet(path)
-    if terms is not None:
-        bks = sorted({_bucket(t, buckets, spark) for t in terms})
-        idx = idx.filter(F.col("bucket").isin(bks) & F.col("term").isin(terms))
-    return idx.select("term", "url", "tf")
-
-
-def _bucket(term: str, buckets: int, spark) -> int:
-    # Same hash as the writer, evaluated by Spark on one literal row.
-    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(term)), F.lit(buckets))).first()[0]
+    """Read postings; with ``terms`` only their buckets and row groups."""
+    from webloom.sources.keyed import BUCKET, read_keyed
+    if terms is None:
+        return spark.read.parquet(path).drop(BUCKET)
+    return read_keyed(spark, path, "term", list(terms), buckets)
 
 
 def postings(index: DataFrame, q: str | list[str]) -> DataFrame:
