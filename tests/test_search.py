@@ -29,10 +29,11 @@ def test_or_and(spark):
 
 def test_phrase(spark):
     d = _docs(spark)
-    got = {r["url"] for r in S.search_phrase(S.build_index(d), d, "Red Widget").collect()}
+    got = {r["url"] for r in S.search_phrase(d, "Red Widget").collect()}
     assert got == {2, 4}
-    got = {r["url"] for r in S.search_phrase(S.build_index(d), d, "widget red").collect()}
-    assert got == set()
+    assert {r["url"] for r in S.search_phrase(d, "widget red").collect()} == set()
+    assert {r["url"] for r in S.search_phrase(d, "the red").collect()} == {2}
+    assert S.search_phrase(d, "  ").count() == 0
 
 
 def test_bm25_matches_hand_formula(spark):

@@ -16,6 +16,8 @@ targets get a rank too.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +122,17 @@ def contributions(edges: Edges, ranks: DataFrame) -> DataFrame:
             .select("dst", (F.col("rank") * F.col("w")).alias("contrib")))
 
 
+def bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed and sorted by ``key`` below the
+    shared checkpoint directory and return it (lineage cut, co-partitioned)."""
+    spark = df.sparkSession
+    name = f"webloom_{prefix}_{uuid.uuid4().hex[:12]}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def damp(received: Column, damping: float = DAMPING, teleport: float = TELEPORT) -> Column:
     """New rank from received contributions."""
     return F.lit(teleport) + F.lit(damping) * received
@@ -138,6 +151,16 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
     if rounds < 0:
         raise ValueError("rounds must be >= 0")
     edges = edges or build_edges(graph.links)
+    if checkpoint_every and rounds > checkpoint_every:
+        # Several lineage cuts ahead: write the edges once, so no segment
+        # rebuilds them. Cold edges become a table bucketed and sorted by src,
+        # so every round's join shuffles only the ranks, never the edges.
+        spark = graph.links.sparkSession
+        ensure_checkpoint_dir(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"),
+                      hot=edges.hot.checkpoint(eager=True),
+                      hot_src=edges.hot_src.checkpoint(eager=True))
     ranks = graph.pages.select(F.col("url").alias("src"),
                                F.lit(INITIAL_RANK).cast("double").alias("rank"))
     for i in range(rounds):

@@ -163,8 +163,7 @@ def doc_search_and(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf)
-    return S.search_phrase(S.build_index(d), d, DOC_PHRASE)
+    return S.search_phrase(_docs(spark, sf), DOC_PHRASE)
 
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
