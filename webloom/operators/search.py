@@ -130,9 +130,10 @@ def score(index: DataFrame, q: str, k1: float = BM25_K1, b: float = BM25_B,
     """
     terms = query_terms(q)
     lengths = lengths if lengths is not None else doc_lengths(index)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
+    # One scalar subquery for both corpus statistics (one pass over lengths).
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                 F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = stats["n"], stats["avgdl"]
     p = postings(index, terms)
     df_t = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))

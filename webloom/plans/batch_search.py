@@ -39,9 +39,10 @@ def batch_scores(index: DataFrame, queries: DataFrame, k1: float = BM25_K1,
                  b: float = BM25_B, lengths: DataFrame | None = None) -> DataFrame:
     """BM25 ``(query_id, url, score)`` for every query of the batch (OR semantics)."""
     lengths = lengths if lengths is not None else S.doc_lengths(index)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
+    # One scalar subquery for both corpus statistics (one pass over lengths).
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                 F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = stats["n"], stats["avgdl"]
     qt = query_terms(queries)
     terms = qt.select("term").distinct()
     p = index.join(terms, "term", "left_semi")
