@@ -150,6 +150,16 @@ def match_all(docs: DataFrame) -> DataFrame:
     return docs.select("url")
 
 
+def document_count(docs: DataFrame) -> DataFrame:
+    """One row ``(n_docs)``: every stored document."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def corpus_size(index: DataFrame, base_term: str = BASE_TERM) -> DataFrame:
+    """One row ``(hits)``: documents holding the base term (the percentage base)."""
+    return hit_count(index, base_term)
+
+
 def hit_count(index: DataFrame, q: str) -> DataFrame:
     """One row ``(hits)``: documents matching ``q`` (OR)."""
     return search(index, q).agg(F.count(F.lit(1)).alias("hits"))

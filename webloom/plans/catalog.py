@@ -14,14 +14,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import urls as U
+from webloom.functions.numeric import report_round
+from webloom.operators import cluster as CL
 from webloom.operators import graph as G
 from webloom.operators import pages as PG
+from webloom.operators import paging as PA
 from webloom.operators import results as R
 from webloom.operators import search as S
+from webloom.plans import batch_search as BS
+from webloom.plans import production as PR
 from webloom.plans.search_request import search_request
+from webloom.sources import readers as RD
+from webloom.sources import sinks as SK
 from webloom.sources import tables as TB
-from webloom.functions import urls as U
-from webloom.functions.numeric import report_round
 
 # Parameters of the registered queries.
 GRAPH_QUERY = "widget"       # search term on graph P
@@ -29,6 +35,7 @@ GRAPH_BASE_TERM = "brand"    # every graph-P page holds it: the percentage base
 GRAPH_BUDGET = 1000          # node budget -> 100 seeds
 DOC_QUERY = "with this"      # keyword query on documents
 DOC_PHRASE = "of the"
+DOC_BASE_TERM = "the"        # percentage base on documents
 TOP_N = 10
 SLICE_LINKS = 30
 DOMAIN_PATTERN = "*.example.net"
@@ -233,14 +240,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-# ------------------------------------------------------------ added families
+# ------------------------------------------------------------ index, paging, batches
 
-from webloom.operators import cluster as CL  # noqa: E402
-from webloom.operators import paging as PA  # noqa: E402
-from webloom.plans import batch_search as BS  # noqa: E402
-from webloom.plans import production as PR  # noqa: E402
-from webloom.sources import readers as RD  # noqa: E402
-from webloom.sources import sinks as SK  # noqa: E402
 
 # fixed values: the archive-path layout used to derive index lines from `pages`
 ARCHIVE_DIRS = 10
@@ -343,7 +344,25 @@ def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return CL.centroids(CL.assign(rows, CL.fit(rows)))
 
 
+def page_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose url differs only in query or fragment are captures of one
+    url; keep one per url (largest link list, then smallest page id)."""
+    p = TB.web_pages(spark, sf)
+    caps = PG.page_links(p).select(
+        F.regexp_replace("url", r"[?#].*$", "").alias("url"), "links",
+        F.lpad(F.col("page_id").cast("string"), 20, "0").alias("source_file"))
+    one = G.one_capture_per_url(caps, "source_file")
+    return one.select("url", F.col("source_file").cast("long").alias("page_id"),
+                      F.size("links").alias("n_links"))
+
+
+def doc_hit_share(spark: SparkSession, sf: str) -> DataFrame:
+    return S.hit_share(S.build_index(_docs(spark, sf)), DOC_PHRASE, DOC_BASE_TERM)
+
+
 QUERIES.update({
+    "page_captures": page_captures,
+    "doc_hit_share": doc_hit_share,
     "index_records": index_records,
     "index_archive_paths": index_archive_paths,
     "ingest_manifest": ingest_manifest,

@@ -221,6 +221,21 @@ found AS (SELECT fh.query_id, rk.url, {_r6('rk.rank')} AS rank, rk.total_links
 arows AS (SELECT DISTINCT url, rank, total_links FROM found)""")
 
 SQL.update({
+    "page_captures": r"""WITH a AS (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url,
+         len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1),
+                         lambda x: starts_with(x, '/'))) AS n_links
+  FROM pages)
+SELECT url, arg_min(page_id, (-n_links, page_id)) AS page_id,
+       CAST(max(n_links) AS INTEGER) AS n_links
+FROM a GROUP BY url""",
+    "doc_hit_share": DOC_INDEX + f""",
+h AS (SELECT count(DISTINCT url) AS hits FROM idx WHERE term IN ({_terms(C.DOC_PHRASE)})),
+b AS (SELECT count(DISTINCT url) AS base_hits FROM idx WHERE term IN ({_terms(C.DOC_BASE_TERM)}))
+SELECT hits, base_hits, 100.0 * hits / base_hits AS pct,
+       '"{C.DOC_PHRASE}" in ' || substr(CAST(100.0 * hits / base_hits AS VARCHAR), 1, 5)
+       || '% of pages' AS caption
+FROM h, b""",
     "index_records": INDEX_LINES
     + " SELECT urlkey, url, filename, valid, text_path, meta_path FROM idx",
     "index_archive_paths": INDEX_LINES

@@ -53,6 +53,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "url",
     return kept.unionByName(new.select(*existing.columns))
 
 
+def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Text documents ``(url, plaintext)``: a later write of a url replaces it."""
+    return upsert(existing, incoming, "url")
+
+
+def upsert_ranked(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Ranked pages ``(url, rank, ...)``: the new ranking of a url replaces it."""
+    return upsert(existing, incoming, "url")
+
+
 def save_ranked_table(df: DataFrame, table: str, buckets: int = 64,
                       mode: str = "overwrite") -> None:
     """Key-value table of ranked pages: bucketed and sorted by url, so a later
