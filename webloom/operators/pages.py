@@ -52,7 +52,7 @@ def distinct_page_links(pages: DataFrame, key: str = "page_id", html: str = "htm
     with the position of its first appearance (0-based)."""
     arr = page_links(pages.select(key, "url", html), html, prefix)
     return (arr.select(key, F.posexplode("links").alias("pos", "link"))
-            .groupBy(key, "link").agg(F.min("pos").alias("first_pos")))
+            .groupBy(key, "link").agg(F.min("pos").cast("long").alias("first_pos")))
 
 
 def with_links(link_pages: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def text_with_ranks(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
     return R.text_with_ranks(g.pages, ranked).select("url", _r6("rank"),
-                                                     F.length("text").alias("n_chars"))
+                                                     F.length("text").cast("long").alias("n_chars"))
 
 
 def rank_slice_keys(spark: SparkSession, sf: str) -> DataFrame:
