@@ -17,6 +17,7 @@ point at crawled pages, so a link graph is derived from ``part`` and
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,18 +60,33 @@ def part_graph(spark: SparkSession, sf_dir: str) -> LinkGraph:
     return LinkGraph(pages=pages, links=links)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (regex splits over whole texts) every core.
+def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
+    """Give CPU-heavy per-row work (regex splits over whole texts) enough tasks.
 
-    A scan yields one task per file split; a crawl-sized input already has far
-    more splits than cores and is returned unchanged. Only when the scan has
-    fewer partitions than the default parallelism (a small input in a few
-    large row groups) are the rows spread round-robin.
+    A scan yields one task per file split; a crawl-sized input already has at
+    least as many splits as cores and is returned unchanged (without listing
+    anything). Only a scan narrower than the cluster is spread round-robin,
+    to about one task per ``bytes_per_task`` of (compressed) input, never more tasks
+    than cores.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    sc = df.sparkSession.sparkContext
+    current = df.rdd.getNumPartitions()
+    if current >= sc.defaultParallelism:
+        return df
+    target = min(sc.defaultParallelism,
+                 max(current, math.ceil(_input_bytes(df) / bytes_per_task)))
+    return df.repartition(target) if target > current else df
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Total size of the (few) files behind a narrow scan."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
