@@ -17,7 +17,7 @@ from webloom.plans import catalog as C  # noqa: E402
 from webloom.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "pagerank_r1", "pagerank_r3", "ranked_pages", "top_ranks", "graph_nodes", "graph_edges",
+    "pagerank_r1", "pagerank_r3", "pagerank_r10", "ranked_pages", "top_ranks", "graph_nodes", "graph_edges",
     "search_table", "doc_index", "doc_bm25", "doc_phrase", "doc_search_and", "page_text",
     "page_links", "batch_search",
 ]

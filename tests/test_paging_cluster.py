@@ -37,3 +37,16 @@ def test_scatter_points_range(spark):
                                  "url string, rank double, total_links long")
     got = [(r.url, round(r.log_rank, 6)) for r in CL.scatter_points(rows).collect()]
     assert got == [("a", 0.39794)]
+
+
+def test_clustering_job_on_saved_files(spark, tmp_path):
+    import json
+    from webloom.plans import clustering
+    rows = [{"url": f"u{i}", "rank": 2.0 + (i % 5) * 40 + i * 0.01, "total_links": 10 + (i % 4) * 100}
+            for i in range(40)]
+    (tmp_path / "analysis_data_a.json").write_text(json.dumps(rows[:25]))
+    (tmp_path / "analysis_data_b.json").write_text(json.dumps(rows[25:]))
+    (tmp_path / "other.json").write_text(json.dumps(rows))
+    c = clustering.run(spark, str(tmp_path), str(tmp_path / "out"))
+    assert c.labelled.count() == 40
+    assert spark.read.parquet(str(tmp_path / "out/centroids")).count() == 4

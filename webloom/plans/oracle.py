@@ -107,6 +107,8 @@ NON_ASCII = r"[^\x00-\x7F]"
 SQL: dict[str, str] = {
     "pagerank_r1": _with(P_BASE, _rounds(1)) + " SELECT url, floor(round(rank, 9) * 1000000 + 0.5) / 1000000 AS rank FROM r1",
     "pagerank_r3": _with(P_BASE, _rounds(3)) + " SELECT url, floor(round(rank, 9) * 1000000 + 0.5) / 1000000 AS rank FROM r3",
+    "pagerank_r10": _with(P_BASE, _rounds(10))
+    + " SELECT url, floor(round(rank, 9) * 1000000 + 0.5) / 1000000 AS rank FROM r10",
     "ranked_pages": _with(P_BASE, _rounds(1), RANKED)
     + " SELECT url, floor(round(rank, 9) * 1000000 + 0.5) / 1000000 AS rank, total_links FROM rk",
     "top_ranks": _with(P_BASE, _rounds(1))
