@@ -37,6 +37,18 @@ def test_graph_document_shape(spark, mini_graph):
     assert doc["links"][0]["value"] == 1
 
 
+def test_written_document_keeps_null_fields(spark, mini_graph, tmp_path):
+    import json
+    from webloom.sources.sinks import write_graph
+    write_graph(_request(spark, mini_graph).document(), str(tmp_path / "g"))
+    doc = json.loads(spark.read.text(str(tmp_path / "g")).first().value)
+    assert doc["nodes"][0] == {"name": "C", "group": 0, "rank": 1.765, "total_links": 2}
+    assert doc["nodes"][2] == {"name": "A", "group": 19, "rank": None, "total_links": None}
+    assert doc["links"][:3] == [{"source": 0, "target": 0, "value": 1},
+                                {"source": 0, "target": 1, "value": 1},
+                                {"source": 2, "target": 0, "value": 4}]
+
+
 def test_no_seeds_gives_empty_graph(spark, mini_graph):
     res = _request(spark, mini_graph, cutoff=100.0)
     doc = res.document().first()

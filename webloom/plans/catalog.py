@@ -129,7 +129,8 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
 def graph_document(spark: SparkSession, sf: str) -> DataFrame:
     doc = _request(spark, sf).document()
     return doc.select(F.size("nodes").alias("n_nodes"), F.size("links").alias("n_edges"),
-                      F.to_json(F.struct("nodes", "links")).alias("document"))
+                      F.to_json(F.struct("nodes", "links"), {"ignoreNullFields": "false"})
+                      .alias("document"))
 
 
 def hit_share_graph(spark: SparkSession, sf: str) -> DataFrame:

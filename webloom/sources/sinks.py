@@ -92,7 +92,8 @@ def export_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_graph(doc: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Graph documents ``(nodes, links)`` as one JSON text line each."""
-    doc.select(F.to_json(F.struct("nodes", "links")).alias("value")).write.mode(mode).text(path)
+    doc.select(F.to_json(F.struct("nodes", "links"), {"ignoreNullFields": "false"})
+               .alias("value")).write.mode(mode).text(path)
 
 
 def write_analysis(df: DataFrame, path: str, mode: str = "overwrite") -> None:

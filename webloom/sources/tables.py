@@ -8,7 +8,9 @@ point at crawled pages, so a link graph is derived from ``part`` and
 ``lineitem`` with a fixed rule:
 
 * crawled page: each ``part`` row with ``p_partkey % 10 <> 3``; its text is
-  ``p_name || ' ' || p_type || ' ' || p_brand``;
+  ``p_name || ' ' || p_type || ' ' || p_brand``. The key rule is not a cost
+  cap: every row of ``part`` and ``lineitem`` is read; it decides which link
+  targets are un-crawled, which the ranking semantics must exercise;
 * link: one per ``lineitem`` row with a crawled ``l_partkey``:
   ``src = l_partkey``, ``dst = l_orderkey % (1 + (l_partkey * 7919 + l_suppkey) % N)``
   with ``N = count(part)``; links of a page appear in
