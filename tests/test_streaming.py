@@ -32,3 +32,18 @@ def test_text_ingest_cleans(spark, tmp_path):
     q = ingest.ingest_text_pages(spark, str(src), str(tmp_path / "o"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [r.plaintext for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["hllo"]
+
+
+def test_ingest_log_counts_each_file_once(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "ck")
+    src.mkdir()
+    (src / "a.json").write_text("\n".join(json.dumps({"url": f"a{i}", "links": []})
+                                          for i in range(3)) + "\n")
+    ingest.ingest_log(ingest.link_page_stream(spark, str(src)), out, checkpoint_location=ck) \
+        .awaitTermination(120)
+    (src / "b.json").write_text(json.dumps({"url": "b", "links": ["x"]}) + "\n")
+    ingest.ingest_log(ingest.link_page_stream(spark, str(src)), out, checkpoint_location=ck) \
+        .awaitTermination(120)
+    got = {r.source_file.rsplit("/", 1)[-1]: r.n_records
+           for r in ingest.read_ingest_log(spark, out).collect()}
+    assert got == {"a.json": 3, "b.json": 1}

@@ -75,3 +75,30 @@ def ingest_text_pages(spark: SparkSession, in_dir: str, out_dir: str,
                       checkpoint_location: str | None = None) -> StreamingQuery:
     return append_parquet(text_page_stream(spark, in_dir), out_dir, "text_pages",
                           checkpoint_location)
+
+
+def ingest_log(stream: DataFrame, out_dir: str, name: str = "ingest_log",
+               checkpoint_location: str | None = None,
+               available_now: bool = True) -> StreamingQuery:
+    """Per micro-batch, records per source file, written under ``batch_id=N``.
+
+    ``foreachBatch`` overwrites its own batch directory, so a batch replayed
+    after a failure replaces its earlier attempt instead of counting twice.
+    """
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_records"))
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
+
+    writer = (stream.writeStream.foreachBatch(write_batch)
+              .option("checkpointLocation", _checkpoint(stream.sparkSession, name,
+                                                        checkpoint_location)))
+    writer = writer.trigger(availableNow=True) if available_now else \
+        writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def read_ingest_log(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The ingest manifest so far: ``(source_file, n_records, batches)``."""
+    return (spark.read.parquet(out_dir).groupBy("source_file")
+            .agg(F.sum("n_records").alias("n_records"),
+                 F.count_distinct("batch_id").alias("batches")))
