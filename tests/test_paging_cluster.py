@@ -1,4 +1,4 @@
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from webloom.operators import cluster as CL

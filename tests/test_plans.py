@@ -1,6 +1,5 @@
 """Plan-shape checks on the registered queries, and the entry contract."""
 
-import math
 
 import duckdb
 import pytest

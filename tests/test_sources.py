@@ -1,7 +1,6 @@
 import gzip
 import json
 
-from pyspark.sql import functions as F
 
 from webloom.plans import production as PR
 from webloom.sources import readers as RD
