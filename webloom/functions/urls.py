@@ -42,6 +42,12 @@ def meta_archive_path(path: Column) -> Column:
                      F.lit(META_SUFFIX_SWAP[0]), F.lit(META_SUFFIX_SWAP[1]))
 
 
+def normalize_path(path: Column) -> Column:
+    """Local paths and ``file:`` URIs to one form (``/dir/file``), so a listed
+    path and the file name Spark reports for a record compare equal."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def output_name(path: Column) -> Column:
     """Per-archive output file name: slashes to underscores, ``.json`` appended."""
     return F.concat(F.translate(path, "/", "_"), F.lit(".json"))

@@ -48,13 +48,27 @@ def link_records(meta: DataFrame, descriptor: str = URL_DESCRIPTOR, prefix: str
 
 def run(spark: SparkSession, text_glob: str, meta_glob: str, out_dir: str,
         paths: DataFrame | None = None, descriptor: str = URL_DESCRIPTOR) -> DataFrame:
-    """Produce cleaned text and link pages from archives; return the manifest."""
+    """Produce cleaned text and link pages from archives; return the manifest.
+
+    ``paths`` is the listed archives: ``(path)``, or ``(path, text_path,
+    meta_path)`` as made by ``archive_paths``, in which case records from a
+    derived archive count for the listed one.
+    """
     texts = text_records(readers.read_archive(spark, text_glob), descriptor)
     links = link_records(readers.read_link_metadata(spark, meta_glob), descriptor)
     sinks.write_pages(texts, f"{out_dir}/text")
     sinks.write_pages(links, f"{out_dir}/links")
+    # Count per archive first (partial aggregate); only counts meet the path list.
+    counts = sinks.records_per_file(
+        readers.read_text(spark, f"{out_dir}/text").select(F.col("archive").alias("a"))
+        .unionByName(readers.read_links(spark, f"{out_dir}/links")
+                     .select(F.col("archive").alias("a"))), "a")
     if paths is None:
-        return links.select("source_file").distinct().select(
-            "source_file", F.lit(STATUS_LOADED).alias("status"))
-    records = texts.select("source_file").unionByName(links.select("source_file"))
-    return sinks.ingest_manifest(paths, records)
+        return counts.select("source_file", F.lit(STATUS_LOADED).alias("status"), "n_records")
+    derived = ["text_path", "meta_path"] if {"text_path", "meta_path"} <= set(paths.columns) \
+        else []
+    names = paths.select("path", F.explode(F.array("path", *derived)).alias("file"))
+    by_name = names.select("path", U.output_name(U.normalize_path(F.col("file"))).alias("a"))
+    per_path = (counts.join(by_name, counts["source_file"] == by_name["a"])
+                .select(F.col("path").alias("source_file"), "n_records"))
+    return sinks.ingest_manifest(paths.select("path"), per_path)

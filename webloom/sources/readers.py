@@ -22,12 +22,14 @@ CONTENT_LENGTH = r"(?im)^Content-Length:\s*(\d+)"
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Link pages ``(url, links)`` from JSON lines (a glob or directory)."""
+    """Link pages ``(url, links)`` from JSON lines (a glob or directory; the
+    per-archive directories written by ``write_pages`` add ``archive``)."""
     return spark.read.schema(SC.LINK_PAGE).json(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text pages ``(url, plaintext)`` from JSON lines."""
+    """Text pages ``(url, plaintext)`` from JSON lines (plus ``archive`` when
+    read from ``write_pages`` output)."""
     return spark.read.schema(SC.TEXT_PAGE).json(path)
 
 

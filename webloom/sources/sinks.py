@@ -17,7 +17,8 @@ from webloom.functions import urls as U
 
 def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Cleaned pages as JSON lines, one output directory per source archive."""
-    (df.withColumn("archive", U.output_name(F.col("source_file"))).drop("source_file")
+    (df.withColumn("archive", U.output_name(U.normalize_path(F.col("source_file"))))
+     .drop("source_file")
      .write.mode(mode).partitionBy("archive").json(path))
 
 
@@ -105,9 +106,9 @@ def ingest_manifest(paths: DataFrame, records: DataFrame,
                     path_col: str = "path", source_col: str = "source_file") -> DataFrame:
     """Per listed archive: ``(source_file, status, n_records)``, status from the
     records that actually arrived (not assumed)."""
-    counts = records.groupBy(F.col(source_col).alias("source_file")).agg(
+    counts = records.groupBy(U.normalize_path(F.col(source_col)).alias("source_file")).agg(
         F.count(F.lit(1)).alias("n_records"))
-    listed = paths.select(F.col(path_col).alias("source_file")).distinct()
+    listed = paths.select(U.normalize_path(F.col(path_col)).alias("source_file")).distinct()
     j = listed.join(counts, "source_file", "left")
     n = F.coalesce(F.col("n_records"), F.lit(0)).cast("long")
     return j.select("source_file",
@@ -117,5 +118,5 @@ def ingest_manifest(paths: DataFrame, records: DataFrame,
 
 def records_per_file(records: DataFrame, source_col: str = "source_file") -> DataFrame:
     """Records produced per source file ``(source_file, n_records)``."""
-    return records.groupBy(F.col(source_col).alias("source_file")).agg(
+    return records.groupBy(U.normalize_path(F.col(source_col)).alias("source_file")).agg(
         F.count(F.lit(1)).alias("n_records"))
