@@ -62,3 +62,27 @@ def test_production_job(spark, tmp_path):
          ["http://en.wikipedia.org/wiki/B", "http://en.wikipedia.org/wiki/C"])]
     text = readers.read_text(spark, out + "/text").collect()
     assert [(r.url, r.plaintext) for r in text] == [("http://en.wikipedia.org/wiki/A", "Alpha text")]
+
+
+def test_command_line_rank_stores_search(spark, tmp_path):
+    from webloom.__main__ import main
+    src = tmp_path / "in"
+    src.mkdir()
+    pages = {"http://s/a": ["http://s/b", "http://s/c"], "http://s/b": ["http://s/a"],
+             "http://s/c": ["http://s/a", "http://s/b"]}
+    (src / "l.wat.gz.json").write_text(
+        "\n".join(json.dumps({"url": u, "links": ls}) for u, ls in pages.items()) + "\n")
+    (src / "t.wet.gz.json").write_text("\n".join(
+        json.dumps({"url": u, "plaintext": f"alpha page {u[-1]}"}) for u in pages) + "\n")
+    assert main(["rank", "--links", str(src / "*.wat.gz.json"), "--out", str(tmp_path / "r")],
+                spark) == 0
+    assert spark.read.parquet(str(tmp_path / "r/ranked")).count() == 3
+    assert main(["stores", "--links", str(src / "*.wat.gz.json"), "--text",
+                 str(src / "*.wet.gz.json"), "--out", str(tmp_path / "st"), "--buckets", "4"],
+                spark) == 0
+    assert main(["search", "--stores", str(tmp_path / "st"), "--q", "alpha", "--out",
+                 str(tmp_path / "q"), "--buckets", "4", "--density", "Low (100 nodes)"],
+                spark) == 0
+    doc = json.loads(spark.read.text(str(tmp_path / "q/graph")).first().value)
+    # cutoff 2.0: every rank here is below it, so the graph is empty but well formed
+    assert doc == {"nodes": [], "links": []}
