@@ -94,3 +94,13 @@ def test_limit_is_applied_before_cutoff(spark, mini_graph):
     first = R.first_hits(hits, 1)  # only B is looked up
     found = R.above_rank(R.lookup_pages(first, ranked), 1.0)
     assert found.count() == 0      # B is below the cutoff, A and C were never looked up
+
+
+def test_url_with_quote_is_looked_up(spark):
+    from webloom.operators.graph import link_pages_graph
+    rows = [("http://x/it's", ["http://x/b", "http://x/it's"]), ("http://x/b", ["http://x/it's"])]
+    g = link_pages_graph(spark.createDataFrame(rows, "url string, links array<string>"))
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    docs = spark.createDataFrame([(u, "quote page") for u, _ in rows], "url string, text string")
+    res = search_request(build_index(docs), ranked, g.links, "quote", cutoff=0.0)
+    assert {r.url for r in res.table.collect()} == {"http://x/it's", "http://x/b"}

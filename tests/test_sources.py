@@ -39,12 +39,14 @@ def test_link_metadata_dirty_inputs(spark, tmp_path):
     d.mkdir()
     recs = [
         _record("http://en.wikipedia.org/wiki/A",
-                _meta([{"url": "/wiki/B"}, {"path": "x"}, {"url": "/wiki/B"},
+                _meta([{"url": "/wiki/B"}, {"path": "x", "ok": True}, {"url": "/wiki/B"},
                        {"url": "http://x/"}, {"url": "/wikipedia"}, {"url": None}])),
         _record("http://en.wikipedia.org/wiki/NoLinks", json.dumps({"Envelope": {}})),
         _record("http://en.wikipedia.org/wiki/Bad", "{not json"),
         _record("http://en.wikipedia.org/wiki/Empty", _meta([])),
     ]
+    recs.append(_record("http://en.wikipedia.org/wiki/T",
+                        _meta([{"url": "/wiki/construed_true"}, {"url": "/wiki/false_start"}])))
     (d / "m.warc.wat").write_bytes(b"".join(recs))
     meta = RD.read_link_metadata(spark, str(d))
     got = {r["url"]: r["links"] for r in meta.collect()}
@@ -52,9 +54,13 @@ def test_link_metadata_dirty_inputs(spark, tmp_path):
                                                      "/wikipedia"]
     assert got["http://en.wikipedia.org/wiki/NoLinks"] is None
     assert got["http://en.wikipedia.org/wiki/Bad"] is None
+    assert got["http://en.wikipedia.org/wiki/T"] == ["/wiki/construed_true", "/wiki/false_start"]
     pages = {r["url"]: r["links"] for r in PR.link_records(meta, prefix="/wiki/").collect()}
     assert pages == {"http://en.wikipedia.org/wiki/A": ["http://en.wikipedia.org/wiki/B"] * 2,
-                     "http://en.wikipedia.org/wiki/Empty": []}
+                     "http://en.wikipedia.org/wiki/Empty": [],
+                     "http://en.wikipedia.org/wiki/T": [
+                         "http://en.wikipedia.org/wiki/construed_true",
+                         "http://en.wikipedia.org/wiki/false_start"]}
 
 
 def test_index_lines_and_paths(spark, tmp_path):
