@@ -55,7 +55,7 @@ def test_hit_share_caption(spark):
     idx = S.build_index(_docs(spark))
     r = S.hit_share(idx, "widget", "the").first()
     assert (r["hits"], r["base_hits"]) == (3, 3)
-    assert r["caption"] == '"widget" in 100.0% of pages'
+    assert r["caption"] == '"widget" in 100.0% of wikipedia pages'
     r = S.hit_share(idx, "widget", "zzz").first()
     assert r["pct"] is None
 

@@ -17,6 +17,7 @@ MAX_LOOKUPS = 10000      # hits looked up, in relevance order, before the cutoff
 TABLE_ROWS = 100         # rows of the result table
 BASE_TERM = "wiki"       # hits of this term are the percentage base
 SHARE_CHARS = 5          # the percentage is cut (not rounded) to 5 characters
+SHARE_SUFFIX = "% of wikipedia pages"   # caption: "<query>" in <pct><suffix>
 
 # Density preset label -> node budget; seeds = budget // SEEDS_DIVISOR.
 DENSITY_PRESETS = {

@@ -16,7 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.constants import BASE_TERM, BM25_B, BM25_K1, SHARE_CHARS, TOKEN_SPLIT
+from webloom.constants import (BASE_TERM, BM25_B, BM25_K1, SHARE_CHARS, SHARE_SUFFIX,
+                               TOKEN_SPLIT)
 
 _SPLIT = regex.compile(TOKEN_SPLIT)
 
@@ -165,11 +166,12 @@ def hit_count(index: DataFrame, q: str) -> DataFrame:
     return search(index, q).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def share_caption(hits: Column, base: Column, term: str, chars: int = SHARE_CHARS) -> Column:
-    """``"term" in 12.34% of pages``: the percentage cut (not rounded) to ``chars``."""
+def share_caption(hits: Column, base: Column, term: str, chars: int = SHARE_CHARS,
+                  suffix: str = SHARE_SUFFIX) -> Column:
+    """``"term" in 12.34<suffix>``: the percentage cut (not rounded) to ``chars``."""
     pct = F.try_divide(F.lit(100.0) * hits, base)
     cut = F.substring(pct.cast("string"), 1, chars)
-    return F.concat(F.lit(f'"{term}" in '), cut, F.lit("% of pages"))
+    return F.concat(F.lit(f'"{term}" in '), cut, F.lit(suffix))
 
 
 def hit_share(index: DataFrame, q: str, base_term: str = BASE_TERM) -> DataFrame:

@@ -131,7 +131,7 @@ h AS (SELECT count(DISTINCT url) AS hits FROM idx WHERE term IN ({_terms(C.GRAPH
 b AS (SELECT count(DISTINCT url) AS base_hits FROM idx WHERE term IN ({_terms(C.GRAPH_BASE_TERM)}))
 SELECT hits, base_hits, 100.0 * hits / base_hits AS pct,
        '"{C.GRAPH_QUERY}" in ' || substr(CAST(100.0 * hits / base_hits AS VARCHAR), 1, 5)
-       || '% of pages' AS caption
+       || '% of wikipedia pages' AS caption
 FROM h, b""",
     "text_with_ranks": _with(P_BASE, _rounds(1), RANKED)
     + " SELECT rk.url, floor(round(rk.rank, 9) * 1000000 + 0.5) / 1000000 AS rank, length(pg.text) AS n_chars"
@@ -236,7 +236,7 @@ h AS (SELECT count(DISTINCT url) AS hits FROM idx WHERE term IN ({_terms(C.DOC_P
 b AS (SELECT count(DISTINCT url) AS base_hits FROM idx WHERE term IN ({_terms(C.DOC_BASE_TERM)}))
 SELECT hits, base_hits, 100.0 * hits / base_hits AS pct,
        '"{C.DOC_PHRASE}" in ' || substr(CAST(100.0 * hits / base_hits AS VARCHAR), 1, 5)
-       || '% of pages' AS caption
+       || '% of wikipedia pages' AS caption
 FROM h, b""",
     "index_records": INDEX_LINES
     + " SELECT urlkey, url, filename, valid, text_path, meta_path FROM idx",
