@@ -27,6 +27,38 @@ LOCAL_CONF = {
 }
 
 
+# Suggested settings for a large cluster (100 TB of crawl input, ~1000
+# executors). Applied only when a caller passes them to the session builder;
+# the library itself never changes cluster configuration.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    # Start wide; AQE coalesces small partitions after each shuffle.
+    "spark.sql.shuffle.partitions": "40000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    # Runtime broadcast only for sides measured small; bounded sides are
+    # broadcast explicitly by the operators.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+    # Set by the deployment to a shared file system, e.g. an object store path:
+    # "spark.checkpoint.dir": "<shared path>",
+}
+
+
+def cluster_builder(app: str = "webloom", conf: dict | None = None) -> SparkSession.Builder:
+    """A session builder carrying ``CLUSTER_CONF`` (and overrides)."""
+    builder = SparkSession.builder.appName(app)
+    for k, v in {**CLUSTER_CONF, **(conf or {})}.items():
+        builder = builder.config(k, v)
+    return builder
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "webloom", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the benchmark (never used on a cluster)."""
