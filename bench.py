@@ -52,7 +52,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "1"))
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus))
     # Warm-up on the smallest scale: JVM, class loading and code generation.
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):
