@@ -72,3 +72,12 @@ def test_index_written_by_term_bucket_prunes(spark, tmp_path):
 
 def test_match_all_and_count(spark):
     assert S.match_all(_docs(spark)).count() == 5
+
+
+def test_query_postings_equal_full_index_rows(spark):
+    d = _docs(spark)
+    full = {(r.term, r.url, r.tf) for r in S.build_index(d).filter("term in ('red', 'widget')")
+            .collect()}
+    part = {(r.term, r.url, r.tf) for r in S.query_postings(d, "Red widget").collect()}
+    assert full == part
+    assert S.query_postings(d, "").count() == 0

@@ -52,6 +52,22 @@ def build_index(docs: DataFrame, url: str = "url", text: str = "text") -> DataFr
             .groupBy("term", "url").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def query_postings(docs: DataFrame, q: str | list[str], url: str = "url",
+                   text: str = "text") -> DataFrame:
+    """Postings ``(term, url, tf)`` of the query's terms only, from raw text.
+
+    For a query over documents that have no stored index: each document is
+    tokenised once and only tokens that are query terms are exploded, so only
+    their postings are shuffled — not every posting of the corpus. The result
+    is a valid index for any operator asked about these terms.
+    """
+    terms = query_terms(q) if isinstance(q, str) else list(q)
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    hits = F.filter(tokens(F.col(text)), lambda t: F.array_contains(wanted, t))
+    return (docs.select(F.col(url).alias("url"), F.explode(hits).alias("term"))
+            .groupBy("term", "url").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def doc_lengths(index: DataFrame) -> DataFrame:
     """``(url, dl)``: tokens per document, from the postings."""
     return index.groupBy("url").agg(F.sum("tf").alias("dl"))

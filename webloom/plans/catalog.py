@@ -94,7 +94,7 @@ def received_r1(spark: SparkSession, sf: str) -> DataFrame:
 def _request(spark, sf):
     g = _graph(spark, sf)
     ranked = G.ranked_pages(g, G.pagerank(g, 1))
-    return search_request(S.build_index(g.pages), ranked, g.links, GRAPH_QUERY,
+    return search_request(S.query_postings(g.pages, GRAPH_QUERY), ranked, g.links, GRAPH_QUERY,
                           budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
 
 
@@ -135,7 +135,8 @@ def graph_document(spark: SparkSession, sf: str) -> DataFrame:
 
 def hit_share_graph(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    return S.hit_share(S.build_index(g.pages), GRAPH_QUERY, GRAPH_BASE_TERM)
+    idx = S.query_postings(g.pages, S.query_terms(GRAPH_QUERY) + [GRAPH_BASE_TERM])
+    return S.hit_share(idx, GRAPH_QUERY, GRAPH_BASE_TERM)
 
 
 def text_with_ranks(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,11 +170,11 @@ def doc_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_search_or(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search(S.build_index(_docs(spark, sf)), DOC_QUERY, "or")
+    return S.search(S.query_postings(_docs(spark, sf), DOC_QUERY), DOC_QUERY, "or")
 
 
 def doc_search_and(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search(S.build_index(_docs(spark, sf)), DOC_QUERY, "and")
+    return S.search(S.query_postings(_docs(spark, sf), DOC_QUERY), DOC_QUERY, "and")
 
 
 def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +183,7 @@ def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
-    return S.score(S.build_index(d), DOC_QUERY, lengths=S.text_lengths(d)).select(
+    return S.score(S.query_postings(d, DOC_QUERY), DOC_QUERY, lengths=S.text_lengths(d)).select(
         "url", _r6("score"))
 
 
@@ -365,7 +366,9 @@ def page_captures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_hit_share(spark: SparkSession, sf: str) -> DataFrame:
-    return S.hit_share(S.build_index(_docs(spark, sf)), DOC_PHRASE, DOC_BASE_TERM)
+    d = _docs(spark, sf)
+    idx = S.query_postings(d, S.query_terms(DOC_PHRASE) + [DOC_BASE_TERM])
+    return S.hit_share(idx, DOC_PHRASE, DOC_BASE_TERM)
 
 
 QUERIES.update({
