@@ -104,3 +104,24 @@ def test_url_with_quote_is_looked_up(spark):
     docs = spark.createDataFrame([(u, "quote page") for u, _ in rows], "url string, text string")
     res = search_request(build_index(docs), ranked, g.links, "quote", cutoff=0.0)
     assert {r.url for r in res.table.collect()} == {"http://x/it's", "http://x/b"}
+
+
+def test_batch_graph_equals_single_requests(spark):
+    from webloom.operators.search import query_postings, text_lengths
+    from webloom.plans import batch_search as BS
+    from webloom.sources.tables import part_graph
+    g = part_graph(spark, "/root/testdata/sf0.001")
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    qs = spark.createDataFrame([("q1", "red widget"), ("q2", "blue bolt")], "query_id string, q string")
+    found = BS.batch_search(build_index(g.pages), ranked, qs, cutoff=1.0,
+                            lengths=text_lengths(g.pages))
+    nodes, edges = BS.batch_graph(found, g.links, budget=50)
+    for qid, q in [("q1", "red widget"), ("q2", "blue bolt")]:
+        one = search_request(query_postings(g.pages, q), ranked, g.links, q, budget=50,
+                             cutoff=1.0, lengths=text_lengths(g.pages))
+        want_n = sorted(tuple(r) for r in one.nodes.collect())
+        got_n = sorted(tuple(r)[1:] for r in nodes.filter(F.col("query_id") == qid).collect())
+        assert got_n == want_n and len(want_n) > 0
+        want_e = sorted(tuple(r) for r in one.edges.collect())
+        got_e = sorted(tuple(r)[1:] for r in edges.filter(F.col("query_id") == qid).collect())
+        assert got_e == want_e

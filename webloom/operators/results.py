@@ -13,10 +13,13 @@ map task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.numeric import report_round
+from webloom.operators.topk import top_k_per_group
 from webloom.constants import (COLOUR_GROUPS, COLOUR_ZERO_SUBSTITUTE, DENSITY_PRESETS,
                                LINKS_PER_SEED, MAX_LOOKUPS, NEIGHBOUR_EDGE_VALUE, RANK_CUTOFF,
                                RANK_DECIMALS, SEED_EDGE_VALUE, SEED_GROUP, SEEDS_DIVISOR,
@@ -76,86 +79,101 @@ def best_pages(found: DataFrame, n: int = TABLE_ROWS) -> DataFrame:
     return found.orderBy(F.desc("rank"), F.asc("url")).limit(n)
 
 
-def pick_seeds(found: DataFrame, n_seeds: int) -> DataFrame:
-    """Seeds ``(seed_idx, url, rank, total_links)``: best ``n_seeds``, numbered 0…
+def pick_seeds(found: DataFrame, n_seeds: int, by: Sequence[str] = ()) -> DataFrame:
+    """Seeds ``(*by, seed_idx, url, rank, total_links)``: best ``n_seeds`` (per
+    ``by`` group, e.g. per query of a batch), numbered 0…
 
-    The window runs over the ``n_seeds`` rows left after the limit only.
+    Without ``by`` the window runs over the ``n_seeds`` rows left after the
+    limit only; with ``by`` an exact two-phase per-group top-k comes first.
     """
-    top = best_pages(found, n_seeds)
-    w = Window.orderBy(F.desc("rank"), F.asc("url"))
-    return top.select((F.row_number().over(w) - 1).cast("long").alias("seed_idx"), "url", "rank",
-                      "total_links")
+    order = [F.desc("rank"), F.asc("url")]
+    top = top_k_per_group(found, list(by), order, n_seeds) if by else best_pages(found, n_seeds)
+    w = Window.partitionBy(*by).orderBy(*order)
+    return top.select(*by, (F.row_number().over(w) - 1).cast("long").alias("seed_idx"), "url",
+                      "rank", "total_links")
 
 
 # ------------------------------------------------------------ seed graph
 
 
-def seed_links(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Distinct links of each seed with their first position: ``(seed_idx, link, first_pos)``.
+def _small(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Broadcast a request-bounded side; in a batch (``by``) its size grows with
+    the number of queries, so the runtime size check (AQE) decides instead."""
+    return df if by else F.broadcast(df)
+
+
+def seed_links(links: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct links of each seed with their first position:
+    ``(*by, seed_idx, link, first_pos)``.
 
-    Seeds are bounded and broadcast; the link table is only scanned. The
+    The seeds are bounded and broadcast; the link table is only scanned. The
     ``(seed_idx, link)`` aggregate is partial+final, so a seed with a huge
     list is combined map-side.
     """
-    s = F.broadcast(seeds.select("url", "seed_idx"))
-    return (links.join(s, "url").groupBy("seed_idx", "link")
+    s = _small(seeds.select(*by, "url", "seed_idx"), by)
+    return (links.join(s, "url").groupBy(*by, "seed_idx", "link")
             .agg(F.min("pos").alias("first_pos")))
 
 
-def seed_edges(dlinks: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Edges between seeds ``(source, target, value)``: every distinct link of a
-    seed that is itself a seed, self-links included, not capped."""
-    targets = F.broadcast(seeds.select(F.col("url").alias("link"),
-                                       F.col("seed_idx").alias("target")))
-    return dlinks.join(targets, "link").select(
-        F.col("seed_idx").cast("long").alias("source"), F.col("target").cast("long"),
+def seed_edges(dlinks: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges between seeds ``(*by, source, target, value)``: every distinct link
+    of a seed that is itself a seed, self-links included, not capped."""
+    targets = _small(seeds.select(*by, F.col("url").alias("link"),
+                                  F.col("seed_idx").alias("target")), by)
+    return dlinks.join(targets, [*by, "link"]).select(
+        *by, F.col("seed_idx").cast("long").alias("source"), F.col("target").cast("long"),
         F.lit(SEED_EDGE_VALUE).alias("value"))
 
 
 def neighbours(dlinks: DataFrame, s_edges: DataFrame, seeds: DataFrame,
-               per_seed: int = LINKS_PER_SEED) -> DataFrame:
-    """Neighbour nodes ``(node_id, seed_idx, link)``.
+               per_seed: int = LINKS_PER_SEED, by: Sequence[str] = ()) -> DataFrame:
+    """Neighbour nodes ``(*by, node_id, seed_idx, link)``.
 
     Seed ``s`` with ``e`` seed edges takes its first ``per_seed - e`` distinct
     links (first appearance; the same url may appear under several seeds and
     seed urls are not excluded). Nodes are numbered after the seeds, seed by
     seed, in link order.
     """
-    n_edges = s_edges.groupBy(F.col("source").alias("seed_idx")).agg(
+    n_edges = s_edges.groupBy(*by, F.col("source").alias("seed_idx")).agg(
         F.count(F.lit(1)).alias("n_edges"))
-    w = Window.partitionBy("seed_idx").orderBy(F.asc("first_pos"), F.asc("link"))
+    w = Window.partitionBy(*by, "seed_idx").orderBy(F.asc("first_pos"), F.asc("link"))
     top = (dlinks.withColumn("pos_in_seed", F.row_number().over(w))
            .filter(F.col("pos_in_seed") <= per_seed))          # literal: partial top-k
-    keep = (top.join(F.broadcast(n_edges), "seed_idx", "left")
+    keep = (top.join(_small(n_edges, by), [*by, "seed_idx"], "left")
             .filter(F.col("pos_in_seed") <= F.lit(per_seed) - F.coalesce("n_edges", F.lit(0))))
-    # Node numbering: per-seed counts (<= n_seeds rows) -> running offsets.
-    counts = keep.groupBy("seed_idx").agg(F.count(F.lit(1)).alias("c"))
-    n_seeds = seeds.agg(F.count(F.lit(1))).scalar()
-    wo = Window.orderBy("seed_idx").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("seed_idx", (n_seeds + F.coalesce(
-        F.sum("c").over(wo), F.lit(0))).alias("offset"))
-    return (keep.join(F.broadcast(offsets), "seed_idx")
-            .select((F.col("offset") + F.col("pos_in_seed") - 1).cast("long").alias("node_id"),
-                    "seed_idx", "link"))
-
-
-def graph_nodes(seeds: DataFrame, nbrs: DataFrame) -> DataFrame:
-    """Node table ``(node_id, name, group, rank, total_links)``; neighbours carry
-    NULL rank and link count."""
-    s = seeds.select(F.col("seed_idx").cast("long").alias("node_id"), F.col("url").alias("name"),
-                     F.lit(SEED_GROUP).cast("int").alias("group"),
+    # Node numbering: per-seed counts (<= n_seeds rows per group) -> running offsets.
+    counts = keep.groupBy(*by, "seed_idx").agg(F.count(F.lit(1)).alias("c"))
+    wo = Window.partitionBy(*by).orderBy("seed_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(wo), F.lit(0))
+    if by:
+        n_seeds = seeds.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        offsets = counts.join(n_seeds, list(by)).select(
+            *by, "seed_idx", (F.col("_n") + before).alias("offset"))
+    else:
+        n_seeds = seeds.agg(F.count(F.lit(1))).scalar()
+        offsets = counts.select("seed_idx", (n_seeds + before).alias("offset"))
+    return (keep.join(_small(offsets, by), [*by, "seed_idx"])
+            .select(*by, (F.col("offset") + F.col("pos_in_seed") - 1).cast("long")
+                    .alias("node_id"), "seed_idx", "link"))
+
+
+def graph_nodes(seeds: DataFrame, nbrs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Node table ``(*by, node_id, name, group, rank, total_links)``; neighbours
+    carry NULL rank and link count."""
+    s = seeds.select(*by, F.col("seed_idx").cast("long").alias("node_id"),
+                     F.col("url").alias("name"), F.lit(SEED_GROUP).cast("int").alias("group"),
                      F.col("rank").cast("double").alias("rank"),
                      F.col("total_links").cast("long").alias("total_links"))
-    n = nbrs.select("node_id", F.col("link").alias("name"),
+    n = nbrs.select(*by, "node_id", F.col("link").alias("name"),
                     colour_group(F.col("seed_idx")).alias("group"),
                     F.lit(None).cast("double").alias("rank"),
                     F.lit(None).cast("long").alias("total_links"))
     return s.unionByName(n)
 
 
-def graph_edges(s_edges: DataFrame, nbrs: DataFrame) -> DataFrame:
-    """Edge table ``(source, target, value)``: seed edges, then neighbour -> seed."""
-    n = nbrs.select(F.col("node_id").alias("source"), F.col("seed_idx").cast("long")
+def graph_edges(s_edges: DataFrame, nbrs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edge table ``(*by, source, target, value)``: seed edges, then neighbour -> seed."""
+    n = nbrs.select(*by, F.col("node_id").alias("source"), F.col("seed_idx").cast("long")
                     .alias("target"), F.lit(NEIGHBOUR_EDGE_VALUE).alias("value"))
     return s_edges.unionByName(n)
 

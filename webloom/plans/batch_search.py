@@ -9,24 +9,14 @@ with an enormous hit list is spread over many tasks before it is cut.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.constants import BM25_B, BM25_K1, MAX_LOOKUPS, RANK_CUTOFF, TABLE_ROWS
 from webloom.operators import results as R
 from webloom.operators import search as S
-
-
-def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int,
-                    spread_col: str = "url", buckets: int = 64) -> DataFrame:
-    """Exact top ``k`` rows per ``group`` in ``order`` (which must be total)."""
-    b = F.pmod(F.xxhash64(spread_col), F.lit(buckets))
-    w1 = Window.partitionBy(group, "_b").orderBy(*order)
-    first = (df.withColumn("_b", b).withColumn("_r", F.row_number().over(w1))
-             .filter(F.col("_r") <= k).drop("_r", "_b"))
-    w2 = Window.partitionBy(group).orderBy(*order)
-    return (first.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
-            .drop("_r"))
+from webloom.operators.topk import top_k_per_group
+from webloom.session import ensure_checkpoint_dir
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -68,3 +58,22 @@ def batch_search(index: DataFrame, ranked: DataFrame, queries: DataFrame,
 def batch_tables(found: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
     """Result table per query: best ``rows`` by rank (ties by url)."""
     return top_k_per_group(found, "query_id", [F.desc("rank"), F.asc("url")], rows)
+
+
+def batch_graph(found: DataFrame, links: DataFrame, budget: int = 1000,
+                materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Seed/neighbour graph of every query of a batch: ``(nodes, edges)``, each
+    keyed by ``query_id`` and numbered per query exactly like a single request.
+
+    The seeds (at most budget // 10 per query) feed every output, so they are
+    written once to the reliable checkpoint directory.
+    """
+    by = ("query_id",)
+    seeds = R.pick_seeds(found, R.seed_count(budget), by)
+    if materialize:
+        ensure_checkpoint_dir(seeds.sparkSession)
+        seeds = seeds.checkpoint(eager=True)
+    dlinks = R.seed_links(links, seeds, by)
+    s_edges = R.seed_edges(dlinks, seeds, by)
+    nbrs = R.neighbours(dlinks, s_edges, seeds, by=by)
+    return R.graph_nodes(seeds, nbrs, by), R.graph_edges(s_edges, nbrs, by)

@@ -323,6 +323,22 @@ def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
                                            _batch_queries(spark, sf)))
 
 
+def _batch_graph(spark, sf):
+    g = _graph(spark, sf)
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    found = BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
+                            lengths=S.text_lengths(g.pages))
+    return BS.batch_graph(found, g.links, GRAPH_BUDGET)
+
+
+def batch_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch_graph(spark, sf)[0]
+
+
+def batch_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch_graph(spark, sf)[1]
+
+
 def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked store after round 1, updated with the round-2 ranking."""
     g = _graph(spark, sf)
@@ -382,6 +398,8 @@ QUERIES.update({
     "index_page_count": index_page_count,
     "batch_search": batch_search,
     "batch_tables": batch_tables,
+    "batch_graph_nodes": batch_graph_nodes,
+    "batch_graph_edges": batch_graph_edges,
     "upsert_ranks": upsert_ranks,
     "scatter_points": scatter_points,
     "cluster_labels": cluster_labels,

@@ -222,7 +222,50 @@ found AS (SELECT fh.query_id, rk.url, {_r6('rk.rank')} AS rank, rk.total_links
           FROM fh JOIN rk ON fh.url = rk.url WHERE {_r6('rk.rank')} > 2.0),
 arows AS (SELECT DISTINCT url, rank, total_links FROM found)""")
 
+BATCH_GRAPH = BATCH + f""",
+seeds AS (SELECT * FROM
+            (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, url) - 1
+                      AS seed_idx, url, rank, total_links FROM found)
+          WHERE seed_idx < {C.GRAPH_BUDGET // 10}),
+dlinks AS (SELECT s.query_id, s.seed_idx, lk.link,
+                  min(struct_pack(o := lk.l_orderkey, n := lk.l_linenumber, s := lk.l_suppkey))
+                    AS first_pos
+           FROM lk JOIN seeds s ON lk.url = s.url GROUP BY s.query_id, s.seed_idx, lk.link),
+sedges AS (SELECT d.query_id, CAST(d.seed_idx AS BIGINT) AS source,
+                  CAST(s.seed_idx AS BIGINT) AS target, 1 AS value
+           FROM dlinks d JOIN seeds s ON d.query_id = s.query_id AND d.link = s.url),
+ne AS (SELECT query_id, source AS seed_idx, count(*) AS n_edges FROM sedges GROUP BY 1, 2),
+ordered AS (SELECT d.query_id, d.seed_idx, d.link,
+                   row_number() OVER (PARTITION BY d.query_id, d.seed_idx
+                                      ORDER BY d.first_pos, d.link) AS k
+            FROM dlinks d),
+keep AS (SELECT o.* FROM ordered o
+         LEFT JOIN ne ON o.query_id = ne.query_id AND o.seed_idx = ne.seed_idx
+         WHERE o.k <= 10 - coalesce(ne.n_edges, 0)),
+cnt AS (SELECT query_id, seed_idx, count(*) AS c FROM keep GROUP BY 1, 2),
+nseeds AS (SELECT query_id, count(*) AS n FROM seeds GROUP BY 1),
+offs AS (SELECT cnt.query_id, cnt.seed_idx,
+                nseeds.n + coalesce(sum(c) OVER (PARTITION BY cnt.query_id ORDER BY cnt.seed_idx
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+         FROM cnt JOIN nseeds ON cnt.query_id = nseeds.query_id),
+nbrs AS (SELECT keep.query_id, CAST(offs.off + keep.k - 1 AS BIGINT) AS node_id,
+                keep.seed_idx, keep.link
+         FROM keep JOIN offs ON keep.query_id = offs.query_id AND keep.seed_idx = offs.seed_idx),
+bnodes AS (SELECT query_id, CAST(seed_idx AS BIGINT) AS node_id, url AS name, 0 AS "group",
+                  rank, total_links FROM seeds
+           UNION ALL
+           SELECT query_id, node_id, link AS name,
+                  CAST(CASE WHEN seed_idx % 20 = 0 THEN 19 ELSE seed_idx % 20 END AS INTEGER),
+                  CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM nbrs),
+bedges AS (SELECT query_id, source, target, value FROM sedges
+           UNION ALL
+           SELECT query_id, node_id AS source, CAST(seed_idx AS BIGINT) AS target, 4 AS value
+           FROM nbrs)"""
+
 SQL.update({
+    "batch_graph_nodes": BATCH_GRAPH
+    + ' SELECT query_id, node_id, name, "group", rank, total_links FROM bnodes',
+    "batch_graph_edges": BATCH_GRAPH + " SELECT query_id, source, target, value FROM bedges",
     "page_captures": r"""WITH a AS (
   SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url,
          len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1),
