@@ -133,6 +133,17 @@ def bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFr
     return spark.table(name)
 
 
+def written_table(df: DataFrame, prefix: str) -> DataFrame:
+    """Write ``df`` once as parquet below the shared checkpoint directory and
+    read it back: lineage is cut and, unlike a checkpointed RDD, the scan has
+    file-size statistics for the optimizer."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables",
+                        f"webloom_{prefix}_{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def damp(received: Column, damping: float = DAMPING, teleport: float = TELEPORT) -> Column:
     """New rank from received contributions."""
     return F.lit(teleport) + F.lit(damping) * received

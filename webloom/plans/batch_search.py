@@ -16,7 +16,7 @@ from webloom.constants import BM25_B, BM25_K1, MAX_LOOKUPS, RANK_CUTOFF, TABLE_R
 from webloom.operators import results as R
 from webloom.operators import search as S
 from webloom.operators.topk import top_k_per_group
-from webloom.session import ensure_checkpoint_dir
+from webloom.operators.graph import written_table
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -66,13 +66,12 @@ def batch_graph(found: DataFrame, links: DataFrame, budget: int = 1000,
     keyed by ``query_id`` and numbered per query exactly like a single request.
 
     The seeds (at most budget // 10 per query) feed every output, so they are
-    written once to the reliable checkpoint directory.
+    written once as a table in the shared checkpoint directory.
     """
     by = ("query_id",)
     seeds = R.pick_seeds(found, R.seed_count(budget), by)
     if materialize:
-        ensure_checkpoint_dir(seeds.sparkSession)
-        seeds = seeds.checkpoint(eager=True)
+        seeds = written_table(seeds, "seeds")
     dlinks = R.seed_links(links, seeds, by)
     s_edges = R.seed_edges(dlinks, seeds, by)
     nbrs = R.neighbours(dlinks, s_edges, seeds, by=by)

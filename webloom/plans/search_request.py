@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from webloom.constants import MAX_LOOKUPS, RANK_CUTOFF, TABLE_ROWS
 from webloom.operators import results as R
 from webloom.operators import search as S
-from webloom.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -45,15 +44,17 @@ def search_request(index: DataFrame, ranked: DataFrame, links: DataFrame, q: str
     """Run the request for query ``q`` with a node ``budget`` (seeds = budget // 10).
 
     ``found`` has at most ``max_lookups`` rows and feeds every output, so it is
-    written once to the reliable checkpoint directory (``materialize``) instead
-    of being recomputed — index scan, scoring and lookup — by each consumer.
+    computed once and kept as a local relation (``materialize``) instead of
+    being recomputed — index scan, scoring and lookup — by each consumer. A
+    local relation also carries its exact size, so the optimizer never mistakes
+    it for a large table (a checkpointed RDD has no statistics, which invites
+    runtime filters that scan the link table to shrink a 100-row side).
     """
     hits = S.score(index, q, lengths=lengths)
     first = R.first_hits(hits, max_lookups)
     found = R.above_rank(R.lookup_pages(first, ranked), cutoff)
     if materialize:
-        ensure_checkpoint_dir(found.sparkSession)
-        found = found.checkpoint(eager=True)
+        found = found.sparkSession.createDataFrame(found.collect(), found.schema)
     table = R.best_pages(found, table_rows)
     n_seeds = R.seed_count(budget)
     seeds = R.pick_seeds(found, n_seeds)
