@@ -37,6 +37,11 @@ def test_neighbour_topk_is_partial_before_shuffle(spark):
     assert "WindowGroupLimit" in final
 
 
+def test_request_plan_has_no_runtime_filter_on_tiny_sides(spark):
+    df = E.queries()["graph_nodes"](spark, SF)
+    assert "might_contain" not in plan_of(df)
+
+
 def test_entry_contract(spark):
     df = E.entry(spark)
     rows = df.collect()

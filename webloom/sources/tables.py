@@ -71,8 +71,11 @@ def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
     to about one task per ``bytes_per_task`` of (compressed) input, never more tasks
     than cores.
     """
-    sc = df.sparkSession.sparkContext
-    current = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
     if current >= sc.defaultParallelism:
         return df
     target = min(sc.defaultParallelism,
