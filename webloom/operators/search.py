@@ -20,6 +20,7 @@ from webloom.constants import (BASE_TERM, BM25_B, BM25_K1, SHARE_CHARS, SHARE_SU
                                TOKEN_SPLIT)
 
 _SPLIT = regex.compile(TOKEN_SPLIT)
+TOKEN_CHAR = r"[\p{L}\p{N}]"   # a text has a token iff it holds one of these
 
 
 def query_terms(q: str) -> list[str]:
@@ -32,8 +33,12 @@ def query_terms(q: str) -> list[str]:
 
 
 def tokens(text: Column) -> Column:
-    """Array of tokens of a text column (empty strings removed)."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    """Array of tokens of a text column (empty strings removed).
+
+    ``array_remove`` rather than a lambda ``filter``: higher-order functions
+    are evaluated outside generated code, this stays inside it.
+    """
+    return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
 def normalised(text: Column) -> Column:
@@ -57,14 +62,14 @@ def query_postings(docs: DataFrame, q: str | list[str], url: str = "url",
     """Postings ``(term, url, tf)`` of the query's terms only, from raw text.
 
     For a query over documents that have no stored index: each document is
-    tokenised once and only tokens that are query terms are exploded, so only
-    their postings are shuffled — not every posting of the corpus. The result
-    is a valid index for any operator asked about these terms.
+    tokenised once and tokens that are not query terms are dropped in the same
+    generated-code stage, before any shuffle, so only the query's postings are
+    shuffled — not every posting of the corpus. The result is a valid index
+    for any operator asked about these terms.
     """
     terms = query_terms(q) if isinstance(q, str) else list(q)
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hits = F.filter(tokens(F.col(text)), lambda t: F.array_contains(wanted, t))
-    return (docs.select(F.col(url).alias("url"), F.explode(hits).alias("term"))
+    return (docs.select(F.col(url).alias("url"), F.explode(tokens(F.col(text))).alias("term"))
+            .filter(F.col("term").isin(terms))
             .groupBy("term", "url").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -77,9 +82,13 @@ def text_lengths(docs: DataFrame, url: str = "url", text: str = "text") -> DataF
     """``(url, dl)`` straight from the documents: a narrow map, no shuffle.
 
     Documents without any token are left out, as they are from the postings.
+    The filter tests for a letter or digit (the same documents) instead of
+    ``dl > 0``: a filter on the alias would be pushed below the projection by
+    substituting the expression, tokenising every document twice.
     """
-    return (docs.select(F.col(url).alias("url"), F.size(tokens(F.col(text))).alias("dl"))
-            .filter(F.col("dl") > 0).select("url", F.col("dl").cast("long").alias("dl")))
+    return (docs.filter(F.col(text).rlike(TOKEN_CHAR))
+            .select(F.col(url).alias("url"),
+                    F.size(tokens(F.col(text))).cast("long").alias("dl")))
 
 
 def write_index(index: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
