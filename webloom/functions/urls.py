@@ -71,8 +71,9 @@ def href_links(html: Column) -> Column:
 
 def link_urls(link_objects: Column) -> Column:
     """Array of link objects ``{url}`` -> array of urls; a link without ``url``
-    is dropped on its own (the page keeps its other links)."""
-    return F.filter(F.transform(link_objects, lambda l: l["url"]), lambda u: u.isNotNull())
+    is dropped on its own (the page keeps its other links). Native field
+    extraction and ``array_compact``, no lambdas."""
+    return F.array_compact(link_objects["url"])
 
 
 def site_links(links: Column, prefix: str = SITE_PREFIX, legacy: bool = False) -> Column:
