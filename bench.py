@@ -71,7 +71,11 @@ def main() -> None:
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
     times.update(served(spark, sf_dir))
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    label = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(label)
+    except ValueError:
+        sf = label
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf}))
 
