@@ -9,6 +9,8 @@ in the oracle SQL (``webloom.plans.oracle``). Ranks and scores are rounded to
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,12 @@ from webloom.operators import results as R
 from webloom.operators import search as S
 from webloom.plans import batch_search as BS
 from webloom.plans import production as PR
+from webloom.plans import serving as SV
 from webloom.plans.search_request import search_request
 from webloom.sources import readers as RD
 from webloom.sources import sinks as SK
 from webloom.sources import tables as TB
+from webloom.session import ensure_checkpoint_dir
 
 # Parameters of the registered queries.
 GRAPH_QUERY = "widget"       # search term on graph P
@@ -339,6 +343,28 @@ def batch_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _batch_graph(spark, sf)[1]
 
 
+def _served(spark, sf):
+    """Build the serving stores under the checkpoint directory, then answer the
+    flagship request from them (reads only the request's keys)."""
+    g = _graph(spark, sf)
+    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    store = os.path.join(ensure_checkpoint_dir(spark), "stores", f"p_{uuid.uuid4().hex[:12]}")
+    SV.build_stores(g, ranked, g.pages, store, buckets=16)
+    return SV.served_request(spark, store, GRAPH_QUERY, budget=GRAPH_BUDGET, buckets=16)
+
+
+def served_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _served(spark, sf).table
+
+
+def served_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _served(spark, sf).nodes
+
+
+def served_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _served(spark, sf).edges
+
+
 def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked store after round 1, updated with the round-2 ranking."""
     g = _graph(spark, sf)
@@ -400,6 +426,9 @@ QUERIES.update({
     "batch_tables": batch_tables,
     "batch_graph_nodes": batch_graph_nodes,
     "batch_graph_edges": batch_graph_edges,
+    "served_table": served_table,
+    "served_graph_nodes": served_graph_nodes,
+    "served_graph_edges": served_graph_edges,
     "upsert_ranks": upsert_ranks,
     "scatter_points": scatter_points,
     "cluster_labels": cluster_labels,

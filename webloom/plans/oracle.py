@@ -263,6 +263,9 @@ bedges AS (SELECT query_id, source, target, value FROM sedges
            FROM nbrs)"""
 
 SQL.update({
+    "served_table": SQL["search_table"],
+    "served_graph_nodes": SQL["graph_nodes"],
+    "served_graph_edges": SQL["graph_edges"],
     "batch_graph_nodes": BATCH_GRAPH
     + ' SELECT query_id, node_id, name, "group", rank, total_links FROM bnodes',
     "batch_graph_edges": BATCH_GRAPH + " SELECT query_id, source, target, value FROM bedges",
