@@ -36,8 +36,32 @@ P_SKIP_REM = 3
 P_MULT = 7919
 
 
+# Column types of the driver tables this library reads (no inference pass).
+COLUMN_TYPES = {
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string",
+             "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint",
+                 "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double",
+                 "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+                 "l_linestatus": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string",
+                  "n_chars": "bigint"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "events": {"event_id": "bigint", "user_id": "bigint", "event_type": "string",
+               "value": "double", "props": "string"},
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read the named columns of a driver table with an explicit schema (only
+    those columns are read; no schema-inference job). Unknown tables or
+    columns fall back to the file's own schema."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    types = COLUMN_TYPES.get(name, {})
+    if columns and all(c in types for c in columns):
+        ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
+        return spark.read.schema(ddl).parquet(path)
+    df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
