@@ -1,6 +1,8 @@
 import gzip
 import json
 
+from pyspark.sql import functions as F
+
 
 from webloom.plans import production as PR
 from webloom.sources import readers as RD
@@ -117,3 +119,20 @@ def test_write_pages_per_archive(spark, tmp_path):
     SK.write_pages(df, str(tmp_path / "out"))
     names = sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("archive="))
     assert names == ["archive=s_a.gz.json", "archive=s_b.gz.json"]
+
+
+def test_archive_headers_map(spark, tmp_path):
+    d = tmp_path / "w"
+    d.mkdir()
+    body = "payload"
+    rec = (f"WARC/1.0\r\nWARC-Type: response\r\nwarc-target-uri: http://a/b\r\n"
+           f"Content-Length: {len(body) + 3}\r\nX-Note: a: b\r\nx-note: again\r\n"
+           f"WARC-Target-URI: http://dup/\r\n\r\n{body}\r\n\r\n").encode()
+    (d / "x.warc").write_bytes(rec)
+    from webloom.functions.urls import header
+    r = RD.read_archive(spark, str(d)).select(
+        "url", "length_ok", header(F.col("headers"), "WARC-TYPE").alias("t"),
+        header(F.col("headers"), "x-note").alias("n"),
+        header(F.col("headers"), "missing").alias("m")).first()
+    assert (r.url, r.t, r.n, r.m) == ("http://a/b", "response", "a: b", None)
+    assert r.length_ok is False       # declared length does not match: flagged, kept

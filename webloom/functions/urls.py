@@ -48,6 +48,14 @@ def normalize_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
+def header(headers: Column, name: str) -> Column:
+    """First value of a record header by name (``headers`` is a list of
+    ``(name, value)`` with lower-cased names; NULL when absent or empty)."""
+    wanted = name.lower()
+    hit = F.try_element_at(F.filter(headers, lambda h: h["name"] == F.lit(wanted)), F.lit(1))
+    return F.nullif(hit["value"], F.lit(""))
+
+
 def output_name(path: Column) -> Column:
     """Per-archive output file name: slashes to underscores, ``.json`` appended."""
     return F.concat(F.translate(path, "/", "_"), F.lit(".json"))

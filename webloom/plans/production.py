@@ -16,6 +16,7 @@ from webloom.functions import text as TX
 from webloom.functions import urls as U
 from webloom.operators import pages as PG
 from webloom.sources import readers, sinks
+from webloom.sources.tables import spread
 
 
 def archive_paths(index: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -54,8 +55,9 @@ def run(spark: SparkSession, text_glob: str, meta_glob: str, out_dir: str,
     meta_path)`` as made by ``archive_paths``, in which case records from a
     derived archive count for the listed one.
     """
-    texts = text_records(readers.read_archive(spark, text_glob), descriptor)
-    links = link_records(readers.read_link_metadata(spark, meta_glob), descriptor)
+    # A .gz archive is one task; with fewer archives than cores, spread records.
+    texts = text_records(spread(readers.read_archive(spark, text_glob)), descriptor)
+    links = link_records(spread(readers.read_link_metadata(spark, meta_glob)), descriptor)
     sinks.write_pages(texts, f"{out_dir}/text")
     sinks.write_pages(links, f"{out_dir}/links")
     # Count per archive first (partial aggregate); only counts meet the path list.

@@ -17,8 +17,6 @@ from webloom.functions import urls as U
 # fixed values: archive record framing
 RECORD_SEPARATOR = "WARC/1.0\r\n"
 HEADER_END = "\r\n\r\n"
-TARGET_URI = r"(?im)^WARC-Target-URI:\s*([^\r\n]*)"
-CONTENT_LENGTH = r"(?im)^Content-Length:\s*(\d+)"
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
@@ -34,13 +32,15 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archive records ``(source_file, url, payload, length_ok)``.
+    """Archive records ``(source_file, url, headers, payload, length_ok)``.
 
     The text source splits on the record separator (gzip members decode
-    transparently; a ``.gz`` file is one task, so callers with few large
-    archives should repartition after reading). The header block ends at the
-    first blank line; ``length_ok`` compares the payload with the declared
-    Content-Length to flag a record cut by a separator inside its payload.
+    transparently; a ``.gz`` file is one task, see ``production.run``). The
+    header block ends at the first blank line and becomes a list of
+    ``(name, value)`` pairs with lower-cased names; ``url`` is the first
+    ``warc-target-uri``. ``length_ok``
+    compares the payload with the declared content length, flagging a record
+    cut short by a separator inside its payload.
     """
     raw = (spark.read.option("lineSep", RECORD_SEPARATOR).text(path)
            .select(F.input_file_name().alias("source_file"), "value")
@@ -51,15 +51,19 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                   ).otherwise(F.lit(""))
     # A record's content ends with a blank line before the next separator.
     payload = F.regexp_replace(body, r"\r\n\r\n$", "")
-    declared = F.regexp_extract(header, CONTENT_LENGTH, 1)
-    rec = raw.select("source_file", header.alias("header"), payload.alias("payload"),
-                     declared.alias("declared"))
+    # Header lines as (name, value) pairs; a list, not a map, because records
+    # may repeat a header and a map rejects duplicate keys.
+    headers = F.transform(
+        F.array_remove(F.split(header, "\r\n"), ""),
+        lambda line: F.struct(F.lower(F.trim(F.substring_index(line, ":", 1))).alias("name"),
+                              F.trim(F.substr(line, F.instr(line, ":") + 1)).alias("value")))
+    rec = raw.select("source_file", headers.alias("headers"), payload.alias("payload"))
+    declared = U.header(F.col("headers"), "Content-Length")
     return rec.select(
-        "source_file",
-        F.nullif(F.regexp_extract("header", TARGET_URI, 1), F.lit("")).alias("url"),
+        "source_file", U.header(F.col("headers"), "WARC-Target-URI").alias("url"), "headers",
         "payload",
-        F.when(F.col("declared") == "", F.lit(None)).otherwise(
-            F.octet_length("payload") == F.col("declared").cast("long")).alias("length_ok"))
+        F.when(declared.isNull(), F.lit(None)).otherwise(
+            F.octet_length("payload") == declared.try_cast("long")).alias("length_ok"))
 
 
 def read_link_metadata(spark: SparkSession, path: str) -> DataFrame:
