@@ -365,6 +365,23 @@ def served_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _served(spark, sf).edges
 
 
+def pages_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned link and text pages written as JSON lines, one directory per
+    source archive (derived from the page id), read back and joined on url."""
+    p = TB.web_pages(spark, sf).withColumn(
+        "source_file", F.concat(F.lit("crawl/warc/part-"),
+                                (F.col("page_id") % ARCHIVE_DIRS).cast("string"),
+                                F.lit(".warc.gz")))
+    base = os.path.join(ensure_checkpoint_dir(spark), "pages", uuid.uuid4().hex[:12])
+    SK.write_pages(PG.page_links(p).select("source_file", "url", "links"), f"{base}/links")
+    SK.write_pages(PG.text_pages(p).select("source_file", "url", "plaintext"), f"{base}/text")
+    links = RD.read_links(spark, f"{base}/links")
+    text = RD.read_text(spark, f"{base}/text")
+    return links.join(text, "url").select(
+        "url", F.size("links").alias("n_links"),
+        F.length("plaintext").cast("long").alias("n_chars"))
+
+
 def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked store after round 1, updated with the round-2 ranking."""
     g = _graph(spark, sf)
@@ -426,6 +443,7 @@ QUERIES.update({
     "batch_tables": batch_tables,
     "batch_graph_nodes": batch_graph_nodes,
     "batch_graph_edges": batch_graph_edges,
+    "pages_json_roundtrip": pages_json_roundtrip,
     "served_table": served_table,
     "served_graph_nodes": served_graph_nodes,
     "served_graph_edges": served_graph_edges,

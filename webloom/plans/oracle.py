@@ -263,6 +263,12 @@ bedges AS (SELECT query_id, source, target, value FROM sedges
            FROM nbrs)"""
 
 SQL.update({
+    "pages_json_roundtrip": f"""SELECT url,
+       CAST(len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1),
+                            lambda x: starts_with(x, '/'))) AS INTEGER) AS n_links,
+       CAST(length(regexp_replace(regexp_replace(html, '{TAG}', '', 'g'), '{NON_ASCII}', '', 'g'))
+            AS BIGINT) AS n_chars
+FROM pages""",
     "served_table": SQL["search_table"],
     "served_graph_nodes": SQL["graph_nodes"],
     "served_graph_edges": SQL["graph_edges"],
