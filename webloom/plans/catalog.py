@@ -273,16 +273,28 @@ def index_lines_from_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(line.alias("value"))
 
 
+def _scratch(spark, kind: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), kind, uuid.uuid4().hex[:12])
+
+
 def index_records(spark: SparkSession, sf: str) -> DataFrame:
-    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    """Index lines written as text files, read back as an index directory."""
+    d = _scratch(spark, "index")
+    index_lines_from_pages(spark, sf).write.text(d)
+    idx = RD.read_index(spark, d, glob="part-*")
     return idx.select("urlkey", "url", "filename", "valid",
                       U.text_archive_path(F.col("filename")).alias("text_path"),
                       U.meta_archive_path(F.col("filename")).alias("meta_path"))
 
 
 def index_archive_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Archive paths for a domain pattern, written as a path list and read back."""
     idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
-    return PR.archive_paths(idx, DOMAIN_PATTERN)
+    d = _scratch(spark, "paths")
+    SK.write_paths(PR.archive_paths(idx, DOMAIN_PATTERN), d)
+    return RD.read_paths(spark, d).select(
+        "path", U.text_archive_path(F.col("path")).alias("text_path"),
+        U.meta_archive_path(F.col("path")).alias("meta_path"))
 
 
 def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
