@@ -394,6 +394,36 @@ def pages_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.length("plaintext").cast("long").alias("n_chars"))
 
 
+ARCHIVE_DESCRIPTOR = "example.net"   # url descriptor of the archive round trip
+
+
+def _archive_records(pages: DataFrame, payload) -> DataFrame:
+    """One archive record per page: header block, blank line, payload."""
+    return pages.select(F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: "), F.col("url"),
+        F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"),
+        F.lit("\r\n\r\n"), payload).alias("value"))
+
+
+def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as text and metadata archives, read back by the archive
+    readers and turned into cleaned text and site links, joined on url."""
+    p = TB.web_pages(spark, sf)
+    d = _scratch(spark, "archives")
+    links = F.transform(U.href_links(F.col("html")), lambda h: F.struct(h.alias("url")))
+    meta = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(links.alias("Links"))
+        .alias("HTML-Metadata")).alias("HTTP-Response-Metadata")).alias("Payload-Metadata"))
+        .alias("Envelope")))
+    _archive_records(p, F.col("html")).write.option("lineSep", "\r\n\r\n").text(f"{d}/wet")
+    _archive_records(p, meta).write.option("lineSep", "\r\n\r\n").text(f"{d}/wat")
+    texts = PR.text_records(RD.read_archive(spark, f"{d}/wet"), ARCHIVE_DESCRIPTOR)
+    pages = PR.link_records(RD.read_link_metadata(spark, f"{d}/wat"), ARCHIVE_DESCRIPTOR,
+                            prefix="/", base=None)
+    return pages.join(texts, "url").select(
+        "url", F.size("links").alias("n_links"),
+        F.length("plaintext").cast("long").alias("n_chars"))
+
+
 def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked store after round 1, updated with the round-2 ranking."""
     g = _graph(spark, sf)
@@ -456,6 +486,7 @@ QUERIES.update({
     "batch_graph_nodes": batch_graph_nodes,
     "batch_graph_edges": batch_graph_edges,
     "pages_json_roundtrip": pages_json_roundtrip,
+    "archive_roundtrip": archive_roundtrip,
     "served_table": served_table,
     "served_graph_nodes": served_graph_nodes,
     "served_graph_edges": served_graph_edges,

@@ -269,6 +269,12 @@ SQL.update({
        CAST(length(regexp_replace(regexp_replace(html, '{TAG}', '', 'g'), '{NON_ASCII}', '', 'g'))
             AS BIGINT) AS n_chars
 FROM pages""",
+    "archive_roundtrip": f"""SELECT url,
+       CAST(len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1),
+                            lambda x: starts_with(x, '/'))) AS INTEGER) AS n_links,
+       CAST(length(regexp_replace(regexp_replace(html, '{TAG}', '', 'g'), '{NON_ASCII}', '', 'g'))
+            AS BIGINT) AS n_chars
+FROM pages WHERE strpos(url, '{C.ARCHIVE_DESCRIPTOR}') > 0""",
     "served_table": SQL["search_table"],
     "served_graph_nodes": SQL["graph_nodes"],
     "served_graph_edges": SQL["graph_edges"],
