@@ -60,3 +60,19 @@ def test_keyed_lookup_with_quotes_in_keys(spark, tmp_path):
     write_keyed(df, store, "url", 4)
     got = read_keyed(spark, store, "url", keys[:3], 4).collect()
     assert sorted(r.url for r in got) == sorted(keys[:3])
+
+
+def test_hot_key_is_split_over_several_files(spark, tmp_path):
+    import glob
+    from pyspark.sql import functions as F
+    from webloom.sources.keyed import buckets_for, read_keyed, write_keyed
+    rows = spark.range(20000).select(
+        F.when(F.col("id") < 15000, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50)
+                                                                       .cast("string"))).alias("term"),
+        F.col("id").alias("url"))
+    store = str(tmp_path / "p")
+    write_keyed(rows, store, "term", 8)
+    b = buckets_for(spark, ["hot"], "string", 8)[0]
+    files = glob.glob(f"{store}/bucket={b}/*.parquet")
+    assert len(files) > 1
+    assert read_keyed(spark, store, "term", ["hot"], 8).count() == 15000
