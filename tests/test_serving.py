@@ -71,7 +71,7 @@ def test_hot_key_is_split_over_several_files(spark, tmp_path):
                                                                        .cast("string"))).alias("term"),
         F.col("id").alias("url"))
     store = str(tmp_path / "p")
-    write_keyed(rows, store, "term", 8)
+    write_keyed(rows, store, "term", 8, partitions=8)
     b = buckets_for(spark, ["hot"], "string", 8)[0]
     files = glob.glob(f"{store}/bucket={b}/*.parquet")
     assert len(files) > 1

@@ -24,17 +24,21 @@ def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", partitions: int | None = None) -> None:
     """Write ``df`` as a key-bucketed, key-sorted parquet store.
 
     Range partitioning on ``(bucket, key, row hash)`` instead of hashing on the
     bucket: a bucket holding a hot key (a term in a third of all documents) is
     split over several tasks and files by key and row-hash ranges, never
     written by one task. Files stay sorted by key for row-group pruning.
+    Without ``partitions`` AQE sizes the ranges (it merges only ranges smaller
+    than its advisory size, so a hot key still spans many files).
     """
     spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    (with_bucket(df, key, buckets).repartitionByRange(BUCKET, key, spread)
-     .sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET).parquet(path))
+    keyed = with_bucket(df, key, buckets)
+    ranged = (keyed.repartitionByRange(partitions, BUCKET, key, spread) if partitions
+              else keyed.repartitionByRange(BUCKET, key, spread))
+    ranged.sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
 # Spark's xxhash64 is XXH64 with this seed over the value's bytes
