@@ -86,3 +86,18 @@ def test_command_line_rank_stores_search(spark, tmp_path):
     doc = json.loads(spark.read.text(str(tmp_path / "q/graph")).first().value)
     # cutoff 2.0: every rank here is below it, so the graph is empty but well formed
     assert doc == {"nodes": [], "links": []}
+
+
+def test_command_line_ingest_twice_is_exactly_once(spark, tmp_path):
+    from webloom.__main__ import main
+    src = tmp_path / "land"
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps({"url": "u1", "links": ["x"]}) + "\n")
+    args = ["ingest", "--links", str(src), "--out", str(tmp_path / "o"),
+            "--checkpoint", str(tmp_path / "ck")]
+    assert main(args, spark) == 0
+    (src / "b.json").write_text(json.dumps({"url": "u2", "links": []}) + "\n")
+    assert main(args, spark) == 0
+    assert spark.read.parquet(str(tmp_path / "o/links")).count() == 2
+    from webloom.streaming.ingest import read_ingest_log
+    assert read_ingest_log(spark, str(tmp_path / "o/log_links")).count() == 2

@@ -8,6 +8,7 @@ nothing here sets cluster options.
   stores   link pages + text pages -> serving stores (postings, stats, ranked, links)
   search   one request against the stores -> result table, analysis rows, graph
   cluster  saved analysis files -> k-means labels, centroids, scatter table
+  ingest   newly landed page files -> appended parquet + ingest log (exactly once)
 """
 
 from __future__ import annotations
@@ -54,6 +55,11 @@ def _parser() -> argparse.ArgumentParser:
     cl.add_argument("--analysis", required=True)
     cl.add_argument("--out", required=True)
     cl.add_argument("--tag", default="analysis_data")
+    ig = sub.add_parser("ingest")
+    ig.add_argument("--links", help="directory where link-page files land")
+    ig.add_argument("--text", help="directory where text-page files land")
+    ig.add_argument("--out", required=True)
+    ig.add_argument("--checkpoint", help="stream checkpoints (default: spark.checkpoint.dir)")
     return p
 
 
@@ -94,6 +100,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.cmd == "cluster":
         from webloom.plans import clustering
         clustering.run(spark, args.analysis, args.out, args.tag)
+    elif args.cmd == "ingest":
+        from webloom.streaming import ingest
+        ck = args.checkpoint
+        queries = []
+        if args.links:
+            queries.append(ingest.ingest_link_pages(
+                spark, args.links, f"{args.out}/links", ck and f"{ck}/links"))
+            queries.append(ingest.ingest_log(
+                ingest.link_page_stream(spark, args.links), f"{args.out}/log_links",
+                checkpoint_location=ck and f"{ck}/log_links"))
+        if args.text:
+            queries.append(ingest.ingest_text_pages(
+                spark, args.text, f"{args.out}/text", ck and f"{ck}/text"))
+        for q in queries:
+            q.awaitTermination()
     return 0
 
 
