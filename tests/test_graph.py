@@ -62,3 +62,10 @@ def test_graph_p_fixture_numbers(spark):
     assert kept.count() == 174
     top = G.top_ranks(ranks, 1).first()
     assert (top["url"], top["rank"]) == (0, 4.546463)
+
+
+def test_hot_sources_across_checkpoint_segments(mini_graph):
+    edges = G.build_edges(mini_graph.links, hot_max_keys=10, hot_min_rows=1)
+    hot = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=2, edges=edges))
+    plain = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=0))
+    assert hot == plain

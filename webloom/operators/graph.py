@@ -40,10 +40,11 @@ class LinkGraph:
 @dataclass(frozen=True)
 class Edges:
     """Weighted edges ``(src, dst, w)`` with ``w = multiplicity / out_degree``,
-    split by whether ``src`` is a hot source (``hot_src`` is bounded)."""
+    split by whether ``src`` is a hot source (``hot_src`` is bounded).
+    ``hot`` is None once it is known that no source is hot."""
     cold: DataFrame
-    hot: DataFrame
-    hot_src: DataFrame  # (src)
+    hot: DataFrame | None
+    hot_src: DataFrame | None  # (src)
 
 
 # ---------------------------------------------------------------- adjacency
@@ -115,11 +116,11 @@ def contributions(edges: Edges, ranks: DataFrame) -> DataFrame:
     Cold sources join by shuffle; the ranks of hot sources (fewer than
     HOT_MAX_KEYS rows by construction) are broadcast to their edges.
     """
-    hot_ranks, _ = split_by_keys(ranks, "src", edges.hot_src, "src")
-    via_cold = edges.cold.join(ranks, "src")
-    via_hot = edges.hot.join(F.broadcast(hot_ranks), "src")
-    return (via_cold.unionByName(via_hot)
-            .select("dst", (F.col("rank") * F.col("w")).alias("contrib")))
+    via = edges.cold.join(ranks, "src")
+    if edges.hot is not None:
+        hot_ranks, _ = split_by_keys(ranks, "src", edges.hot_src, "src")
+        via = via.unionByName(edges.hot.join(F.broadcast(hot_ranks), "src"))
+    return via.select("dst", (F.col("rank") * F.col("w")).alias("contrib"))
 
 
 def bucketed_table(df: DataFrame, key: str, buckets: int, prefix: str) -> DataFrame:
@@ -169,9 +170,13 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
         spark = graph.links.sparkSession
         ensure_checkpoint_dir(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"),
-                      hot=edges.hot.checkpoint(eager=True),
-                      hot_src=edges.hot_src.checkpoint(eager=True))
+        hot_src = written_table(edges.hot_src, "hot_src")
+        if hot_src.isEmpty():  # known now, after one pass: drop the hot branch
+            edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"), hot=None,
+                          hot_src=None)
+        else:
+            edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"),
+                          hot=written_table(edges.hot, "hot_edges"), hot_src=hot_src)
     ranks = graph.pages.select(F.col("url").alias("src"),
                                F.lit(INITIAL_RANK).cast("double").alias("rank"))
     for i in range(rounds):
