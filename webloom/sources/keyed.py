@@ -76,26 +76,27 @@ def buckets_for(spark: SparkSession, values: list, key_type: str, buckets: int)
 def read_keyed(spark: SparkSession, path: str, key: str, values: list,
                buckets: int = 64) -> DataFrame:
     """Rows of a keyed store whose key is in ``values`` (a bounded list)."""
-    key_type = _key_type(spark, path, key)
+    schema = _store_schema(spark, path)
+    key_type = schema[key].dataType.simpleString()
     ids = buckets_for(spark, values, key_type, buckets)
-    if not ids:
-        return spark.read.parquet(path).drop(BUCKET).limit(0)
-    # List only the wanted bucket directories; basePath keeps the column.
+    # List only the wanted bucket directories; basePath keeps the column, and
+    # the known schema spares a second footer-inference pass.
     dirs = [os.path.join(path, f"{BUCKET}={b}") for b in ids]
     dirs = [d for d in dirs if _exists(spark, d)]
     if not dirs:
-        return spark.read.parquet(path).drop(BUCKET).limit(0)
-    store = spark.read.option("basePath", path).parquet(*dirs)
+        return spark.read.schema(schema).parquet(path).drop(BUCKET).limit(0)
+    store = spark.read.schema(schema).option("basePath", path).parquet(*dirs)
     return (store.filter(F.col(BUCKET).isin(ids) & _in_list(key, values, key_type))
             .drop(BUCKET))
 
 
-def _key_type(spark: SparkSession, path: str, key: str) -> str:
-    """Key type from one bucket directory's footer (the writer uses one schema)."""
+def _store_schema(spark: SparkSession, path: str):
+    """Schema of a keyed store (bucket column included), read from the footer
+    of one bucket directory (the writer uses one schema for all of them)."""
     first = _first_bucket(spark, path)
-    reader = spark.read.option("basePath", path)
-    df = reader.parquet(first) if first else spark.read.parquet(path)
-    return df.schema[key].dataType.simpleString()
+    if first:
+        return spark.read.option("basePath", path).parquet(first).schema
+    return spark.read.parquet(path).schema
 
 
 def _fs_path(spark: SparkSession, p: str):
