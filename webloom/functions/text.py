@@ -9,7 +9,7 @@ from __future__ import annotations
 import codecs
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,19 +43,42 @@ def _unescape_udf(s: pd.Series) -> pd.Series:
     return s.map(_decode_escapes)
 
 
-def unescape(text: Column) -> Column:
-    """Decode backslash escapes; on failure the input is kept unchanged.
+def _escaped_only(text: Column) -> Column:
+    """The text where it holds a backslash, NULL elsewhere.
 
-    The Arrow UDF only sees rows that contain a backslash; every other row
-    stays in whole-stage codegen.
+    Spark evaluates a Python UDF for every row even inside CASE WHEN, so the
+    UDF is given NULL for rows without a backslash: only escaped rows' text
+    crosses to Python, the rest costs a validity bit in the Arrow batch.
     """
-    return F.when(F.instr(text, "\\") > 0, _unescape_udf(text)).otherwise(text)
+    return F.when(F.instr(text, "\\") > 0, text)
+
+
+def unescape(text: Column) -> Column:
+    """Decode backslash escapes; on failure the input is kept unchanged."""
+    decoded = _unescape_udf(_escaped_only(text))
+    return F.when(F.instr(text, "\\") > 0, decoded).otherwise(text)
 
 
 def clean_text(text: Column, decode_escapes: bool = True) -> Column:
     """Tag-stripped, escape-decoded, ASCII-only text."""
     stripped = strip_tags(text)
     if decode_escapes:
-        return F.when(F.instr(stripped, "\\") > 0, _unescape_udf(stripped)).otherwise(
-            ascii_only(stripped))
+        decoded = _unescape_udf(_escaped_only(stripped))
+        return F.when(F.instr(stripped, "\\") > 0, decoded).otherwise(ascii_only(stripped))
     return ascii_only(stripped)
+
+
+def with_clean_text(df: DataFrame, src: str, out: str, decode_escapes: bool = True) -> DataFrame:
+    """``df`` plus ``out``: ``clean_text`` of column ``src``, with the tag-stripped
+    text computed once as its own column (the optimizer keeps that projection,
+    as inlining would repeat a regex over the whole text) before the optional
+    escape-decoding UDF and the ASCII filter read it."""
+    stripped = "_stripped"
+    staged = df.withColumn(stripped, strip_tags(F.col(src)))
+    col = F.col(stripped)
+    if decode_escapes:
+        decoded = _unescape_udf(_escaped_only(col))
+        cleaned = F.when(F.instr(col, "\\") > 0, decoded).otherwise(ascii_only(col))
+    else:
+        cleaned = ascii_only(col)
+    return staged.withColumn(out, cleaned).drop(stripped)

@@ -31,7 +31,7 @@ def match_url(df: DataFrame, pattern: str, col: str = "url") -> DataFrame:
 
 def text_pages(pages: DataFrame, html: str = "html", decode_escapes: bool = True) -> DataFrame:
     """Pages -> ``(..., plaintext)``: tags stripped, escapes decoded, ASCII only."""
-    return pages.withColumn("plaintext", TX.clean_text(F.col(html), decode_escapes)).drop(html)
+    return TX.with_clean_text(pages, html, "plaintext", decode_escapes).drop(html)
 
 
 def page_links(pages: DataFrame, html: str = "html", prefix: str | None = "/",

@@ -32,8 +32,8 @@ def archive_paths(index: DataFrame, pattern: str | None = None) -> DataFrame:
 
 def text_records(records: DataFrame, descriptor: str = URL_DESCRIPTOR) -> DataFrame:
     """Text-archive records -> ``(source_file, url, plaintext)`` for matching urls."""
-    return (PG.url_contains(records, descriptor)
-            .select("source_file", "url", TX.clean_text(F.col("payload")).alias("plaintext")))
+    rows = PG.url_contains(records, descriptor).select("source_file", "url", "payload")
+    return TX.with_clean_text(rows, "payload", "plaintext").drop("payload")
 
 
 def link_records(meta: DataFrame, descriptor: str = URL_DESCRIPTOR, prefix: str = SITE_PREFIX,

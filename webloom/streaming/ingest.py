@@ -46,8 +46,7 @@ def text_page_stream(spark: SparkSession, in_dir: str, files_per_trigger: int |
     reader = spark.readStream.schema(SC.TEXT_PAGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return (reader.json(in_dir)
-            .withColumn("plaintext", TX.clean_text(F.col("plaintext")))
+    return (TX.with_clean_text(reader.json(in_dir), "plaintext", "plaintext")
             .withColumn("source_file", F.input_file_name()))
 
 
