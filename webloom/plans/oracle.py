@@ -126,6 +126,17 @@ SQL: dict[str, str] = {
     "search_neighbours": REQUEST + " SELECT node_id, seed_idx, link FROM nbrs",
     "graph_nodes": REQUEST + ' SELECT node_id, name, "group", rank, total_links FROM nodes',
     "graph_edges": REQUEST + " SELECT source, target, value FROM edges",
+    "graph_document": REQUEST + """,
+nl AS (SELECT coalesce(list(struct_pack(name := name, "group" := "group", rank := rank,
+                                        total_links := total_links) ORDER BY node_id), []) AS l
+       FROM nodes),
+el AS (SELECT coalesce(list(struct_pack(source := source, target := target, value := value)
+                            ORDER BY CASE WHEN value = 1 THEN source ELSE target END, value,
+                                     source, target), []) AS l
+       FROM edges)
+SELECT CAST(len(nl.l) AS INTEGER) AS n_nodes, CAST(len(el.l) AS INTEGER) AS n_edges,
+       to_json(struct_pack(nodes := nl.l, links := el.l)) AS document
+FROM nl, el""",
     "hit_share_graph": GRAPH_INDEX + f""",
 h AS (SELECT count(DISTINCT url) AS hits FROM idx WHERE term IN ({_terms(C.GRAPH_QUERY)})),
 b AS (SELECT count(DISTINCT url) AS base_hits FROM idx WHERE term IN ({_terms(C.GRAPH_BASE_TERM)}))
