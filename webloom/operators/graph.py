@@ -45,6 +45,7 @@ class Edges:
     cold: DataFrame
     hot: DataFrame | None
     hot_src: DataFrame | None  # (src)
+    degree: DataFrame | None = None  # (src, out_degree): links per page, repeats counted
 
 
 # ---------------------------------------------------------------- adjacency
@@ -107,7 +108,7 @@ def build_edges(links: DataFrame, hot_max_keys: int = HOT_MAX_KEYS,
     cold = pairs_cold.join(degree.select("src", "out_degree"), "src").select("src", "dst", w)
     hot_e = (pairs_hot.join(F.broadcast(degree_hot.select("src", "out_degree")), "src")
              .select("src", "dst", w))
-    return Edges(cold=cold, hot=hot_e, hot_src=hot)
+    return Edges(cold=cold, hot=hot_e, hot_src=hot, degree=degree.select("src", "out_degree"))
 
 
 def contributions(edges: Edges, ranks: DataFrame) -> DataFrame:
@@ -171,12 +172,14 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
         ensure_checkpoint_dir(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         hot_src = written_table(edges.hot_src, "hot_src")
+        degree = written_table(edges.degree, "degree") if edges.degree is not None else None
         if hot_src.isEmpty():  # known now, after one pass: drop the hot branch
             edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"), hot=None,
-                          hot_src=None)
+                          hot_src=None, degree=degree)
         else:
             edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"),
-                          hot=written_table(edges.hot, "hot_edges"), hot_src=hot_src)
+                          hot=written_table(edges.hot, "hot_edges"), hot_src=hot_src,
+                          degree=degree)
     ranks = graph.pages.select(F.col("url").alias("src"),
                                F.lit(INITIAL_RANK).cast("double").alias("rank"))
     for i in range(rounds):
@@ -190,14 +193,20 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
     return ranks.withColumnRenamed("src", "url")
 
 
-def ranked_pages(graph: LinkGraph, ranks: DataFrame) -> DataFrame:
+def ranked_pages(graph: LinkGraph, ranks: DataFrame, edges: Edges | None = None) -> DataFrame:
     """Ranks of crawled pages with their link counts: ``(url, rank, total_links)``.
 
     A left join of ranks with the pages followed by a not-null filter is an
     inner join; un-crawled targets (ranked, no page) and pages that lost
     their rank drop out. ``total_links`` counts repeats (the list length).
+    Passing the ``edges`` the ranks came from reuses their out-degree table
+    instead of aggregating the link table again.
     """
-    degree = (graph.links.groupBy("url").agg(F.count(F.lit(1)).alias("total_links")))
+    if edges is not None and edges.degree is not None:
+        degree = edges.degree.select(F.col("src").alias("url"),
+                                     F.col("out_degree").alias("total_links"))
+    else:
+        degree = graph.links.groupBy("url").agg(F.count(F.lit(1)).alias("total_links"))
     pages = (graph.pages.select("url").join(degree, "url", "left")
              .select("url", F.coalesce("total_links", F.lit(0)).cast("long").alias("total_links")))
     return ranks.join(pages, "url").select("url", "rank", "total_links")

@@ -61,6 +61,12 @@ def _graph(spark, sf):
     return TB.part_graph(spark, sf)
 
 
+def _ranked1(g: G.LinkGraph) -> DataFrame:
+    """Ranked pages after one round; the out-degree comes from the same edges."""
+    edges = G.build_edges(g.links)
+    return G.ranked_pages(g, G.pagerank(g, 1, edges=edges), edges)
+
+
 def pagerank_r1(spark: SparkSession, sf: str) -> DataFrame:
     return G.pagerank(_graph(spark, sf), rounds=1).select("url", _r6("rank"))
 
@@ -77,7 +83,7 @@ def pagerank_r10(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_pages(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    return G.ranked_pages(g, G.pagerank(g, 1)).select("url", _r6("rank"), "total_links")
+    return _ranked1(g).select("url", _r6("rank"), "total_links")
 
 
 def top_ranks(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +103,7 @@ def received_r1(spark: SparkSession, sf: str) -> DataFrame:
 
 def _request(spark, sf):
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return search_request(S.query_postings(g.pages, GRAPH_QUERY), ranked, g.links, GRAPH_QUERY,
                           budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
 
@@ -145,19 +151,19 @@ def hit_share_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_with_ranks(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return R.text_with_ranks(g.pages, ranked).select("url", _r6("rank"),
                                                      F.length("text").cast("long").alias("n_chars"))
 
 
 def rank_slice_keys(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    return G.slice_keys(G.ranked_pages(g, G.pagerank(g, 1)))
+    return G.slice_keys(_ranked1(g))
 
 
 def rank_slice(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return G.rank_slice(ranked.select("url", _r6("rank"), "total_links"),
                         SLICE_LINKS).select("url", "rank")
 
@@ -327,21 +333,21 @@ def _batch_queries(spark, sf):
 
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
                            lengths=S.text_lengths(g.pages))
 
 
 def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return BS.batch_tables(BS.batch_search(S.build_index(g.pages), ranked,
                                            _batch_queries(spark, sf)))
 
 
 def _batch_graph(spark, sf):
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     found = BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
                             lengths=S.text_lengths(g.pages))
     return BS.batch_graph(found, g.links, GRAPH_BUDGET)
@@ -359,7 +365,7 @@ def _served(spark, sf):
     """Build the serving stores under the checkpoint directory, then answer the
     flagship request from them (reads only the request's keys)."""
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     store = os.path.join(ensure_checkpoint_dir(spark), "stores", f"p_{uuid.uuid4().hex[:12]}")
     SV.build_stores(g, ranked, g.pages, store, buckets=16)
     return SV.served_request(spark, store, GRAPH_QUERY, budget=GRAPH_BUDGET, buckets=16)
@@ -427,14 +433,14 @@ def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked store after round 1, updated with the round-2 ranking."""
     g = _graph(spark, sf)
-    old = G.ranked_pages(g, G.pagerank(g, 1)).select("url", _r6("rank"))
+    old = _ranked1(g).select("url", _r6("rank"))
     new = G.ranked_pages(g, G.pagerank(g, 2)).select("url", _r6("rank"))
     return SK.upsert(old, new, "url")
 
 
 def _analysis_rows(spark, sf):
     g = _graph(spark, sf)
-    ranked = G.ranked_pages(g, G.pagerank(g, 1))
+    ranked = _ranked1(g)
     return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf)).select(
         "url", "rank", "total_links").distinct()
 

@@ -38,8 +38,9 @@ def rank_link_pages(link_pages: DataFrame, rounds: int = DEFAULT_ROUNDS,
     else:
         pages = G.one_capture_per_url(link_pages.withColumn("_src", F.lit("")), "_src")
     graph = G.link_pages_graph(pages.select("url", "links"))
-    ranks = G.pagerank(graph, rounds)
-    return Ranking(graph=graph, ranks=ranks, ranked=G.ranked_pages(graph, ranks))
+    edges = G.build_edges(graph.links)
+    ranks = G.pagerank(graph, rounds, edges=edges)
+    return Ranking(graph=graph, ranks=ranks, ranked=G.ranked_pages(graph, ranks, edges))
 
 
 def run(spark: SparkSession, links_path: str, out_dir: str, rounds: int = DEFAULT_ROUNDS) -> None:
