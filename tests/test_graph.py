@@ -69,3 +69,11 @@ def test_hot_sources_across_checkpoint_segments(mini_graph):
     hot = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=2, edges=edges))
     plain = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=0))
     assert hot == plain
+
+
+def test_ranked_pages_with_edge_degree_equals_recount(mini_graph):
+    edges = G.build_edges(mini_graph.links)
+    ranks = G.pagerank(mini_graph, 2, edges=edges)
+    a = sorted(tuple(r) for r in G.ranked_pages(mini_graph, ranks, edges).collect())
+    b = sorted(tuple(r) for r in G.ranked_pages(mini_graph, ranks).collect())
+    assert a == b

@@ -101,3 +101,17 @@ def test_command_line_ingest_twice_is_exactly_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o/links")).count() == 2
     from webloom.streaming.ingest import read_ingest_log
     assert read_ingest_log(spark, str(tmp_path / "o/log_links")).count() == 2
+
+
+def test_command_line_paths(spark, tmp_path):
+    from webloom.__main__ import main
+    d = tmp_path / "idx"
+    d.mkdir()
+    (d / "domain-x-00").write_text(
+        'org,x)/a 2015 {"url": "http://en.x.org/a", "filename": "c/s/warc/f1.warc.gz"}\n'
+        'org,y)/b 2015 {"url": "http://y.org/b", "filename": "c/s/warc/f2.warc.gz"}\n'
+        'bad line\n')
+    assert main(["paths", "--index", str(d), "--pattern", "*.x.org", "--out",
+                 str(tmp_path / "p")], spark) == 0
+    assert [r.path for r in readers.read_paths(spark, str(tmp_path / "p")).collect()] == \
+        ["c/s/warc/f1.warc.gz"]
