@@ -77,3 +77,11 @@ def test_ranked_pages_with_edge_degree_equals_recount(mini_graph):
     a = sorted(tuple(r) for r in G.ranked_pages(mini_graph, ranks, edges).collect())
     b = sorted(tuple(r) for r in G.ranked_pages(mini_graph, ranks).collect())
     assert a == b
+
+
+def test_pagerank_accepts_edges_without_hot_branch(mini_graph):
+    e = G.build_edges(mini_graph.links)
+    no_hot = G.Edges(cold=e.cold, hot=None, hot_src=None, degree=e.degree)
+    a = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=2, edges=no_hot))
+    b = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=0))
+    assert a == b

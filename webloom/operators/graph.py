@@ -171,9 +171,9 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
         spark = graph.links.sparkSession
         ensure_checkpoint_dir(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        hot_src = written_table(edges.hot_src, "hot_src")
+        hot_src = written_table(edges.hot_src, "hot_src") if edges.hot_src is not None else None
         degree = written_table(edges.degree, "degree") if edges.degree is not None else None
-        if hot_src.isEmpty():  # known now, after one pass: drop the hot branch
+        if hot_src is None or hot_src.isEmpty():  # known after one pass: drop the hot branch
             edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"), hot=None,
                           hot_src=None, degree=degree)
         else:
