@@ -154,7 +154,16 @@ def damp(received: Column, damping: float = DAMPING, teleport: float = TELEPORT)
 def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DAMPING,
              teleport: float = TELEPORT, checkpoint_every: int = CHECKPOINT_EVERY,
              edges: Edges | None = None) -> DataFrame:
-    """Unnormalised PageRank after ``rounds`` rounds: ``(url, rank)``.
+    """Unnormalised PageRank after ``rounds`` rounds: ``(url, rank)``."""
+    return pagerank_with_edges(graph, rounds, damping, teleport, checkpoint_every, edges)[0]
+
+
+def pagerank_with_edges(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS,
+                        damping: float = DAMPING, teleport: float = TELEPORT,
+                        checkpoint_every: int = CHECKPOINT_EVERY,
+                        edges: Edges | None = None) -> tuple[DataFrame, Edges]:
+    """PageRank ``(url, rank)`` and the edges it ran on (written ones when the
+    run spans checkpoints), so later steps can reuse their degree table.
 
     Each round is one join (edges never reshuffle: cold edges keep their
     exchange, hot ones are reached by broadcast) and one partial+final
@@ -190,7 +199,7 @@ def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DA
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < rounds:
             ensure_checkpoint_dir(ranks.sparkSession)
             ranks = ranks.checkpoint(eager=True)
-    return ranks.withColumnRenamed("src", "url")
+    return ranks.withColumnRenamed("src", "url"), edges
 
 
 def ranked_pages(graph: LinkGraph, ranks: DataFrame, edges: Edges | None = None) -> DataFrame:

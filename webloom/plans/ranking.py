@@ -38,8 +38,7 @@ def rank_link_pages(link_pages: DataFrame, rounds: int = DEFAULT_ROUNDS,
     else:
         pages = G.one_capture_per_url(link_pages.withColumn("_src", F.lit("")), "_src")
     graph = G.link_pages_graph(pages.select("url", "links"))
-    edges = G.build_edges(graph.links)
-    ranks = G.pagerank(graph, rounds, edges=edges)
+    ranks, edges = G.pagerank_with_edges(graph, rounds)
     return Ranking(graph=graph, ranks=ranks, ranked=G.ranked_pages(graph, ranks, edges))
 
 
