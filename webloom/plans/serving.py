@@ -66,18 +66,22 @@ def served_request(spark: SparkSession, store: str, q: str, budget: int = 1000,
     plus its first ``per_seed`` distinct links.
     """
     hits = served_scores(spark, store, q, buckets=buckets)
-    first = [r[0] for r in R.first_hits(hits, max_lookups).select("url").collect()]
+    hit_urls = [r[0] for r in R.first_hits(hits, max_lookups).select("url").collect()]
     found = _local(spark, R.above_rank(
-        read_keyed(spark, f"{store}/ranked", "url", first, buckets), cutoff))
+        read_keyed(spark, f"{store}/ranked", "url", hit_urls, buckets), cutoff))
     seeds = _local(spark, R.pick_seeds(found, R.seed_count(budget)))
     seed_urls = [r["url"] for r in seeds.select("url").collect()]
     links = read_keyed(spark, f"{store}/links", "url", seed_urls, buckets)
     dlinks = R.seed_links(links, seeds)
-    targets = F.broadcast(seeds.select(F.col("url").alias("link"), F.lit(True).alias("_t")))
+    # Keep, per seed, its first ``per_seed`` distinct links (a pure rank limit,
+    # so Spark cuts it per task before the shuffle) and its links that are
+    # seeds (at most seeds^2 rows); nothing else is needed downstream.
     w = Window.partitionBy("seed_idx").orderBy(F.asc("first_pos"), F.asc("link"))
-    needed = (dlinks.withColumn("_k", F.row_number().over(w)).join(targets, "link", "left")
-              .filter((F.col("_k") <= per_seed) | F.col("_t").isNotNull())
-              .select("seed_idx", "link", "first_pos"))
+    top = (dlinks.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_seed)
+           .select("seed_idx", "link", "first_pos"))
+    targets = F.broadcast(seeds.select(F.col("url").alias("link")))
+    to_seeds = dlinks.join(targets, "link", "left_semi").select("seed_idx", "link", "first_pos")
+    needed = top.unionByName(to_seeds).distinct()
     dlinks = _local(spark, needed)
     s_edges = R.seed_edges(dlinks, seeds)
     nbrs = R.neighbours(dlinks, s_edges, seeds, per_seed)
