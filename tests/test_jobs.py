@@ -115,3 +115,21 @@ def test_command_line_paths(spark, tmp_path):
                  str(tmp_path / "p")], spark) == 0
     assert [r.path for r in readers.read_paths(spark, str(tmp_path / "p")).collect()] == \
         ["c/s/warc/f1.warc.gz"]
+
+
+def test_command_line_produce(spark, tmp_path):
+    from webloom.__main__ import main
+    wet, wat = tmp_path / "wet", tmp_path / "wat"
+    wet.mkdir()
+    wat.mkdir()
+    (wet / "s1.warc.wet").write_bytes(_rec("http://en.wikipedia.org/wiki/A", "<b>Hi</b>"))
+    meta = {"Envelope": {"Payload-Metadata": {"HTTP-Response-Metadata": {"HTML-Metadata": {
+        "Links": [{"url": "/wiki/B"}]}}}}}
+    (wat / "s1.warc.wat").write_bytes(_rec("http://en.wikipedia.org/wiki/A", json.dumps(meta)))
+    (tmp_path / "paths.txt").write_text(f"{wet / 's1.warc.wet'}\nmissing/x.warc.gz\n")
+    out = str(tmp_path / "out")
+    assert main(["produce", "--text", str(wet), "--meta", str(wat), "--out", out,
+                 "--paths", str(tmp_path / "paths.txt")], spark) == 0
+    m = {r.source_file.rsplit("/", 1)[-1]: r.status
+         for r in spark.read.json(out + "/manifest").collect()}
+    assert m == {"s1.warc.wet": "uploaded", "x.warc.gz": "NOTuploaded"}
