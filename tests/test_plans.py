@@ -38,6 +38,12 @@ def test_neighbour_topk_is_partial_before_shuffle(spark):
     assert "WindowGroupLimit" in final
 
 
+def test_batch_neighbour_topk_is_partial_before_shuffle(spark):
+    df = E.queries()["batch_graph_nodes"](spark, SF)
+    df.collect()
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_request_plan_has_no_runtime_filter_on_tiny_sides(spark):
     df = E.queries()["graph_nodes"](spark, SF)
     assert "might_contain" not in plan_of(df)
