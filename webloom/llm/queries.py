@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import langid
+from webloom.llm import langid, minmax, rlz
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.report(read(spark, sf_dir, "documents"))
+
+
+def op6_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_relative_lz": op3_relative_lz,
+    "op6_min_max_hash": op6_min_max_hash,
     "op9_language_id": op9_language_id,
 }
 

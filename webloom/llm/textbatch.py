@@ -17,7 +17,7 @@ GROUP_BYTES = 4 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 BASE_INVERSE = pow(BASE, -1, 2**64)
 
 #: The white space bytes of the word pattern [^\x20\x09-\x0D]+.
