@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from webloom.session import ensure_checkpoint_dir
 
-#: Bits of the membership bitmap: a fixed 8 MiB, whatever the input.
-BITMAP_BITS = 1 << 26
+#: Bits of the membership bitmap, kept 64 to a row: at most 262,144 rows (4 MiB
+#: of values) are broadcast, whatever the input.
+BITMAP_BITS = 1 << 24
 
 _written: list[str] = []
 
@@ -31,10 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; call when their results are stored."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written_since(mark: int | None = None) -> int | list[str]:
+    """Without a mark, a mark; with one, the folders written since."""
+    return len(_written) if mark is None else _written[mark:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders; call when the results that read them are stored."""
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -46,16 +51,14 @@ def row_key(*columns: str) -> Column:
 def holding(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of `rows` whose long `key` may be in `wanted`: all that are, and few others.
 
-    A fixed-size bitmap of the wanted keys is broadcast, so that rows which
+    A bitmap of the wanted keys, of fixed size, is broadcast, so that rows which
     take no part in a following join on `key` are not shuffled for it.
     """
-    bit = lambda c: F.col(c).bitwiseAND(F.lit(BITMAP_BITS - 1))
-    marks = wanted.select(bit(key).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_marks"))
-    place = F.bitmap_bit_position(bit(key))
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(bit(key))).withColumn("_place", place).join(F.broadcast(marks), "_bucket")
-    is_set = F.expr("getbit(cast(conv(hex(substring(_marks, cast(_place / 8 as int) + 1, 1)), 16, 10) as int), cast(_place % 8 as int)) = 1")
-    return joined.filter(is_set).select(*[F.col(f"`{c}`") for c in rows.columns])
+    place = F.col(key).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    marks = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_place & 63 as int)))").alias("_marks"))
+    joined = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(marks), "_word")
+    return joined.filter("getbit(_marks, cast(_place & 63 as int)) = 1").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import langid, minmax, rlz
+from webloom.llm import containment, langid, minmax, mixing, rlz
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,18 +17,31 @@ def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(read(spark, sf_dir, "documents"))
 
 
+def op4_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_relative_lz": op3_relative_lz,
+    "op4_containment": op4_containment,
     "op6_min_max_hash": op6_min_max_hash,
+    "op7_mixing": op7_mixing,
     "op9_language_id": op9_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_containment": containment.SQL,
+    "op7_mixing": mixing.SQL,
+}
