@@ -1,33 +1,43 @@
 """Paged listings of a large table (an index listing, page ``p`` of ``size`` rows).
 
-Global row numbers without a single-partition window: range-partition and
-sort by the key, count rows per partition (one row per partition), turn the
-counts into running offsets (a window over partition ids only), and add each
-row's position inside its partition.
+Global row numbers without a single-partition window: the range-sorted rows are
+written once, each with its partition and its place in it; the rows per
+partition (one row each) become running offsets. Both the offsets and the rows
+are read from that one written table, so they always agree.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import ensure_checkpoint_dir
+
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
-    """``df`` plus a 0-based global row number in ``order`` (which must be unique)."""
-    cols = df.columns
-    tagged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .select("*", F.spark_partition_id().alias("_pid"),
-                      F.monotonically_increasing_id().alias("_mid")))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .select(*cols, (F.col("_off") + local).alias(name)))
+    """``df`` plus a 0-based global row number in ``order``.
+
+    Rows that tie on ``order`` are numbered in an order that is fixed once the
+    sorted table is written. The table lies under the checkpoint folder.
+    """
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), _ROW_BITS)
+    ordered = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+               .select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                       F.spark_partition_id().alias("_pid"), place.alias("_place")))
+    path = f"{ensure_checkpoint_dir(spark)}/row-index-{uuid.uuid4().hex}"
+    ordered.write.parquet(path)
+    stored = spark.read.schema(ordered.schema).parquet(path)
+    counts = stored.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each partition of the sorted table.
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (stored.join(F.broadcast(offsets), "_pid")
+            .select(*[F.col("_row").getField(c).alias(c) for c in df.columns], (F.col("_off") + F.col("_place")).alias(name)))
 
 
 def index_page(df: DataFrame, page: int, page_size: int, *order: str) -> DataFrame:
@@ -42,6 +52,3 @@ def page_count(df: DataFrame, page_size: int) -> DataFrame:
     n = F.count(F.lit(1))
     return df.agg(n.alias("n_rows"), F.ceil(n / F.lit(page_size)).alias("n_pages"))
 
-
-def pages_needed(n_rows: int, page_size: int) -> int:
-    return math.ceil(n_rows / page_size) if page_size > 0 else 0
