@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import containment, langid, minmax, mixing, rlz
+from webloom.llm import containment, html_text, langid, minmax, mixing, rlz, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,16 +29,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op8_url_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_relative_lz": op3_relative_lz,
     "op4_containment": op4_containment,
     "op6_min_max_hash": op6_min_max_hash,
     "op7_mixing": op7_mixing,
+    "op8_url_difference": op8_url_difference,
     "op9_language_id": op9_language_id,
+    "op10_warc_index": op10_warc_index,
 }
 
 SQL: dict[str, str] = {
