@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import containment, html_text, langid, minmax, mixing, rlz, warc
+from webloom.llm import containment, html_text, langid, mih, minmax, mixing, rlz, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.report(read(spark, sf_dir, "embeddings"))
+
+
 def op6_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
 
@@ -44,6 +48,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_relative_lz": op3_relative_lz,
     "op4_containment": op4_containment,
+    "op5_multi_index_hash": op5_multi_index_hash,
     "op6_min_max_hash": op6_min_max_hash,
     "op7_mixing": op7_mixing,
     "op8_url_difference": op8_url_difference,
