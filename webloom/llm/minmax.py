@@ -33,8 +33,8 @@ from webloom.llm.textbatch import LOWER, gram_hashes, groups, mix, span_hashes,
 WIDTH = 4
 BANDS = 32
 PER_BAND = 2  # permutations, two values each
-#: Members of a block in the exact comparison of a bucket.
-BLOCK = 256
+#: Shingles of a block in the exact comparison of a bucket (8 bytes each).
+BLOCK = 250_000
 
 _rng = np.random.Generator(np.random.PCG64(6))
 _MULTIPLY = _rng.integers(0, 2**31, BANDS * PER_BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -144,12 +144,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     rows = docs.select(row_key(id, text).alias("key"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(_sign, "key long, doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"), "signatures")
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("set_lo", "set_hi").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "key").alias("bands"))
+    classes = filled.groupBy("set_lo", "set_hi").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.min_by("bands", "key").alias("bands"))
     nodes = written(classes, "classes")
 
-    banded = nodes.select("node", "copies", F.explode("bands").alias("bucket"))
-    hubs = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("copies", "node")).alias("hub")).filter("members > 1")
-    shared = written(banded.join(hubs, "bucket").select("bucket", "members", "node", "hub"), "buckets")
+    banded = nodes.select("node", "copies", "size", F.explode("bands").alias("bucket"))
+    hubs = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), F.max_by("node", F.struct("copies", "node")).alias("hub")).filter("members > 1")
+    shared = written(banded.join(hubs, "bucket").select("bucket", "total", "node", "hub"), "buckets")
     pairs = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     taking_part = shared.select(F.col("node").alias("key")).distinct()
     sets = written(holding(rows, taking_part, "key").dropDuplicates(["key"]).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
@@ -158,14 +158,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     roots = components(links)
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    rest = written(rooted.join(split, "bucket").select("bucket", "members", "node", "root"), "rest")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = written(rooted.join(split, "bucket").select("bucket", "total", "node", "root"), "rest")
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root",
                            F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     crossing = placed.join(nodes.select("node", "bands"), "node").join(sets, "node").groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long")
-    joined = components(links.unionByName(written(crossing.distinct(), "crossing")))
+    crossing = written(crossing.distinct(), "crossing")
+    joined = roots if crossing.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(crossing))
 
     of_class = nodes.select("set_lo", "set_hi", "node").join(joined, "node", "left").select("set_lo", "set_hi", F.coalesce("root", "node").alias("root"))
     empty = signed.filter("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
