@@ -3,9 +3,9 @@
 The model is a trie of byte contexts up to `ORDER` bytes, with counts of the
 byte that follows each context in the training texts. A byte is predicted from
 its longest context. If it was never seen there, the model escapes to the next
-shorter context (method C: a context with n symbols of d kinds escapes with
-probability d / (n + d)), where every byte seen in the longer context is
-excluded. Below the empty context all bytes not yet excluded are equally
+shorter context (method D: a context with n symbols of d kinds escapes with
+probability d / 2n, and a kind seen c times has (2c - 1) / 2n), where every byte
+seen in the longer context is excluded. Below the empty context all bytes not yet excluded are equally
 likely. A text ends with the byte 0xFF and starts after 0xFE bytes, which never
 occur in UTF-8, so code lengths are those of a proper distribution.
 
@@ -137,10 +137,10 @@ def _pairs(batches):
 def _step(c, n, d, x, k, below):
     """log P of symbols with count c in contexts of n symbols of d kinds, where
     symbols of k kinds that occur x times are excluded; `below` after an escape."""
-    total = n - x + d - k
+    total = n - x
     with np.errstate(divide="ignore", invalid="ignore"):
-        seen = np.log10(c / total)
-        escape = np.where(total > 0, np.log10((d - k) / total), 0.0)
+        seen = np.log10((c - 0.5) / total)
+        escape = np.where(total > 0, np.log10((d - k) / 2 / total), 0.0)
     return np.where(c > 0, seen, escape + below)
 
 
