@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import containment, html_text, langid, mih, minmax, mixing, ppm, rlz, warc
+from webloom.llm import containment, html_text, langid, mih, minmax, mixing, ppm, rlz, suffixes, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(spark, sf_dir, "documents"))
+
+
 def op2_prediction_by_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.report(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_induced_sorting": op1_induced_sorting,
     "op2_prediction_by_partial_matching": op2_prediction_by_partial_matching,
     "op3_relative_lz": op3_relative_lz,
     "op4_containment": op4_containment,
