@@ -71,9 +71,9 @@ def test_url_patterns(spark):
 
 
 def test_labels(spark):
-    assert U.dataset_label("*.wikipedia.org") == "domain-wikipedia.org-"
-    assert U.dataset_label("en.wikipedia.org/wiki/*") == "prefix-en.wikipedia.org-wiki-"
-    assert U.dataset_label("http://a.b/c d") == "a.b-c%20d-"
+    for pattern, label in (("*.wikipedia.org", "domain-wikipedia.org-"), ("en.wikipedia.org/wiki/*", "prefix-en.wikipedia.org-wiki-"),
+                           ("http://a.b/c d", "a.b-c%20d-"), ("//a.b/~x*y/", "a.b-~x%2Ay-"), ("", "-")):
+        assert one(spark, U.dataset_label(F.col("v")), pattern, "v string") == label
     assert one(spark, U.page_label(F.col("v"), 120), 7, "v int") == "007"
 
 

@@ -50,3 +50,18 @@ def test_clustering_job_on_saved_files(spark, tmp_path):
     c = clustering.run(spark, str(tmp_path), str(tmp_path / "out"))
     assert c.labelled.count() == 40
     assert spark.read.parquet(str(tmp_path / "out/centroids")).count() == 4
+
+
+def test_wide_rows_keep_their_numbers(spark):
+    wide = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("k"), F.col("id").alias("v"), F.md5(F.col("id").cast("string")).alias("pad"))
+    numbered = PA.with_row_index(wide, "k")
+    got = numbered.agg(F.count(F.lit(1)), F.count_distinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()
+    assert tuple(got) == (400_000, 400_000, 0, 399_999)
+    assert PA.index_page(wide, 100, 1000, "k").count() == 1000
+
+
+def test_rows_without_a_feature_keep_a_null_label(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2), ("b", None, 3), ("c", 9.0, 30), ("d", 2.0, None)], "url string, rank double, total_links int")
+    got = {r.url: r.label for r in CL.assign(rows, CL.fit(rows, 2)).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got["b"] is None and got["d"] is None and got["a"] != got["c"]
+    assert sum(r.n for r in CL.centroids(CL.assign(rows, CL.fit(rows, 2))).collect()) == 2

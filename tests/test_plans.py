@@ -5,18 +5,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from webloom.plans import catalog
 from webloom.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 FITS_MODELS = {"cluster_labels", "cluster_centroids"}
-TEXT_CLEANING = {"page_text", "archive_roundtrip"}
+TEXT_CLEANING = {"page_text", "archive_roundtrip", "escaped_text"}
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - FITS_MODELS))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - FITS_MODELS))
 def test_no_cartesian_no_python_in_core(spark, name):
     plan = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -52,7 +53,7 @@ def test_request_plan_has_no_runtime_filter_on_tiny_sides(spark):
 def test_entry_contract(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 4 and df.columns == ["url", "rank", "total_links"]
+    assert len(rows) == 3 and df.columns == ["url", "rank", "total_links"]
     assert set(E.oracle_sql()) <= set(E.queries())
 
 

@@ -21,6 +21,20 @@ def test_latest_per_key_uses_order(spark):
     assert [tuple(r) for r in SK.latest_per_key(df, "url", "version").collect()] == [("a", 9.0, 3)]
 
 
+def test_last_write_wins_whatever_the_row_order(spark, tmp_path):
+    for n, rows in enumerate(([("a", "aa-first", 1), ("a", "zz-later", 2)], [("a", "zz-later", 2), ("a", "aa-first", 1)])):
+        got = SK.store_upsert(str(tmp_path / str(n)), spark.createDataFrame(rows, "url string, plaintext string, written int"), "url", "written")
+        assert [r.plaintext for r in got.collect()] == ["zz-later"]
+
+
+def test_store_merges_over_runs(spark, tmp_path):
+    store = str(tmp_path / "s")
+    SK.store_upsert(store, spark.createDataFrame([("a", 1.0), ("b", 2.0)], "url string, rank double"))
+    SK.store_upsert(store, spark.createDataFrame([("b", 3.0), ("c", 4.0)], "url string, rank double"))
+    assert SK.store_version(spark, store) == 2
+    assert sorted(map(tuple, SK.read_store(spark, store).collect())) == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
+
+
 def test_rank_slices_layout(spark, tmp_path):
     df = spark.createDataFrame([("a", 3.0, 2), ("b", 5.0, 2), ("c", 1.0, 7)],
                                "url string, rank double, total_links long")

@@ -136,3 +136,25 @@ def test_archive_headers_map(spark, tmp_path):
         header(F.col("headers"), "missing").alias("m")).first()
     assert (r.url, r.t, r.n, r.m) == ("http://a/b", "response", "a: b", None)
     assert r.length_ok is False       # declared length does not match: flagged, kept
+
+
+def test_broken_json_lines_are_flagged_and_counted(spark, tmp_path):
+    from webloom.sources import readers as RD
+    (tmp_path / "p.json").write_text('{"url": "a", "links": ["x"]}\n{"url": "b", "links"\n{"links": ["y"]}\n')
+    rows = RD.read_links(spark, str(tmp_path))
+    assert sorted((r.url or "", r.valid) for r in rows.collect()) == [("", False), ("", False), ("a", True)]
+    assert RD.rejected(rows).first().n_rejected == 2
+
+
+def test_a_version_line_inside_a_payload_does_not_cut_it(spark, tmp_path):
+    from webloom.plans import production as PR
+    from webloom.sources import readers as RD
+    def record(url, payload):
+        return f"WARC/1.0\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(payload)}\r\n\r\n{payload}\r\n\r\n"
+    inner, cut = "AAA WARC/1.0\r\n BBB tail", "AAA\r\n\r\nWARC/1.0\r\nBBB"
+    (tmp_path / "a.warc").write_bytes((record("http://w/1", inner) + record("http://w/2", cut) + record("http://w/3", "end")).encode())
+    rows = RD.read_archive(spark, str(tmp_path))
+    got = {r.url: (r.payload, r.length_ok) for r in rows.collect() if r.url}
+    assert got["http://w/1"] == (inner, True) and got["http://w/3"] == ("end", True) and got["http://w/2"][1] is False
+    assert {r.url for r in PR.text_records(rows, "http://w").collect()} == {"http://w/1", "http://w/3"}
+    assert RD.rejected(rows, "length_ok").first().n_rejected == 1

@@ -83,9 +83,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.cmd == "stores":
         from webloom.plans import ranking, serving
         from webloom.sources import readers
-        r = ranking.rank_link_pages(readers.read_links(spark, args.links), args.rounds,
-                                    source_col=None)
-        docs = readers.read_text(spark, args.text).select(
+        r = ranking.rank_link_pages(readers.read_links(spark, args.links), args.rounds)
+        docs = readers.read_text(spark, args.text).filter("valid").select(
             "url", F.col("plaintext").alias("text"))
         serving.build_stores(r.graph, r.ranked, docs, args.out, args.buckets)
     elif args.cmd == "search":

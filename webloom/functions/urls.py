@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,15 +101,6 @@ def absolute_links(links: Column, base: Column) -> Column:
                        .otherwise(F.concat(base, l)))
 
 
-def distinct_links(links: Column) -> Column:
-    """Distinct links in order of first appearance."""
-    return F.array_distinct(links)
-
-
-def link_count(links: Column) -> Column:
-    return F.size(links)
-
-
 # ------------------------------------------------------------ url patterns
 
 def url_matches(url: Column, pattern: str) -> Column:
@@ -126,17 +115,23 @@ def url_matches(url: Column, pattern: str) -> Column:
     return url == F.lit(pattern)
 
 
-def dataset_label(pattern: str) -> str:
-    """Output label of an index query (a parameter, computed on the driver)."""
-    if pattern.startswith("*"):
-        label = "domain-" + pattern.strip("*.")
-    elif pattern.endswith("*"):
-        label = "prefix-" + pattern.strip("*")
-    elif pattern.startswith(("http://", "https://", "//")):
-        label = pattern.split("//", 1)[-1]
-    else:
-        label = pattern
-    return quote(label.strip("/").replace("/", "-")) + "-"
+def percent_encoded(text: Column) -> Column:
+    """Percent-encoding of a path segment (``url_encode`` is the form encoding,
+    which differs for the space, ``*`` and ``~``)."""
+    form = F.url_encode(text)
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")),
+                     F.lit("%7E"), F.lit("~"))
+
+
+def dataset_label(pattern: Column) -> Column:
+    """Output label of an index query: the kind of its url pattern (``domain-``,
+    ``prefix-``, nothing for an exact url), then the pattern without wildcards
+    or scheme, slashes as dashes, percent-encoded, and a closing dash."""
+    kind = (F.when(pattern.startswith("*"), F.struct(F.lit("domain-").alias("name"), F.lit(r"^[*.]+|[*.]+$").alias("junk")))
+            .when(pattern.endswith("*"), F.struct(F.lit("prefix-").alias("name"), F.lit(r"^[*]+|[*]+$").alias("junk")))
+            .otherwise(F.struct(F.lit("").alias("name"), F.lit(r"^(https?:)?//").alias("junk"))))
+    named = F.concat(kind["name"], F.regexp_replace(pattern, kind["junk"], F.lit("")))
+    return F.concat(percent_encoded(F.translate(F.regexp_replace(named, r"^/+|/+$", ""), "/", "-")), F.lit("-"))
 
 
 def page_label(page: Column, n_pages: int) -> Column:

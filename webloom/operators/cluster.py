@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.constants import KMEANS_K, KMEANS_MAX_ITER, SCATTER_MAX, SCATTER_MIN
@@ -12,11 +15,15 @@ from webloom.constants import KMEANS_K, KMEANS_MAX_ITER, SCATTER_MAX, SCATTER_MI
 FEATURES = ("total_links", "rank")
 
 
+def complete(rows: DataFrame) -> Column:
+    """Whether a row has both features (neither NULL nor NaN)."""
+    return reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in FEATURES])
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """Rows plus a ``features`` vector ``[total_links, rank]``."""
-    cast = rows.withColumn("total_links", F.col("total_links").cast("double"))
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features",
-                           handleInvalid="skip").transform(cast)
+    """Complete rows plus a ``features`` vector ``[total_links, rank]``."""
+    cast = rows.filter(complete(rows)).withColumn("total_links", F.col("total_links").cast("double"))
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cast)
 
 
 def fit(rows: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
@@ -27,16 +34,27 @@ def fit(rows: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
 
 
 def assign(rows: DataFrame, model: KMeansModel) -> DataFrame:
-    """Nearest-centroid label for every row: ``(url, total_links, rank, label)``.
+    """Nearest-centroid label for every row: ``(url, total_links, rank, label)``;
+    a row that lacks a feature keeps its place with a NULL label.
 
     The model's k centres travel with the task closure; rows are never shuffled.
     """
-    return model.transform(features(rows)).select("url", "total_links", "rank", "label")
+    return nearest(rows, model_centroids(model))
+
+
+def nearest(rows: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
+    """Label of the nearest centre (the first of equally near ones) for every row."""
+    links, rank = F.col("total_links").cast("double"), F.col("rank").cast("double")
+    far = [F.pow(links - F.lit(x), 2) + F.pow(rank - F.lit(y), 2) for x, y in centres]
+    least = F.array_min(F.array(*far))
+    label = F.when(complete(rows), F.array_position(F.array(*far), least) - 1).cast("int")
+    return rows.select("url", links.alias("total_links"), "rank", label.alias("label"))
 
 
 def centroids(labelled: DataFrame) -> DataFrame:
-    """Centroid table ``(label, n, total_links, rank)`` from labelled rows."""
-    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+    """Centroid table ``(label, n, total_links, rank)`` from labelled rows; rows
+    without a label belong to none."""
+    return labelled.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                          F.avg("total_links").alias("total_links"),
                                          F.avg("rank").alias("rank"))
 

@@ -173,10 +173,10 @@ def pagerank_with_edges(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS,
     if rounds < 0:
         raise ValueError("rounds must be >= 0")
     edges = edges or build_edges(graph.links)
-    if checkpoint_every and rounds > checkpoint_every:
-        # Several lineage cuts ahead: write the edges once, so no segment
-        # rebuilds them. Cold edges become a table bucketed and sorted by src,
-        # so every round's join shuffles only the ranks, never the edges.
+    if rounds > 1:
+        # Write the edges once, so no round rebuilds them. Cold edges become a
+        # table bucketed and sorted by src, so every round's join shuffles only
+        # the ranks, never the edges.
         spark = graph.links.sparkSession
         ensure_checkpoint_dir(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))

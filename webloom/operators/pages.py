@@ -60,11 +60,6 @@ def with_links(link_pages: DataFrame) -> DataFrame:
     return link_pages.filter(F.col("links").isNotNull())
 
 
-def complete_pages(ranked: DataFrame) -> DataFrame:
-    """Rows that have both a rank and a link list."""
-    return ranked.filter(F.col("rank").isNotNull() & F.col("links").isNotNull())
-
-
 def select_fields(df: DataFrame, fields: str | list[str] | None) -> DataFrame:
     """Keep a chosen field list (``"url,timestamp"`` or a list); all when None."""
     if not fields:

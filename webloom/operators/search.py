@@ -47,19 +47,29 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
 
 
-def build_index(docs: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
-    """Postings ``(term, url, tf)`` over every document's whole text.
+def _exploded(docs: DataFrame, url: str, text: str, with_length: bool) -> DataFrame:
+    """Tokens ``(url[, dl], term)``; the length comes from the same token list."""
+    listed = docs.select(F.col(url).alias("url"), tokens(F.col(text)).alias("_t"))
+    length = [F.size("_t").cast("long").alias("dl")] if with_length else []
+    return listed.select("url", *length, F.explode("_t").alias("term"))
+
+
+def build_index(docs: DataFrame, url: str = "url", text: str = "text",
+                with_length: bool = False) -> DataFrame:
+    """Postings ``(term, url, tf)`` over every document's whole text, with the
+    document's length ``dl`` where asked.
 
     ``explode`` + a partial/final aggregate on ``(term, url)``: a frequent term
     is spread over its documents, never gathered on one key.
     """
-    return (docs.select(F.col(url).alias("url"), F.explode(tokens(F.col(text))).alias("term"))
-            .groupBy("term", "url").agg(F.count(F.lit(1)).alias("tf")))
+    keys = ["term", "url", *(["dl"] if with_length else [])]
+    return _exploded(docs, url, text, with_length).groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_postings(docs: DataFrame, q: str | list[str], url: str = "url",
-                   text: str = "text") -> DataFrame:
-    """Postings ``(term, url, tf)`` of the query's terms only, from raw text.
+                   text: str = "text", with_length: bool = False) -> DataFrame:
+    """Postings ``(term, url, tf)`` (and ``dl`` where asked) of the query's terms
+    only, from raw text.
 
     For a query over documents that have no stored index: each document is
     tokenised once and tokens that are not query terms are dropped in the same
@@ -68,9 +78,9 @@ def query_postings(docs: DataFrame, q: str | list[str], url: str = "url",
     for any operator asked about these terms.
     """
     terms = query_terms(q) if isinstance(q, str) else list(q)
-    return (docs.select(F.col(url).alias("url"), F.explode(tokens(F.col(text))).alias("term"))
-            .filter(F.col("term").isin(terms))
-            .groupBy("term", "url").agg(F.count(F.lit(1)).alias("tf")))
+    keys = ["term", "url", *(["dl"] if with_length else [])]
+    return (_exploded(docs, url, text, with_length).filter(F.col("term").isin(terms))
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def doc_lengths(index: DataFrame) -> DataFrame:
@@ -117,8 +127,7 @@ def search(index: DataFrame, q: str, mode: str = "or") -> DataFrame:
     ``matched`` is the number of distinct query terms the document contains.
     """
     terms = query_terms(q)
-    hits = postings(index, terms).groupBy("url").agg(
-        F.count_distinct("term").alias("matched"))
+    hits = postings(index, terms).groupBy("url").agg(F.count(F.lit(1)).alias("matched"))
     if mode == "and":
         hits = hits.filter(F.col("matched") == len(terms))
     elif mode != "or":
@@ -153,6 +162,7 @@ def score(index: DataFrame, q: str, k1: float = BM25_K1, b: float = BM25_B,
 
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; N and the average length are
     scalar subqueries over the length table, ``df`` is one row per query term.
+    Postings that carry ``dl`` need the length table for these statistics only.
     """
     terms = query_terms(q)
     lengths = lengths if lengths is not None else doc_lengths(index)
@@ -164,8 +174,9 @@ def score(index: DataFrame, q: str, k1: float = BM25_K1, b: float = BM25_B,
     df_t = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     # df_t has at most len(terms) rows: a bounded broadcast.
-    weighted = (p.join(F.broadcast(df_t.select("term", idf.alias("idf"))), "term")
-                .join(lengths, "url"))
+    weighted = p.join(F.broadcast(df_t.select("term", idf.alias("idf"))), "term")
+    if "dl" not in p.columns:
+        weighted = weighted.join(lengths, "url")
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm
     return weighted.groupBy("url").agg(F.sum(part).alias("score"))
@@ -176,16 +187,6 @@ def match_all(docs: DataFrame) -> DataFrame:
     return docs.select("url")
 
 
-def document_count(docs: DataFrame) -> DataFrame:
-    """One row ``(n_docs)``: every stored document."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-def corpus_size(index: DataFrame, base_term: str = BASE_TERM) -> DataFrame:
-    """One row ``(hits)``: documents holding the base term (the percentage base)."""
-    return hit_count(index, base_term)
-
-
 def hit_count(index: DataFrame, q: str) -> DataFrame:
     """One row ``(hits)``: documents matching ``q`` (OR)."""
     return search(index, q).agg(F.count(F.lit(1)).alias("hits"))

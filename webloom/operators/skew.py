@@ -37,16 +37,3 @@ def split_by_keys(df: DataFrame, key: str, hot: DataFrame, hot_key: str
     cond = F.col(key) == F.col("_hot_key")
     return df.join(hk, cond, "left_semi"), df.join(hk, cond, "left_anti")
 
-
-def skew_safe_join(big: DataFrame, dim: DataFrame, key: str, hot: DataFrame,
-                   how: str = "inner") -> DataFrame:
-    """``big ⋈ dim`` on ``key`` where ``big`` may be skewed and ``dim`` has one row per key.
-
-    Hot keys: their ``dim`` rows (< HOT_MAX_KEYS) are broadcast, so the hot part
-    of ``big`` is never shuffled. Cold keys: a plain shuffle join, where no key
-    holds more than the threshold.
-    """
-    big_hot, big_cold = split_by_keys(big, key, hot, key)
-    dim_hot, _ = split_by_keys(dim, key, hot, key)
-    return (big_hot.join(F.broadcast(dim_hot), key, how)
-            .unionByName(big_cold.join(dim, key, how)))

@@ -40,8 +40,10 @@ def batch_scores(index: DataFrame, queries: DataFrame, k1: float = BM25_K1,
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm
-    return (p.join(df_t.select("term", idf.alias("idf")), "term").join(qt, "term")
-            .join(lengths, "url").groupBy("query_id", "url").agg(F.sum(part).alias("score")))
+    scored = p.join(df_t.select("term", idf.alias("idf")), "term").join(qt, "term")
+    if "dl" not in p.columns:
+        scored = scored.join(lengths, "url")
+    return (scored.groupBy("query_id", "url").agg(F.sum(part).alias("score")))
 
 
 def batch_search(index: DataFrame, ranked: DataFrame, queries: DataFrame,

@@ -12,10 +12,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.constants import DENSITY_PRESETS
 from webloom.functions import urls as U
 from webloom.functions.numeric import report_round
 from webloom.operators import cluster as CL
@@ -27,13 +29,14 @@ from webloom.operators import search as S
 from webloom.plans import batch_search as BS
 from webloom.plans import production as PR
 from webloom.plans import serving as SV
-from webloom.plans.search_request import search_request
+from webloom.plans.search_request import search_request, table_links
 from webloom.sources import readers as RD
 from webloom.sources import sinks as SK
 from webloom.sources import tables as TB
 from webloom.session import ensure_checkpoint_dir
 
 # Parameters of the registered queries.
+LIMITED = {"lookups": 200, "rows": 10, "budget": 50}
 GRAPH_QUERY = "widget"       # search term on graph P
 GRAPH_BASE_TERM = "brand"    # every graph-P page holds it: the percentage base
 GRAPH_BUDGET = 1000          # node budget -> 100 seeds
@@ -104,8 +107,41 @@ def received_r1(spark: SparkSession, sf: str) -> DataFrame:
 def _request(spark, sf):
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return search_request(S.query_postings(g.pages, GRAPH_QUERY), ranked, g.links, GRAPH_QUERY,
-                          budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
+    return search_request(S.query_postings(g.pages, GRAPH_QUERY, with_length=True), ranked, g.links,
+                          GRAPH_QUERY, budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
+
+
+def _limited_request(spark, sf):
+    """The request with limits that bind: fewer lookups than hits, fewer table
+    rows and seeds than pages found."""
+    g = _graph(spark, sf)
+    return search_request(S.query_postings(g.pages, GRAPH_QUERY, with_length=True), _ranked1(g), g.links,
+                          GRAPH_QUERY, budget=LIMITED["budget"], max_lookups=LIMITED["lookups"],
+                          table_rows=LIMITED["rows"], lengths=S.text_lengths(g.pages))
+
+
+def limited_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return _limited_request(spark, sf).analysis()
+
+
+def limited_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _limited_request(spark, sf).table
+
+
+def limited_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _limited_request(spark, sf).nodes
+
+
+def limited_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _limited_request(spark, sf).edges
+
+
+def preset_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of the request for every density preset, by preset name."""
+    found = _request(spark, sf).found
+    sets = [R.pick_seeds(found, R.seed_count(R.node_budget(name))).select(F.lit(name).alias("preset"), "seed_idx", "url")
+            for name in DENSITY_PRESETS]
+    return reduce(DataFrame.unionByName, sets)
 
 
 def search_analysis(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +229,7 @@ def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
-    return S.score(S.query_postings(d, DOC_QUERY), DOC_QUERY, lengths=S.text_lengths(d)).select(
+    return S.score(S.query_postings(d, DOC_QUERY, with_length=True), DOC_QUERY, lengths=S.text_lengths(d)).select(
         "url", _r6("score"))
 
 
@@ -334,10 +370,16 @@ def _batch_queries(spark, sf):
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
+    return BS.batch_search(S.build_index(g.pages, with_length=True), ranked, _batch_queries(spark, sf),
                            lengths=S.text_lengths(g.pages))
 
 
+def limited_batch_tables(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    found = BS.batch_search(S.build_index(g.pages), _ranked1(g), _batch_queries(spark, sf), max_lookups=LIMITED["lookups"] // 10)
+    return BS.batch_tables(found, LIMITED["rows"])
+
+
 def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = _ranked1(g)
@@ -435,14 +477,131 @@ def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     old = _ranked1(g).select("url", _r6("rank"))
     new = G.ranked_pages(g, G.pagerank(g, 2)).select("url", _r6("rank"))
-    return SK.upsert(old, new, "url")
+    store = _scratch(spark, "ranked")
+    SK.store_upsert(store, old)
+    return SK.store_upsert(store, new)
+
+
+def document_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned pages written to the text store in two batches, the second of which
+    repeats keys: the last write of a url wins."""
+    p = PG.text_pages(TB.web_pages(spark, sf)).select(
+        F.regexp_replace("url", r"[?#].*$", "").alias("url"), "plaintext", F.col("page_id").alias("written"))
+    store = _scratch(spark, "documents")
+    SK.store_upsert(store, p.filter("written % 2 = 0"), "url", "written")
+    return SK.store_upsert(store, p.filter("written % 2 = 1"), "url", "written").select(
+        "url", "written", F.length("plaintext").cast("long").alias("n_chars"))
+
+
+def ranked_bucket_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked table written bucketed by url, read back."""
+    name = f"webloom_ranked_{uuid.uuid4().hex[:12]}"
+    SK.save_ranked_table(_ranked1(_graph(spark, sf)).select("url", _r6("rank"), "total_links"), name, 8)
+    return spark.table(name)
+
+
+def rank_slices_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank slices written by link count, read back."""
+    d = _scratch(spark, "slices")
+    SK.write_rank_slices(_ranked1(_graph(spark, sf)).select("url", _r6("rank"), "total_links"), d)
+    return spark.read.parquet(d).select("url", "rank", F.col("total_links").cast("long").alias("total_links"))
+
+
+def rank_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The text export of ranks, read back as lines."""
+    d = _scratch(spark, "rank_lines")
+    ranked = _ranked1(_graph(spark, sf)).select("url", F.round(F.col("rank") * 1000).cast("long").alias("rank"))
+    SK.export_text(ranked, d)
+    return spark.read.text(d)
+
+
+def ranked_links_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The links and texts exported beside the ranks, read back and joined by url."""
+    g = _graph(spark, sf)
+    d = _scratch(spark, "exports")
+    SK.export_links(table_links(_request(spark, sf).table, g.links), f"{d}/links")
+    SK.export_plaintext(g.pages.select("url", F.col("text").alias("plaintext")), f"{d}/text")
+    links = spark.read.schema("url long, link long").json(f"{d}/links")
+    texts = spark.read.schema("url long, plaintext string").json(f"{d}/text")
+    return links.join(texts, "url").groupBy("url", "plaintext").agg(F.count(F.lit(1)).alias("n_links"), F.sum("link").alias("sum_links"))
+
+
+def graph_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph document written as JSON text, read back with its schema."""
+    d = _scratch(spark, "graph")
+    SK.write_graph(_request(spark, sf).document(), d)
+    doc = spark.read.schema("nodes array<struct<name:long,group:int,rank:double,total_links:long>>, "
+                            "links array<struct<source:long,target:long,value:int>>").json(d)
+    return doc.select(F.inline("links"))
+
+
+def saved_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """Analysis rows of every query, saved as files and read back by name tag."""
+    d = _scratch(spark, "analysis")
+    SK.write_analysis(_analysis_rows(spark, sf).withColumn("url", F.col("url").cast("string")), d)
+    return RD.read_analysis(spark, d, "part-").select(F.col("url").cast("long").alias("url"), "rank", F.col("total_links").cast("long").alias("total_links"))
+
+
+# A fixed centroid table (total_links, rank) for the gate's nearest-centroid query.
+CENTRES = [(20.0, 2.5), (30.0, 3.0), (40.0, 4.0)]
+
+
+def cluster_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return CL.nearest(saved_analysis(spark, sf), CENTRES)
+
+
+def cluster_means(spark: SparkSession, sf: str) -> DataFrame:
+    return CL.centroids(cluster_nearest(spark, sf)).select("label", "n", _r6("total_links"), _r6("rank"))
+
+
+def pages_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page with its html and its row number by url."""
+    p = TB.read_table(spark, sf, "pages", "page_id", "url", "html")
+    return PA.with_row_index(p, "url", "page_id").select("page_id", "url", F.length("html").cast("long").alias("n_chars"), "row_idx")
+
+
+def paths_with_word(spark: SparkSession, sf: str) -> DataFrame:
+    """Archive paths that contain a lookup string."""
+    idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
+    return PG.path_contains(PR.archive_paths(idx), "segment-3").select("path")
+
+
+def index_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of an exact, a prefix and a domain pattern of every page url, and the
+    page label of each page of the listing, with chosen fields."""
+    p = TB.read_table(spark, sf, "pages", "page_id", "url")
+    labelled = p.select(
+        "page_id", "url", U.dataset_label(F.col("url")).alias("exact_label"), U.dataset_label(F.concat("url", F.lit("*"))).alias("prefix_label"),
+        U.dataset_label(F.concat(F.lit("*."), U.host(F.col("url")))).alias("domain_label"), U.page_label(F.col("page_id") % 100, 100).alias("page_label"))
+    return PG.select_fields(labelled, "page_id, exact_label, prefix_label, domain_label, page_label")
+
+
+def dirty_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as JSON lines of which some are cut, and some without links: the
+    readers flag the first, the link filter drops the second; counts by kind."""
+    p = PG.page_links(TB.web_pages(spark, sf)).select("page_id", "url", "links")
+    whole = F.when(F.col("page_id") % 5 == 0, F.to_json(F.struct("url"))).otherwise(F.to_json(F.struct("url", "links")))
+    d = _scratch(spark, "dirty")
+    p.select(F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("{"), whole)).otherwise(whole).alias("value")).write.text(d)
+    rows = RD.read_links(spark, d)
+    kept = PG.with_links(rows.filter("valid"))
+    bad = rows.filter("not valid").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return kept.agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.size("links")).alias("n_links")).select(
+        "n_pages", "n_links", bad.scalar().alias("n_rejected"))
+
+
+def escaped_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Page texts whose non-ASCII characters are written as backslash escapes,
+    decoded again: what is left is what the ASCII filter keeps of them."""
+    p = TB.web_pages(spark, sf).select("page_id", F.concat(F.lit("\\u00e9\\n"), F.col("url"), F.lit("\\x41")).alias("html"))
+    return PG.text_pages(p)
 
 
 def _analysis_rows(spark, sf):
     g = _graph(spark, sf)
     ranked = _ranked1(g)
     return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf)).select(
-        "url", "rank", "total_links").distinct()
+        "url", "rank", "total_links")
 
 
 def scatter_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,12 +610,12 @@ def scatter_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _analysis_rows(spark, sf)
+    rows = G.written_table(_analysis_rows(spark, sf), "analysis")
     return CL.assign(rows, CL.fit(rows))
 
 
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _analysis_rows(spark, sf)
+    rows = G.written_table(_analysis_rows(spark, sf), "analysis")
     return CL.centroids(CL.assign(rows, CL.fit(rows)))
 
 
@@ -500,4 +659,24 @@ QUERIES.update({
     "scatter_points": scatter_points,
     "cluster_labels": cluster_labels,
     "cluster_centroids": cluster_centroids,
+    "limited_analysis": limited_analysis,
+    "limited_table": limited_table,
+    "limited_nodes": limited_nodes,
+    "limited_edges": limited_edges,
+    "limited_batch_tables": limited_batch_tables,
+    "preset_seeds": preset_seeds,
+    "document_store": document_store,
+    "ranked_bucket_table": ranked_bucket_table,
+    "rank_slices_written": rank_slices_written,
+    "rank_lines": rank_lines,
+    "ranked_links_export": ranked_links_export,
+    "graph_written": graph_written,
+    "saved_analysis": saved_analysis,
+    "cluster_nearest": cluster_nearest,
+    "cluster_means": cluster_means,
+    "pages_numbered": pages_numbered,
+    "paths_with_word": paths_with_word,
+    "index_labels": index_labels,
+    "dirty_lines": dirty_lines,
+    "escaped_text": escaped_text,
 })

@@ -6,17 +6,18 @@ unrolled CTE, the index is ``unnest`` over a regex split, BM25 is spelled out.
 
 from __future__ import annotations
 
+from webloom.constants import DENSITY_PRESETS
 from webloom.plans import catalog as C
 
 TOKEN = r"[^\p{L}\p{N}]+"
 
 P_BASE = """
-np AS (SELECT count(*) AS n FROM part),
+np AS (SELECT count(*) + count(*) // 10 AS n FROM part),
 pg AS (SELECT p_partkey AS url, p_name || ' ' || p_type || ' ' || p_brand AS text
-       FROM part WHERE p_partkey % 10 <> 3),
+       FROM part),
 lk AS (SELECT l_partkey AS url, l_orderkey, l_linenumber, l_suppkey,
               l_orderkey % (1 + (l_partkey * 7919 + l_suppkey) % (SELECT n FROM np)) AS link
-       FROM lineitem WHERE l_partkey IN (SELECT url FROM pg)),
+       FROM lineitem),
 deg AS (SELECT url, count(*) AS d FROM lk GROUP BY url),
 r0 AS (SELECT url, CAST(1.0 AS DOUBLE) AS rank FROM pg)"""
 
@@ -61,11 +62,12 @@ hits AS (SELECT qp.url,
          GROUP BY qp.url)"""
 
 
-REQUEST = _with(P_BASE, _rounds(1), RANKED, _index("pg", "url", "text"), _bm25(C.GRAPH_QUERY), f"""
-fh AS (SELECT url FROM hits ORDER BY score DESC, url ASC LIMIT 10000),
+def _request(lookups: int, budget: int) -> str:
+    return _with(P_BASE, _rounds(1), RANKED, _index("pg", "url", "text"), _bm25(C.GRAPH_QUERY), f"""
+fh AS (SELECT url FROM hits ORDER BY score DESC, url ASC LIMIT {lookups}),
 found AS (SELECT rk.url, floor(round(rk.rank, 9) * 1000000 + 0.5) / 1000000 AS rank, rk.total_links
           FROM rk JOIN fh ON rk.url = fh.url WHERE floor(round(rk.rank, 9) * 1000000 + 0.5) / 1000000 > 2.0),
-top AS (SELECT * FROM found ORDER BY rank DESC, url ASC LIMIT {C.GRAPH_BUDGET // 10}),
+top AS (SELECT * FROM found ORDER BY rank DESC, url ASC LIMIT {budget // 10}),
 seeds AS (SELECT row_number() OVER (ORDER BY rank DESC, url ASC) - 1 AS seed_idx,
                  url, rank, total_links FROM top),
 dlinks AS (SELECT s.seed_idx, lk.link,
@@ -98,6 +100,10 @@ edges AS (SELECT source, target, value FROM sedges
           SELECT node_id AS source, CAST(seed_idx AS BIGINT) AS target, 4 AS value FROM nbrs)
 """)
 
+
+REQUEST = _request(10000, C.GRAPH_BUDGET)
+LIMITED = _request(C.LIMITED["lookups"], C.LIMITED["budget"])
+
 GRAPH_INDEX = _with(P_BASE, _index("pg", "url", "text"))
 DOC_INDEX = _with(_index("documents", "doc_id", "text"))
 
@@ -187,6 +193,13 @@ WHERE lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) = '
 }
 
 
+def _nearest() -> str:
+    far = [f"pow(total_links - {x}, 2) + pow(rank - {y}, 2)" for x, y in C.CENTRES]
+    return f""",
+far AS (SELECT *, [{', '.join(far)}] AS d FROM arows),
+lab AS (SELECT url, CAST(total_links AS DOUBLE) AS total_links, rank, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS label FROM far)"""
+
+
 def _r6(x: str) -> str:
     return f"floor(round({x}, 9) * 1000000 + 0.5) / 1000000"
 
@@ -211,7 +224,8 @@ dom AS (SELECT * FROM idx WHERE valid AND
            OR ends_with(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)),
                         '.example.net')))"""
 
-BATCH = _with(P_BASE, _rounds(1), RANKED, _index("pg", "url", "text"), f"""
+def _batch(lookups: int) -> str:
+    return _with(P_BASE, _rounds(1), RANKED, _index("pg", "url", "text"), f"""
 dl AS (SELECT url, sum(tf) AS dl FROM idx GROUP BY url),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 qs AS (SELECT DISTINCT p_name AS query_id FROM part),
@@ -228,10 +242,13 @@ sc AS (SELECT qt.query_id, tp.url,
        GROUP BY qt.query_id, tp.url),
 fh AS (SELECT query_id, url FROM
          (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS r
-          FROM sc) WHERE r <= 10000),
+          FROM sc) WHERE r <= {lookups}),
 found AS (SELECT fh.query_id, rk.url, {_r6('rk.rank')} AS rank, rk.total_links
           FROM fh JOIN rk ON fh.url = rk.url WHERE {_r6('rk.rank')} > 2.0),
-arows AS (SELECT DISTINCT url, rank, total_links FROM found)""")
+arows AS (SELECT url, rank, total_links FROM found)""")
+
+
+BATCH = _batch(10000)
 
 BATCH_GRAPH = BATCH + f""",
 seeds AS (SELECT * FROM
@@ -334,6 +351,43 @@ o AS (SELECT r1.url, {_r6('r1.rank')} AS rank FROM r1 JOIN pg ON r1.url = pg.url
 n AS (SELECT r2.url, {_r6('r2.rank')} AS rank FROM r2 JOIN pg ON r2.url = pg.url)""")
     + " SELECT url, rank FROM o WHERE url NOT IN (SELECT url FROM n)"
       " UNION ALL SELECT url, rank FROM n",
+    "limited_analysis": LIMITED + " SELECT url, rank, total_links FROM found",
+    "limited_table": LIMITED + f" SELECT url, rank, total_links FROM found ORDER BY rank DESC, url LIMIT {C.LIMITED['rows']}",
+    "limited_nodes": LIMITED + ' SELECT node_id, name, "group", rank, total_links FROM nodes',
+    "limited_edges": LIMITED + " SELECT source, target, value FROM edges",
+    "limited_batch_tables": _batch(C.LIMITED["lookups"] // 10) + f""" SELECT query_id, url, rank, total_links FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, url) AS r FROM found)
+WHERE r <= {C.LIMITED["rows"]}""",
+    "preset_seeds": REQUEST + " SELECT preset, row_number() OVER (PARTITION BY preset ORDER BY rank DESC, url) - 1 AS seed_idx, url FROM found, "
+    + "(VALUES " + ", ".join(f"('{k}', {v // 10})" for k, v in DENSITY_PRESETS.items()) + ") AS p(preset, n)"
+    + " QUALIFY row_number() OVER (PARTITION BY preset ORDER BY rank DESC, url) <= n",
+    "document_store": f"""WITH p AS (SELECT page_id AS written, regexp_replace(url, '[?#].*$', '') AS url,
+  length(regexp_replace(regexp_replace(html, '{TAG}', '', 'g'), '{NON_ASCII}', '', 'g')) AS n FROM pages)
+SELECT url, arg_max(written, (written % 2, written)) AS written, arg_max(n, (written % 2, written)) AS n_chars FROM p GROUP BY url""",
+    "ranked_bucket_table": SQL["ranked_pages"],
+    "rank_slices_written": SQL["ranked_pages"],
+    "rank_lines": _with(P_BASE, _rounds(1), RANKED) + " SELECT url || ' has rank: ' || CAST(round(rank * 1000) AS BIGINT) || '.' AS value FROM rk",
+    "ranked_links_export": REQUEST + """, tt AS (SELECT url FROM found ORDER BY rank DESC, url LIMIT 100)
+SELECT lk.url, any_value(pg.text) AS plaintext, count(*) AS n_links, CAST(sum(link) AS BIGINT) AS sum_links
+FROM lk JOIN tt USING (url) JOIN pg USING (url) GROUP BY lk.url""",
+    "graph_written": REQUEST + " SELECT source, target, value FROM edges",
+    "saved_analysis": BATCH + " SELECT url, rank, total_links FROM arows",
+    "cluster_nearest": BATCH + _nearest() + " SELECT url, total_links, rank, label FROM lab",
+    "cluster_means": BATCH + _nearest() + f""" SELECT label, count(*) AS n, {_r6("avg(total_links)")} AS total_links, {_r6("avg(rank)")} AS rank
+FROM lab GROUP BY label""",
+    "pages_numbered": "SELECT page_id, url, length(html) AS n_chars, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages",
+    "paths_with_word": INDEX_LINES + " SELECT DISTINCT filename AS path FROM idx WHERE valid AND contains(filename, 'segment-3')",
+    "index_labels": f"""WITH p AS (SELECT page_id, url, {HOST_SQL} AS host FROM pages)
+SELECT page_id,
+  url_encode(replace(trim(regexp_replace(url, '^(https?:)?//', ''), '/'), '/', '-')) || '-' AS exact_label,
+  'prefix-' || url_encode(replace(rtrim(url, '/'), '/', '-')) || '-' AS prefix_label,
+  'domain-' || url_encode(host) || '-' AS domain_label,
+  lpad(CAST(page_id % 100 AS VARCHAR), 3, '0') AS page_label FROM p""",
+    "dirty_lines": r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN
+  len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: starts_with(x, '/'))) END AS n FROM pages)
+SELECT count(*) FILTER (page_id % 7 <> 0 AND n IS NOT NULL) AS n_pages, CAST(sum(n) FILTER (page_id % 7 <> 0) AS BIGINT) AS n_links,
+  count(*) FILTER (page_id % 7 = 0) AS n_rejected FROM p""",
+    "escaped_text": f"SELECT page_id, regexp_replace(chr(10) || url || 'A', '{NON_ASCII}', '', 'g') AS plaintext FROM pages",
     "scatter_points": BATCH + f""" SELECT url, total_links, rank, {_r6('log10(rank)')} AS log_rank
 FROM arows WHERE total_links BETWEEN 2 AND 500 AND rank BETWEEN 2 AND 500""",
 })

@@ -33,17 +33,23 @@ def rank_link_pages(link_pages: DataFrame, rounds: int = DEFAULT_ROUNDS,
     Several captures of one url are reduced to one first (largest list, then
     smallest source file), so repeated captures do not repeat initial ranks.
     """
-    if source_col and source_col in link_pages.columns:
-        pages = G.one_capture_per_url(link_pages, source_col)
-    else:
-        pages = G.one_capture_per_url(link_pages.withColumn("_src", F.lit("")), "_src")
+    good = link_pages.filter("valid") if "valid" in link_pages.columns else link_pages
+    if source_col and source_col in good.columns:
+        pages = G.one_capture_per_url(good, source_col)
+    else:  # captures of equal length: the least link list, whatever the input order
+        pages = G.one_capture_per_url(good.select("url", "links", F.col("links").alias("_src")), "_src")
     graph = G.link_pages_graph(pages.select("url", "links"))
     ranks, edges = G.pagerank_with_edges(graph, rounds)
     return Ranking(graph=graph, ranks=ranks, ranked=G.ranked_pages(graph, ranks, edges))
 
 
 def run(spark: SparkSession, links_path: str, out_dir: str, rounds: int = DEFAULT_ROUNDS) -> None:
-    """Read link pages, rank them, write the ranked table and the rank slices."""
-    r = rank_link_pages(readers.read_links(spark, links_path), rounds, source_col=None)
-    r.ranked.write.mode("overwrite").parquet(f"{out_dir}/ranked")
+    """Read link pages, rank them, merge the ranked store and write the rank slices,
+    the rank lines, and the links of the ranked pages."""
+    pages = readers.read_links(spark, links_path)
+    r = rank_link_pages(pages, rounds)
+    store = sinks.store_upsert(f"{out_dir}/ranked", r.ranked)
     sinks.write_rank_slices(r.ranked, f"{out_dir}/slices")
+    sinks.export_text(r.ranked, f"{out_dir}/ranks_text")
+    sinks.export_links(r.graph.links.join(store.select("url"), "url", "left_semi"), f"{out_dir}/links")
+    readers.rejected(pages).write.mode("overwrite").json(f"{out_dir}/rejected")

@@ -28,8 +28,7 @@ def build_stores(graph: LinkGraph, ranked: DataFrame, docs: DataFrame, out_dir:
                  buckets: int = 64) -> None:
     """Write the four serving stores below ``out_dir``."""
     lengths = S.text_lengths(docs)
-    postings = S.build_index(docs).join(lengths, "url")
-    write_keyed(postings, f"{out_dir}/postings", "term", buckets)
+    write_keyed(S.build_index(docs, with_length=True), f"{out_dir}/postings", "term", buckets)
     (lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
      .write.mode("overwrite").parquet(f"{out_dir}/stats"))
     write_keyed(ranked, f"{out_dir}/ranked", "url", buckets)

@@ -64,6 +64,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A local session for tests and the benchmark (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+               .config("spark.webloom.scanPartitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("WEBLOOM_DRIVER_MEM", "16g")))
     for k, v in {**LOCAL_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)

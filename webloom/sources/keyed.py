@@ -9,10 +9,6 @@ This is what replaces a key-value store and a text store at serving time.
 
 from __future__ import annotations
 
-import os
-import struct
-
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,95 +37,26 @@ def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
     ranged.sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
-# Spark's xxhash64 is XXH64 with this seed over the value's bytes
-# (UTF-8 for strings, little-endian 8 / 4 bytes for long / int).
-SPARK_HASH_SEED = 42
-
-
-def _spark_xxhash64(value, key_type: str) -> int | None:
-    if key_type == "string":
-        data = value.encode("utf-8")
-    elif key_type == "bigint":
-        data = struct.pack("<q", value)
-    elif key_type == "int":
-        data = struct.pack("<i", value)
-    else:
-        return None
-    h = xxhash.xxh64_intdigest(data, seed=SPARK_HASH_SEED)
-    return h - (1 << 64) if h >= (1 << 63) else h
-
-
-def buckets_for(spark: SparkSession, values: list, key_type: str, buckets: int) -> list[int]:
-    """Bucket ids of a bounded list of keys, with the writer's hash.
-
-    Computed on the driver for string/int/bigint keys; other key types ask
-    Spark (one small job).
-    """
-    if not values:
-        return []
-    if key_type in ("string", "bigint", "int"):
-        return sorted({_spark_xxhash64(v, key_type) % buckets for v in values if v is not None})
-    df = spark.createDataFrame([(v,) for v in values], f"k {key_type}")
-    return sorted({r[0] for r in df.select(F.pmod(F.xxhash64("k"), F.lit(buckets))).collect()})
-
-
 def read_keyed(spark: SparkSession, path: str, key: str, values: list,
                buckets: int = 64) -> DataFrame:
-    """Rows of a keyed store whose key is in ``values`` (a bounded list)."""
-    schema = _store_schema(spark, path)
-    key_type = schema[key].dataType.simpleString()
-    ids = buckets_for(spark, values, key_type, buckets)
-    # List only the wanted bucket directories; basePath keeps the column, and
-    # the known schema spares a second footer-inference pass.
-    dirs = [os.path.join(path, f"{BUCKET}={b}") for b in ids]
-    dirs = [d for d in dirs if _exists(spark, d)]
-    if not dirs:
-        return spark.read.schema(schema).parquet(path).drop(BUCKET).limit(0)
-    store = spark.read.schema(schema).option("basePath", path).parquet(*dirs)
-    return (store.filter(F.col(BUCKET).isin(ids) & _in_list(key, values, key_type))
-            .drop(BUCKET))
+    """Rows of a keyed store whose key is in ``values`` (a bounded list).
 
-
-def _store_schema(spark: SparkSession, path: str):
-    """Schema of a keyed store (bucket column included), read from the footer
-    of one bucket directory (the writer uses one schema for all of them)."""
-    first = _first_bucket(spark, path)
-    if first:
-        return spark.read.option("basePath", path).parquet(first).schema
-    return spark.read.parquet(path).schema
-
-
-def _fs_path(spark: SparkSession, p: str):
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(p)
-    return hp, hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, p: str) -> bool:
-    hp, fs = _fs_path(spark, p)
-    return fs.exists(hp)
-
-
-def _first_bucket(spark: SparkSession, path: str) -> str | None:
-    hp, fs = _fs_path(spark, path)
-    for st in fs.listStatus(hp):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(f"{BUCKET}="):
-            return st.getPath().toString()
-    return None
+    The bucket numbers are the writer's own expression over literals; Catalyst
+    folds them and prunes the bucket directories with them."""
+    store = spark.read.parquet(path)
+    key_type = store.schema[key].dataType.simpleString()
+    wanted = [v for v in values if v is not None]
+    if not wanted:
+        return store.drop(BUCKET).limit(0)
+    literals = [_sql_literal(v, key_type) for v in wanted]
+    hashed = ", ".join(f"pmod(xxhash64({v}), {buckets})" for v in literals)
+    return store.filter(F.expr(f"{BUCKET} IN ({hashed})") & F.expr(f"`{key}` IN ({', '.join(literals)})")).drop(BUCKET)
 
 
 def _sql_literal(v, key_type: str) -> str:
-    if key_type in ("bigint", "int"):
-        return str(int(v))
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _in_list(key: str, values: list, key_type: str) -> F.Column:
-    """``key IN (values)`` as one SQL expression (one call instead of one per
-    literal); it is pushed into the parquet scan like any IN filter."""
-    vals = [v for v in values if v is not None]
-    if key_type not in ("bigint", "int", "string"):
-        return F.col(key).isin(vals)
-    body = ", ".join(_sql_literal(v, key_type) for v in vals)
-    return F.expr(f"`{key}` IN ({body})")
+    if key_type == "bigint":
+        return f"{int(v)}L" if v != -(2**63) else "cast('-9223372036854775808' as bigint)"
+    if key_type == "int":
+        return f"cast({int(v)} as int)"
+    text = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'" if key_type == "string" else f"cast('{text}' as {key_type})"

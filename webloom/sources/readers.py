@@ -9,56 +9,74 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom import schemas as SC
 from webloom.constants import ANALYSIS_TAG
 from webloom.functions import urls as U
 
 # fixed values: archive record framing
-RECORD_SEPARATOR = "WARC/1.0\r\n"
+RECORD_START = "WARC/1.0\r\n"
+RECORD_SEPARATOR = "\r\n\r\n" + RECORD_START
 HEADER_END = "\r\n\r\n"
 
 
+def _json_pages(spark: SparkSession, path: str, schema) -> DataFrame:
+    """JSON lines with ``source_file`` and ``valid``: the line is JSON and has a url."""
+    rows = spark.read.schema(schema.add("_corrupt", "string")).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    valid = F.col("_corrupt").isNull() & F.col("url").isNotNull()
+    return rows.withColumn("source_file", F.input_file_name()).withColumn("valid", valid).drop("_corrupt")
+
+
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Link pages ``(url, links)`` from JSON lines (a glob or directory; the
-    per-archive directories written by ``write_pages`` add ``archive``)."""
-    return spark.read.schema(SC.LINK_PAGE).json(path)
+    """Link pages ``(url, links, source_file, valid)`` from JSON lines (a glob or
+    directory; the per-archive directories of ``write_pages`` add ``archive``)."""
+    return _json_pages(spark, path, T.StructType(list(SC.LINK_PAGE.fields)))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text pages ``(url, plaintext)`` from JSON lines (plus ``archive`` when
-    read from ``write_pages`` output)."""
-    return spark.read.schema(SC.TEXT_PAGE).json(path)
+    """Text pages ``(url, plaintext, source_file, valid)`` from JSON lines (plus
+    ``archive`` when read from ``write_pages`` output)."""
+    return _json_pages(spark, path, T.StructType(list(SC.TEXT_PAGE.fields)))
+
+
+def rejected(rows: DataFrame, good: str = "valid") -> DataFrame:
+    """Rows a parser could not use, per source file: ``(source_file, n_rejected)``."""
+    return rows.filter(~F.coalesce(F.col(good), F.lit(good == "length_ok"))).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archive records ``(source_file, url, headers, payload, length_ok)``.
 
-    The text source splits on the record separator (gzip members decode
-    transparently; a ``.gz`` file is one task, see ``production.run``). The
-    header block ends at the first blank line and becomes a list of
+    The text source splits on the record separator with the blank line that ends
+    the record before it, so the version line inside a payload does not cut it
+    (gzip members decode transparently; a ``.gz`` file is one task, see
+    ``production.run``). The header block ends at the first blank line and becomes a list of
     ``(name, value)`` pairs with lower-cased names; ``url`` is the first
     ``warc-target-uri``. ``length_ok``
     compares the payload with the declared content length, flagging a record
-    cut short by a separator inside its payload.
+    that a whole separator inside its payload still cuts; ``rejected`` counts them.
     """
     raw = (spark.read.option("lineSep", RECORD_SEPARATOR).text(path)
-           .select(F.input_file_name().alias("source_file"), "value")
+           .select(F.input_file_name().alias("source_file"),
+                   F.regexp_replace("value", "^" + RECORD_START.replace(".", r"\."), "").alias("value"))
            .filter(F.length("value") > 0))
     header_end = F.instr("value", HEADER_END)
     header = F.when(header_end > 0, F.substring("value", 1, header_end - 1)).otherwise(F.col("value"))
     body = F.when(header_end > 0, F.substr(F.col("value"), header_end + F.lit(len(HEADER_END)))
                   ).otherwise(F.lit(""))
-    # A record's content ends with a blank line before the next separator.
-    payload = F.regexp_replace(body, r"\r\n\r\n$", "")
     # Header lines as (name, value) pairs; a list, not a map, because records
     # may repeat a header and a map rejects duplicate keys.
     headers = F.transform(
         F.array_remove(F.split(header, "\r\n"), ""),
         lambda line: F.struct(F.lower(F.trim(F.substring_index(line, ":", 1))).alias("name"),
                               F.trim(F.substr(line, F.instr(line, ":") + 1)).alias("value")))
-    rec = raw.select("source_file", headers.alias("headers"), payload.alias("payload"))
+    rec = raw.select("source_file", headers.alias("headers"), body.alias("body"))
     declared = U.header(F.col("headers"), "Content-Length")
+    # The last record of a file still carries the blank line that ends it.
+    whole = F.octet_length("body") == declared.try_cast("long")
+    payload = F.when(F.coalesce(whole, F.lit(False)), F.col("body")).otherwise(F.regexp_replace("body", r"\r\n\r\n$", ""))
+    rec = rec.withColumn("payload", payload)
     return rec.select(
         "source_file", U.header(F.col("headers"), "WARC-Target-URI").alias("url"), "headers",
         "payload",

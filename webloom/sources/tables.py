@@ -7,19 +7,17 @@ Graph P (the ranking input): the driver tables contain no crawl whose links
 point at crawled pages, so a link graph is derived from ``part`` and
 ``lineitem`` with a fixed rule:
 
-* crawled page: each ``part`` row with ``p_partkey % 10 <> 3``; its text is
-  ``p_name || ' ' || p_type || ' ' || p_brand``. The key rule is not a cost
-  cap: every row of ``part`` and ``lineitem`` is read; it decides which link
-  targets are un-crawled, which the ranking semantics must exercise;
-* link: one per ``lineitem`` row with a crawled ``l_partkey``:
-  ``src = l_partkey``, ``dst = l_orderkey % (1 + (l_partkey * 7919 + l_suppkey) % N)``
-  with ``N = count(part)``; links of a page appear in
+* crawled page: each ``part`` row; its text is
+  ``p_name || ' ' || p_type || ' ' || p_brand``;
+* link: one per ``lineitem`` row: ``src = l_partkey``,
+  ``dst = l_orderkey % (1 + (l_partkey * 7919 + l_suppkey) % N)`` with
+  ``N = count(part) + count(part) div 10``, so that some targets are no part and
+  stay un-crawled; links of a page appear in
   ``(l_orderkey, l_linenumber, l_suppkey)`` order.
 """
 
 from __future__ import annotations
 
-import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +29,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # fixed values: graph P rule
-P_SKIP_MOD = 10
-P_SKIP_REM = 3
 P_MULT = 7919
 
 
@@ -68,11 +64,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def part_graph(spark: SparkSession, sf_dir: str) -> LinkGraph:
     """Graph P: pages ``(url, text)`` and long links ``(url, pos, link)``."""
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand")
-    pages = (part.filter(F.col("p_partkey") % P_SKIP_MOD != P_SKIP_REM)
-             .select(F.col("p_partkey").alias("url"),
-                     F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" "),
-                              F.col("p_brand")).alias("text")))
-    n_part = read_table(spark, sf_dir, "part", "p_partkey").agg(F.count(F.lit(1))).scalar()
+    pages = part.select(F.col("p_partkey").alias("url"),
+                        F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" "),
+                                 F.col("p_brand")).alias("text"))
+    n_part = read_table(spark, sf_dir, "part", "p_partkey").agg(F.expr("count(1) + count(1) div 10")).scalar()
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                     "l_linenumber")
     modulus = F.lit(1) + (F.col("l_partkey") * P_MULT + F.col("l_suppkey")) % n_part
@@ -80,42 +75,17 @@ def part_graph(spark: SparkSession, sf_dir: str) -> LinkGraph:
         F.col("l_partkey").alias("url"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("pos"),
         (F.col("l_orderkey") % modulus).alias("link"))
-    # Semi join: AQE turns it into a broadcast only if the page side is
-    # measured small at runtime; otherwise it stays a shuffle join.
-    links = links.join(pages.select("url"), "url", "left_semi")
     return LinkGraph(pages=pages, links=links)
 
 
-def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
-    """Give CPU-heavy per-row work (regex splits over whole texts) enough tasks.
-
-    A scan yields one task per file split; a crawl-sized input already has at
-    least as many splits as cores and is returned unchanged (without listing
-    anything). Only a scan narrower than the cluster is spread round-robin,
-    to about one task per ``bytes_per_task`` of (compressed) input, never more tasks
-    than cores.
-    """
-    try:
-        sc = df.sparkSession.sparkContext
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
-        return df
-    if current >= sc.defaultParallelism:
-        return df
-    target = min(sc.defaultParallelism,
-                 max(current, math.ceil(_input_bytes(df) / bytes_per_task)))
-    return df.repartition(target) if target > current else df
-
-
-def _input_bytes(df: DataFrame) -> int:
-    """Total size of the (few) files behind a narrow scan."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
+SCAN_PARTITIONS = "spark.webloom.scanPartitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session's ``spark.webloom.scanPartitions``
+    says; as scanned where that is not set (a crawl-sized input has splits enough)."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
