@@ -48,6 +48,15 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[c for name in columns for c in (F.col(name), F.col(name).isNull())])
 
 
+def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Rows as a struct ``row`` beside their ``key``, so that no column's name can clash."""
+    return docs.select(row_key(id, text).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unkeyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def holding(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of `rows` whose long `key` may be in `wanted`: all that are, and few others.
 

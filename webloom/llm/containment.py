@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import holding, row_key, written
+from webloom.llm.common import holding, keyed, row_key, unkeyed, written
 
 WIDTH = 5
 SKETCH = 8
@@ -76,8 +76,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that contain no test item, unchanged."""
-    found = contained_items(docs, items, id, text).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id, text)).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = contained_items(docs, items, id, text).select("key").distinct()
+    return unkeyed(keyed(docs, id, text).join(found, "key", "left_anti"), docs.columns)
 
 
 #: The same by brute force over all shingles, for DuckDB.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import components, holding, row_key, written
+from webloom.llm.common import components, holding, keyed, row_key, unkeyed, written
 from webloom.llm.textbatch import LOWER, gram_hashes, groups, mix, span_hashes, texts_of, word_hashes, words_of
 
 WIDTH = 4
@@ -178,5 +178,5 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, its columns unchanged; a
     repeated row stays once."""
-    kept = near_duplicates(docs, id, text).filter("kept").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id, text)).join(kept, "_key").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, id, text).filter("kept").select("key").distinct()
+    return unkeyed(keyed(docs, id, text).join(kept, "key").dropDuplicates(["key"]), docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import row_key, written
+from webloom.llm.common import keyed, row_key, written
 from webloom.llm.repeats import RUN, classes, covered, digest, repeated_runs, run_lists, wanted_runs, with_texts
 from webloom.llm.textbatch import anchored_runs, gram_hashes, groups, joined_words, texts_of, word_hashes, words_of
 
@@ -175,9 +175,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     white space after each, so that what is left keeps its layout. A text that
     repeats wholly becomes empty. Other columns are unchanged."""
     _, _, spans = repeated_spans(docs, id, text)
-    at = docs.columns.index(text)
-    joined = docs.withColumn("_key", row_key(id, text)).join(spans.withColumnRenamed("key", "_key").withColumnRenamed("spans", "_spans"), "_key", "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    docs_columns = list(docs.columns)
+    at = docs_columns.index(text)
+    joined = keyed(docs, id, text).join(spans, "key", "left")
+    joined = joined.select(*[F.col("row").getField(c).alias(c) for c in docs_columns], F.col("spans").alias("_spans_of_row"))
 
     def cut(batches):
         for batch in batches:
@@ -192,5 +193,4 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
             arrays = [pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(docs_columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=docs_columns)
 
-    docs_columns = list(docs.columns)
     return joined.mapInArrow(cut, docs.schema)
