@@ -43,7 +43,7 @@ def served(spark, sf_dir: str) -> dict[str, float]:
         r = served_request(spark, store, C.GRAPH_QUERY, budget=C.GRAPH_BUDGET)
         for df in (r.table, r.nodes, r.edges):
             df.write.format("noop").mode("overwrite").save()
-        out["served_request"] = round(time.perf_counter() - t0, 3)
+        out[("served_first", "served_request")[attempt]] = round(time.perf_counter() - t0, 3)
     out["build_stores"] = round(build, 3)
     return out
 
@@ -70,14 +70,16 @@ def main() -> None:
             dt = time.perf_counter() - t0
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
-    times.update(served(spark, sf_dir))
+    once = served(spark, sf_dir)
+    first = once.pop("served_first")
+    times.update(once)
     label = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     try:
         sf: float | str = float(label)
     except ValueError:
         sf = label
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+                      "unit": "sec", "queries": times, "served_first": first, "sf": sf}))
 
 
 if __name__ == "__main__":

@@ -83,6 +83,15 @@ def query_postings(docs: DataFrame, q: str | list[str], url: str = "url",
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("tf")))
 
 
+def batch_postings(docs: DataFrame, terms: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """Postings ``(term, url, dl, tf)`` of the terms of a whole batch of queries
+    (``terms``: one column ``term``, distinct). Other tokens are dropped by a semi
+    join below the aggregate, so only the batch's postings are shuffled; the
+    join's strategy follows the measured size of ``terms``."""
+    wanted = _exploded(docs, url, text, True).join(terms.select("term"), "term", "left_semi")
+    return wanted.groupBy("term", "url", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def doc_lengths(index: DataFrame) -> DataFrame:
     """``(url, dl)``: tokens per document, from the postings."""
     return index.groupBy("url").agg(F.sum("tf").alias("dl"))

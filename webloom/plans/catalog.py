@@ -367,30 +367,36 @@ def _batch_queries(spark, sf):
             .distinct().select(F.col("q").alias("query_id"), "q"))
 
 
+def _batch_postings(spark, sf, g):
+    terms = BS.query_terms(_batch_queries(spark, sf)).select("term").distinct()
+    return S.batch_postings(g.pages, terms)
+
+
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return BS.batch_search(S.build_index(g.pages, with_length=True), ranked, _batch_queries(spark, sf),
+    return BS.batch_search(_batch_postings(spark, sf, g), ranked, _batch_queries(spark, sf),
                            lengths=S.text_lengths(g.pages))
 
 
 def limited_batch_tables(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
-    found = BS.batch_search(S.build_index(g.pages), _ranked1(g), _batch_queries(spark, sf), max_lookups=LIMITED["lookups"] // 10)
+    found = BS.batch_search(_batch_postings(spark, sf, g), _ranked1(g), _batch_queries(spark, sf),
+                            max_lookups=LIMITED["lookups"] // 10, lengths=S.text_lengths(g.pages))
     return BS.batch_tables(found, LIMITED["rows"])
 
 
 def batch_tables(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return BS.batch_tables(BS.batch_search(S.build_index(g.pages), ranked,
-                                           _batch_queries(spark, sf)))
+    return BS.batch_tables(BS.batch_search(_batch_postings(spark, sf, g), ranked, _batch_queries(spark, sf),
+                                           lengths=S.text_lengths(g.pages)))
 
 
 def _batch_graph(spark, sf):
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    found = BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf),
+    found = BS.batch_search(_batch_postings(spark, sf, g), ranked, _batch_queries(spark, sf),
                             lengths=S.text_lengths(g.pages))
     return BS.batch_graph(found, g.links, GRAPH_BUDGET)
 
@@ -600,8 +606,8 @@ def escaped_text(spark: SparkSession, sf: str) -> DataFrame:
 def _analysis_rows(spark, sf):
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return BS.batch_search(S.build_index(g.pages), ranked, _batch_queries(spark, sf)).select(
-        "url", "rank", "total_links")
+    return BS.batch_search(_batch_postings(spark, sf, g), ranked, _batch_queries(spark, sf),
+                           lengths=S.text_lengths(g.pages)).select("url", "rank", "total_links")
 
 
 def scatter_points(spark: SparkSession, sf: str) -> DataFrame:

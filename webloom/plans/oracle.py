@@ -6,6 +6,8 @@ unrolled CTE, the index is ``unnest`` over a regex split, BM25 is spelled out.
 
 from __future__ import annotations
 
+import re
+
 from webloom.constants import DENSITY_PRESETS
 from webloom.plans import catalog as C
 
@@ -46,8 +48,7 @@ idx AS (SELECT term, url, count(*) AS tf FROM tok WHERE term <> '' GROUP BY term
 
 
 def _terms(q: str) -> str:
-    from webloom.operators.search import query_terms
-    return ", ".join("'" + t.replace("'", "''") + "'" for t in query_terms(q))
+    return ", ".join(f"'{t}'" for t in dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
 
 
 def _bm25(q: str) -> str:

@@ -45,6 +45,9 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     "spark.sql.sources.bucketing.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Push a request's whole key list into the scan (row groups are then skipped
+    # by range and Bloom filter), not only its range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
     # Set by the deployment to a shared file system, e.g. an object store path:
     # "spark.checkpoint.dir": "<shared path>",
@@ -73,6 +76,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def drop_scratch_tables(spark: SparkSession) -> int:
+    """Drop the catalog tables that jobs of this library left; returns their number.
+    Call when no result that reads them is still to be computed."""
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("webloom_")]
+    for name in names:
+        spark.sql(f"DROP TABLE `{name}`")
+    return len(names)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only for local runs.
 

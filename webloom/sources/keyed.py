@@ -26,7 +26,8 @@ def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
     Range partitioning on ``(bucket, key, row hash)`` instead of hashing on the
     bucket: a bucket holding a hot key (a term in a third of all documents) is
     split over several tasks and files by key and row-hash ranges, never
-    written by one task. Files stay sorted by key for row-group pruning.
+    written by one task. Files stay sorted by key, and hold a Bloom filter of
+    it, for row-group pruning.
     Without ``partitions`` AQE sizes the ranges (it merges only ranges smaller
     than its advisory size, so a hot key still spans many files).
     """
@@ -34,7 +35,8 @@ def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
     keyed = with_bucket(df, key, buckets)
     ranged = (keyed.repartitionByRange(partitions, BUCKET, key, spread) if partitions
               else keyed.repartitionByRange(BUCKET, key, spread))
-    ranged.sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET).parquet(path)
+    (ranged.sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET)
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
 
 
 def read_keyed(spark: SparkSession, path: str, key: str, values: list,
