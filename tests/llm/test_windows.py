@@ -69,6 +69,15 @@ def test_lempel_ziv_rewrites_texts_and_keeps_other_columns(spark):
     assert out.select("source", "_key", "tokens_taken").distinct().count() == docs.select("source", "_key", "tokens_taken").distinct().count()
 
 
+def test_crowded_anchors_are_dealt_by_window(spark, monkeypatch):
+    """With a crowd of two runs most windows take the other way, to equal results."""
+    monkeypatch.setattr(suffixes, "CROWD", 1)
+    monkeypatch.setattr(rlz, "CROWD", 1)
+    rows = documents(7)
+    same(suffixes.report(frame(spark, rows)).collect(), list(removed_bytes(rows)))
+    same(rlz.report(frame(spark, rows)).collect(), list(removed_words(rows)))
+
+
 @pytest.mark.parametrize("report", [suffixes.report, rlz.report])
 def test_empty_table(spark, report):
     assert report(frame(spark, [])).count() == 0

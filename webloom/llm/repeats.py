@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import holding, written
+from webloom.llm.textbatch import gram_hashes, mix
 
 RUN = "struct<anchor:bigint,lo:bigint,hi:bigint,start:int,n:int>"
 _RUN = [("anchor", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
@@ -55,6 +56,41 @@ def wanted_runs(of_classes: DataFrame) -> DataFrame:
     return one.groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("wanted"))
 
 
+def by_load(of_classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Classes whose anchor has different contents: those of anchors with at most
+    `most` of them, which may share a task, and the rest, which may not."""
+    several = of_classes.filter("mixed")
+    loads = written(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("load")).filter(F.col("load") > most), "loads")
+    return several.join(loads, "anchor", "left_anti"), several.join(loads.select("anchor"), "anchor", "left_semi")
+
+
+def window_rows(runs: list[tuple], units: list[np.ndarray], window: int) -> pa.RecordBatch:
+    """Each window of the runs (anchor, lo, hi, ord) with two hashes of its units."""
+    sizes = np.array([len(u) for u in units], dtype=np.int64)
+    flat = np.concatenate([*units, np.zeros(0, np.uint64)])
+    ends = np.cumsum(sizes)
+    count = sizes - window + 1
+    of = np.repeat(np.arange(len(units)), count)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = (ends - sizes)[of] + at
+    hashes = [gram_hashes(u, window)[start].view(np.int64) for u in (flat, mix(flat + np.uint64(1)))] if len(of) else [np.zeros(0, np.int64)] * 2
+    own = [np.array([r[c] for r in runs], dtype=np.int64)[of] for c in range(4)] if runs else [np.zeros(0, np.int64)] * 4
+    return pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(at.astype(np.int32)), *map(pa.array, hashes)], WINDOW_NAMES)
+
+
+WINDOW_NAMES = ["anchor", "lo", "hi", "ord", "at", "one", "two"]
+WINDOW_ROW = "anchor long, lo long, hi long, ord long, at int, one long, two long"
+
+
+def repeated_of(windows: DataFrame, window: int, condition: str) -> DataFrame:
+    """Spans (anchor, lo, hi, from, to) of the windows that repeat. Every window is a
+    row, dealt by its own content and counted before the shuffle, so no anchor is
+    gathered; `condition` compares `ord` with `least` and `times`."""
+    rows = written(windows, "windows")
+    kinds = rows.groupBy("one", "two").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return rows.join(kinds, ["one", "two"]).filter(condition).select("anchor", "lo", "hi", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+
+
 def with_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """`rows` (key, text, ...) joined with per-document lists; only documents
     that have a list are shuffled, and a repeated row stays once."""

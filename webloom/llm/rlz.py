@@ -9,7 +9,9 @@ so parsing resumes 49 words before it (the check at factor boundaries); then
 the spans cover exactly the windows that start in a document of smaller doc_id.
 
 Exact copies of a run of windows are collapsed before the parsing: they are
-duplicates of the first as a whole.
+duplicates of the first as a whole. An anchor with more than ``CROWD`` different
+runs would make a block without bound: its windows are dealt singly, by their
+own content, which finds the same duplicates.
 
 Defined cases: a null text has no words. A null doc_id counts as the largest.
 Rows that repeat both doc_id and text have equal results (their doc_ids are
@@ -28,11 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import keyed, row_key, written
-from webloom.llm.repeats import RUN, classes, covered, digest, repeated_runs, run_lists, wanted_runs, with_texts
+from webloom.llm.repeats import (RUN, WINDOW_ROW, by_load, classes, covered, digest, repeated_of, repeated_runs, run_lists, wanted_runs,
+                                 window_rows, with_texts)
 from webloom.llm.textbatch import anchored_runs, gram_hashes, groups, joined_words, texts_of, word_hashes, words_of
 
 WINDOW = 50
 GRAM = 12
+#: Different runs of one anchor that may share a block.
+CROWD = 5000
 
 
 def order_of(id: str) -> Column:
@@ -77,6 +82,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["anchor", "lo", "hi", "ord", "words"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the wanted runs."""
+    for batch in batches:
+        wanted = batch.column(2)
+        for lo, data, offsets in groups(*texts_of(batch.column(1))):
+            starts, ends, first = words_of(data, offsets)
+            codes = word_hashes(data, starts, ends)
+            runs = [(first[k] + r["start"], r) for k in range(len(first) - 1) for r in wanted[lo + k].as_py()]
+            yield window_rows([(r["anchor"], r["lo"], r["hi"], r["ord"]) for _, r in runs], [codes[a:a + r["n"] + WINDOW - 1] for a, r in runs], WINDOW)
+
+
 def factor(codes: np.ndarray, source: np.ndarray, hit: np.ndarray, begin: int, end: int) -> list[tuple[int, int]]:
     """Duplicate spans of codes[begin:end]: greedy factors of at least WINDOW words.
 
@@ -134,8 +150,11 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
     copies = again.join(kinds.filter("times > 1").select("anchor", "lo", "hi", F.col("first.ord").alias("least")), ["anchor", "lo", "hi"]).filter("ord > least")
     whole = copies.select("key", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = with_texts(rows.select("key", "text"), wanted_runs(kinds.filter("mixed"))).mapInArrow(_runs, "anchor long, lo long, hi long, ord long, words binary")
+    usual, crowded = by_load(kinds, CROWD)
+    texts = with_texts(rows.select("key", "text"), wanted_runs(usual)).mapInArrow(_runs, "anchor long, lo long, hi long, ord long, words binary")
     parsed = texts.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).groupBy("block").applyInArrow(_parse_block, "anchor long, lo long, hi long, from int, to int")
+    windows = with_texts(rows.select("key", "text"), wanted_runs(crowded)).mapInArrow(_windows, WINDOW_ROW)
+    parsed = parsed.unionByName(repeated_of(windows, WINDOW, "ord > least"))
     parsed = again.join(parsed, ["anchor", "lo", "hi"]).select("key", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
     spans = whole.unionByName(parsed).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return rows, scanned.drop("runs"), written(spans, "spans")

@@ -3,7 +3,9 @@
 A string of 400 bytes that starts at two places of the corpus marks the bytes
 it covers. The corpus is dealt into shards by window anchor, so that equal
 strings lie in the same shard (``repeats``); runs of windows with equal content
-are collapsed first. Within a shard the suffixes are sorted by induction, with
+are collapsed first. An anchor with more than ``CROWD`` different runs would make
+a shard without bound; its windows are dealt singly, by their own content, which
+finds the same strings. Within a shard the suffixes are sorted by induction, with
 the common prefix of neighbours:
 
 1. suffixes are S or L by the order of their first two differing bytes; the
@@ -39,12 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import row_key, written
-from webloom.llm.repeats import RUN, classes, covered, digest, repeated_runs, run_lists, wanted_runs, with_texts
+from webloom.llm.repeats import (RUN, WINDOW_ROW, by_load, classes, covered, digest, repeated_of, repeated_runs, run_lists, wanted_runs,
+                                 window_rows, with_texts)
 from webloom.llm.textbatch import BYTE_CODE, anchored_runs, gram_hashes, groups, texts_of
 
 WINDOW = 400
 GRAM = 128
 GROUP = 2 << 20
+#: Different runs of one anchor that may share a shard (about 570 bytes each).
+CROWD = 15000
 MEMORY = 32 << 20
 #: Queue entries scanned at once.
 BLOCK = 1 << 18
@@ -311,6 +316,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "lo", "hi", "bytes"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the wanted runs."""
+    for batch in batches:
+        for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            codes = BYTE_CODE[np.frombuffer((text or "").encode(), dtype=np.uint8)]
+            yield window_rows([(r["anchor"], r["lo"], r["hi"], 0) for r in wanted], [codes[r["start"]:r["start"] + r["n"] + WINDOW - 1] for r in wanted], WINDOW)
+
+
 def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true values."""
     step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -346,9 +359,12 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
     kinds = written(classes(again), "classes")
     copies = again.join(kinds.filter("times > 1").select("anchor", "lo", "hi"), ["anchor", "lo", "hi"])
     whole = copies.select("key", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
-    texts = with_texts(rows.select("key", "text"), wanted_runs(kinds.filter("mixed"))).mapInArrow(_runs, "anchor long, lo long, hi long, bytes binary")
+    usual, crowded = by_load(kinds, CROWD)
+    texts = with_texts(rows.select("key", "text"), wanted_runs(usual)).mapInArrow(_runs, "anchor long, lo long, hi long, bytes binary")
     shards = texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(2 * parts))).groupBy("shard")
     found = shards.applyInArrow(_sort_shard, "anchor long, lo long, hi long, from int, to int")
+    windows = with_texts(rows.select("key", "text"), wanted_runs(crowded)).mapInArrow(_windows, WINDOW_ROW)
+    found = found.unionByName(repeated_of(windows, WINDOW, "times > 1"))
     part = again.join(found, ["anchor", "lo", "hi"]).select("key", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
     spans = whole.unionByName(part).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return rows, scanned.drop("runs"), written(spans, "spans")
