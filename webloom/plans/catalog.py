@@ -341,7 +341,9 @@ def index_archive_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
     idx = RD.parse_index_lines(index_lines_from_pages(spark, sf))
-    paths = PR.archive_paths(idx)
+    listed = PR.archive_paths(idx)
+    # The metadata archives are listed, too, but nothing of them arrives.
+    paths = listed.select("path").unionByName(listed.select(F.col("meta_path").alias("path")))
     # Records that arrived: pages of the .net domain, attributed to their archive.
     arrived = PG.match_url(idx, DOMAIN_PATTERN).select(F.col("filename").alias("source_file"))
     return SK.ingest_manifest(paths, arrived)

@@ -330,7 +330,7 @@ FROM h, b""",
     "index_archive_paths": INDEX_LINES
     + " SELECT DISTINCT filename AS path, text_path, meta_path FROM dom",
     "ingest_manifest": INDEX_LINES + """,
-paths AS (SELECT DISTINCT filename AS source_file FROM idx WHERE valid),
+paths AS (SELECT DISTINCT unnest([filename, meta_path]) AS source_file FROM idx WHERE valid),
 cnt AS (SELECT filename AS source_file, count(*) AS n FROM dom GROUP BY filename)
 SELECT paths.source_file,
        CASE WHEN coalesce(cnt.n, 0) > 0 THEN 'uploaded' ELSE 'NOTuploaded' END AS status,
