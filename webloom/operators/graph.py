@@ -90,17 +90,21 @@ def out_degree(links: DataFrame) -> DataFrame:
 
 
 def build_edges(links: DataFrame, hot_max_keys: int = HOT_MAX_KEYS,
-                hot_min_rows: int = HOT_MIN_ROWS) -> Edges:
+                hot_min_rows: int = HOT_MIN_ROWS, stored: bool = False) -> Edges:
     """Pre-aggregate the long link table once into weighted, skew-split edges.
 
     ``(src, dst)`` pairs are counted (partial aggregate), then each pair is
     divided by its source's out-degree. Cold sources join their degree by
     shuffle; hot sources (bounded count) get their degree by broadcast.
+    ``stored``: write the pairs and the degrees, which several steps read, once.
     """
     pairs = (links.groupBy(F.col("url").alias("src"), F.col("link").alias("dst"))
              .agg(F.count(F.lit(1)).alias("mult")))
     degree = pairs.groupBy("src").agg(F.sum("mult").alias("out_degree"),
                                       F.count(F.lit(1)).alias("n_targets"))
+    if stored:
+        pairs = written_table(pairs, "pairs")
+        degree = written_table(pairs.groupBy("src").agg(F.sum("mult").alias("out_degree"), F.count(F.lit(1)).alias("n_targets")), "degree")
     hot = hot_keys(degree, "src", "n_targets", hot_max_keys, hot_min_rows)
     pairs_hot, pairs_cold = split_by_keys(pairs, "src", hot, "src")
     degree_hot, _ = split_by_keys(degree, "src", hot, "src")
@@ -172,7 +176,8 @@ def pagerank_with_edges(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS,
     """
     if rounds < 0:
         raise ValueError("rounds must be >= 0")
-    edges = edges or build_edges(graph.links)
+    given = edges is not None
+    edges = edges or build_edges(graph.links, stored=rounds > 1)
     if rounds > 1:
         # Write the edges once, so no round rebuilds them. Cold edges become a
         # table bucketed and sorted by src, so every round's join shuffles only
@@ -181,7 +186,7 @@ def pagerank_with_edges(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS,
         ensure_checkpoint_dir(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         hot_src = written_table(edges.hot_src, "hot_src") if edges.hot_src is not None else None
-        degree = written_table(edges.degree, "degree") if edges.degree is not None else None
+        degree = written_table(edges.degree, "degree") if given and edges.degree is not None else edges.degree
         if hot_src is None or hot_src.isEmpty():  # known after one pass: drop the hot branch
             edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"), hot=None,
                           hot_src=None, degree=degree)
