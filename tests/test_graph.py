@@ -85,3 +85,11 @@ def test_pagerank_accepts_edges_without_hot_branch(mini_graph):
     a = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=2, edges=no_hot))
     b = ranks_of(G.pagerank(mini_graph, 5, checkpoint_every=0))
     assert a == b
+
+
+def test_scratch_tables_can_be_dropped(spark, mini_graph):
+    from webloom.session import drop_scratch_tables
+    drop_scratch_tables(spark)
+    assert len(ranks_of(G.pagerank(mini_graph, 2))) == 4
+    assert drop_scratch_tables(spark) == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("webloom_")]

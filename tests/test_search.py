@@ -81,3 +81,18 @@ def test_query_postings_equal_full_index_rows(spark):
     part = {(r.term, r.url, r.tf) for r in S.query_postings(d, "Red widget").collect()}
     assert full == part
     assert S.query_postings(d, "").count() == 0
+
+
+def test_batch_postings_are_the_index_of_the_asked_terms(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "B x"), (3, None), (4, "")], "url long, text string")
+    terms = spark.createDataFrame([("a",), ("b",), ("zz",)], "term string")
+    got = sorted(map(tuple, S.batch_postings(docs, terms).select("term", "url", "dl", "tf").collect()))
+    assert got == [("a", 1, 4, 2), ("b", 1, 4, 1), ("b", 2, 2, 1)]
+
+
+def test_scores_are_equal_with_and_without_carried_lengths(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "B x"), (3, "c c c c d")], "url long, text string")
+    lengths = S.text_lengths(docs)
+    plain = sorted(map(tuple, S.score(S.query_postings(docs, "a b"), "a b", lengths=lengths).collect()))
+    carried = sorted(map(tuple, S.score(S.query_postings(docs, "a b", with_length=True), "a b", lengths=lengths).collect()))
+    assert plain == carried and len(plain) == 2
