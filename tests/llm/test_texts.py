@@ -113,7 +113,7 @@ def test_ppm_without_training_texts(spark):
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>{frame}<article><header><h1>Title {n}</h1></header>
 <p>First &amp; <b>bold</b>&nbsp;text
- of {n}.<p>Second &lt;tag&gt;<aside>Related</aside></p><form><label>Mail</label></form><div class="comments"><p>nice!</p></div></article>
+ of {n}.<p>Second &lt;tag&gt;<aside>Related</aside></p><form><label>Mail</label></form><ol class="commentlist"><li>nice!</li></ol></article><section id="user-comments">me too</section>
 <div class=sidebar><p>Side</p></div><footer>&copy; host</footer></body></html>"""
 
 

@@ -51,19 +51,24 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _CHROME_TAG = frozenset("nav aside footer form head menu dialog header".split())
 _CONTAINER = frozenset("div section ul ol table p span article main header footer aside nav form figure li details dialog".split())
 _CHROME_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies widget login signup search form toolbar pagination pager contentinfo complementary alert dialog header".split())
+_CHROME_START = ("advert", "breadcrumb", "comment", "cookie", "footer", "navig", "newsletter", "sidebar", "sponsor", "subscri")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def _chrome_words(attributes: str) -> set[str]:
+    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[1].lower())}
+    return {w for w in words if w in _CHROME_WORD or w.startswith(_CHROME_START)}
+
+
 def _kind(tag: str, attributes: str, inside_article: bool) -> int | None:
     """The zone an element opens, if it opens one."""
     if tag in ("article", "main"):
-        words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[1].lower())}
-        return CHROME if words & {"comment", "comments", "reply", "replies"} else ARTICLE
+        return CHROME if any(w.startswith(("comment", "repl")) for w in _chrome_words(attributes)) else ARTICLE
     if tag in _CHROME_TAG:
         return None if inside_article and tag == "header" else CHROME
     if tag in _CONTAINER and attributes:
-        words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[1].lower())}
-        if words & _CHROME_WORD and not (inside_article and words & _CHROME_WORD <= {"header", "banner"}):
+        words = _chrome_words(attributes)
+        if words and not (inside_article and words <= {"header", "banner"}):
             return CHROME
     return None
 
