@@ -7,12 +7,17 @@ break" is written ``[^\\n]`` to mean exactly one newline character.
 from __future__ import annotations
 
 import codecs
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The Python function below travels by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: cleaning patterns
 TAG = r"<[^\n]*?>"            # shortest tag, never across a newline
 NON_ASCII = r"[^\x00-\x7F]"
