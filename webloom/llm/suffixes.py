@@ -47,7 +47,7 @@ from webloom.llm.textbatch import BYTE_CODE, anchored_runs, gram_hashes, groups,
 
 WINDOW = 400
 GRAM = 128
-GROUP = 2 << 20
+GROUP = 1 << 20
 #: Different runs of one anchor that may share a shard (about 570 bytes each).
 CROWD = 15000
 MEMORY = 32 << 20

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
