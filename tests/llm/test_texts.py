@@ -199,3 +199,17 @@ def test_mix_of_dirty_rows(spark):
     taken = mixing.taken_rows(docs)
     assert taken.columns == ["doc_id", "text", "lang", "source", "n_tokens", "epochs", "tokens_taken"] and taken.filter("tokens_taken <= 0").count() == 0
     assert mixing.report(docs.limit(0)).count() == 0 and mixing.taken_rows(docs.filter("text is null")).count() == 0
+
+
+@pytest.mark.parametrize("piece", [
+    '<svg class="i"/>', "<svg-icon name=x></svg-icon>", "<button-group></button-group>", "<title-bar>", "<select-box/>", "<svg_x>", "<svg><title/><style/></svg>", "<svg><path d='M0'/><title>Icon</title></svg>",
+    "<button>Buy</button>", "<button><p>Buy</p></button>", "<b><button>Buy</b></button>", "<select><option>Buy</select>", "<object><p>Buy</p></object>", "<template><article>Buy</article></template>", "<noscript><p>Buy</p></noscript>",
+    "<iframe src=x />", "<iframe>Buy</iframe>", "<button>Buy", "<select><option>Buy", "<object data=x>Buy", "<svg><path>", "<button>Buy<svg>", "<ul><li><button>Buy</li></button></ul>", "<title>Buy</title >", "<script>'<p>Buy</p>'</script>", "<style/>Buy</style>"])
+def test_no_element_takes_the_rest_of_the_article_away(piece):
+    for around in ("<article>{}</article><footer>end</footer>", "<div><article>{}<p>three</p></article><svg/></div>"):
+        page = around.format(f"<p>one</p>{piece}<p>two</p>")
+        got = [t for t, zone in html_text.page_lines(page) if zone == html_text.ARTICLE]
+        assert got == ["one", "two", "three"][:2 + ("three" in page)], page
+    assert [t for t, zone in html_text.page_lines(f"<p>one</p>{piece}<p>two</p>") if zone != html_text.CHROME] == ["one", "two"]
+    assert html_text.page_lines("<p>one<svg/> and<button>Buy<p>x</p></button> two</p>")[0][0] == "one and two"
+    assert html_text.page_lines("<p>one</p><script>rest<p>two</p>") == [("one", html_text.NEUTRAL)]

@@ -41,14 +41,16 @@ COPY_SHARE = 0.5
 
 ARTICLE, NEUTRAL, CHROME = 0, 1, 2
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe|select|button|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+#: Elements whose content is no markup: it ends at the end tag only.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in ("script", "style", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: HTML element names, and words of class, id or role that mark chrome.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CHROME_TAG = frozenset("nav aside footer form head menu dialog header".split())
+#: Elements whose content is never text, though it may be markup.
+_ASIDE = frozenset("button select object svg iframe template noscript".split())
 _CONTAINER = frozenset("div section ul ol table p span article main header footer aside nav form figure li details dialog".split())
 _CHROME_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies widget login signup search form toolbar pagination pager contentinfo complementary alert dialog header".split())
 _CHROME_START = ("advert", "breadcrumb", "comment", "cookie", "footer", "navig", "newsletter", "sidebar", "sponsor", "subscri")
@@ -73,6 +75,52 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int | None:
     return None
 
 
+def _tokens(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """(start, end, is end tag, tag, attributes) of each tag; comments and raw elements have no tag."""
+    tokens = []
+    at = svgs = 0
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        tag = (m[2] or "").lower()
+        closed = tag and m[3].endswith("/")
+        if tag == "svg" and not closed:
+            svgs = max(0, svgs - 1) if m[1] else svgs + 1
+        if tag in _RAW_END and not m[1] and not (svgs and closed):
+            at = _RAW_END[tag].search(page, at).end()
+            tag = ""
+        tokens.append((start, at, bool(m[1]), tag, m[3] or ""))
+    return tokens
+
+
+def _closed(tokens: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
+    """Places of the start tags in _ASIDE, and of their end tags, if these come
+    before the element around them ends."""
+    found: dict[int, int] = {}
+    if not any(tag in _ASIDE for *_, tag, _ in tokens):
+        return found
+    stack: list[tuple[str, int]] = []
+    open_tags: dict[str, int] = {}
+    for place, (_, _, ends, tag, attributes) in enumerate(tokens):
+        if not tag or tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
+            continue
+        if not ends:
+            stack.append((tag, place))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+        elif open_tags.get(tag):
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                if stack[k][0] in _ASIDE and tag not in _ASIDE and (tag not in _BLOCK or tag == "p"):
+                    break  # misnested: inline elements do not end the one they began before
+                k -= 1
+            else:
+                if tag in _ASIDE:
+                    found[stack[k][1]] = place
+                for other, _ in stack[k:]:
+                    open_tags[other] -= 1
+                del stack[k:]
+    return found
+
+
 def page_lines(page: str) -> list[tuple[str, int]]:
     """(text, zone) of each block in page order."""
     lines: list[tuple[str, int]] = []
@@ -86,21 +134,25 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             lines.append((text, zones[-1][2] if zones else NEUTRAL))
         pieces.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            pieces.append(html.unescape(page[at:m.start()]))
-        at = m.end()
-        if m[3] is None:
+    tokens = _tokens(page)
+    closed = _closed(tokens)
+    last = -1  # place of the end tag of the element of _ASIDE just passed
+    muted = False  # such an element without an end tag reaches to the next block
+    for place, (start, end, ends, tag, attributes) in enumerate(tokens):
+        if start > at and place > last and not muted:
+            pieces.append(html.unescape(page[at:start]))
+        at = end
+        if not tag or place <= last:
             continue
-        tag = m[3].lower()
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in _BLOCK:
             end_block()
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK:
+            muted = muted and tag == "option"
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             continue
-        if m[2]:
+        if ends:
             for k in range(len(zones) - 1, -1, -1):
                 if zones[k][0] == tag:
                     zones[k][1] -= 1
@@ -110,8 +162,12 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                         del zones[k:]
                     break
             continue
+        if tag in _ASIDE:
+            last = closed.get(place, last)
+            muted = muted or place not in closed
+            continue
         inside = any(z[2] == ARTICLE for z in zones)
-        kind = _kind(tag, m[4], inside)
+        kind = _kind(tag, attributes, inside)
         if kind is None or zones and zones[-1][2] == CHROME and kind == CHROME and zones[-1][0] == tag:
             for z in reversed(zones):
                 if z[0] == tag:
@@ -123,7 +179,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             zones.append([tag, 1, kind])
         if tag == "body":
             zones.clear()  # a head that was never closed
-    if at < len(page):
+    if at < len(page) and not muted:
         pieces.append(html.unescape(page[at:]))
     end_block()
     return lines
