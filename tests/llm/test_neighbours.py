@@ -62,6 +62,20 @@ def test_one_of_each_group_stays(spark):
     assert minmax.keep_one_of_each(frame(spark, [])).count() == 0
 
 
+def test_width_of_the_shingles_is_a_parameter(spark):
+    """Edits in 2.5 % of the words: over 0.8 by four words, under it by five."""
+    base = [f"x{k}" for k in range(400)]
+    edited = [" ".join(f"e{n}" if k % 40 == 20 else w for k, w in enumerate(base)) for n in range(3)]
+    close = " ".join("e" if k % 100 == 50 else w for k, w in enumerate(base))
+    rows = list(enumerate([" ".join(base), *edited, close]))
+    for width, want in ((4, {0}), (5, {0, 1, 2, 3})):
+        sets = [shingles(t, width) for _, t in rows]
+        near = {(a, b) for a in range(5) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        assert {a for a in range(5) if not any(a == x for x, _ in near)} == want
+        assert {r.doc_id for r in minmax.keep_one_of_each(frame(spark, rows), width=width).collect()} == want
+    assert {r.doc_id for r in minmax.keep_one_of_each(frame(spark, rows)).collect()} == {0}
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     links = spark.createDataFrame([((k * 37) % n, ((k + 1) * 37) % n) for k in range(n - 1)], "a long, b long")

@@ -1,7 +1,7 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set is its distinct 4-word shingles (lower-cased A-Z; a shorter
-text is one shingle). Under each permutation both the least and the greatest
+A document's set is its distinct shingles of `width` words (4 unless given;
+lower-cased A-Z; a shorter text is one shingle). Under each permutation both the least and the greatest
 value are kept, so a signature of 128 values costs 64 hash evaluations per
 shingle; four values (two permutations) make a band. Texts with equal sets are
 collapsed first. In every band bucket each class is compared with the bucket's
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +80,10 @@ def _list_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, data, offsets in groups(*texts_of(batch.column(2))):
-            sets = shingle_sets(data, offsets)
+            sets = shingle_sets(data, offsets, width)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands = [np.zeros(0, np.uint64)] * len(sets)
             identity = np.zeros((len(sets), 2), dtype=np.int64)
@@ -96,10 +97,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["key", "doc_id", "n_shingles", "set_lo", "set_hi", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, data, offsets in groups(*texts_of(batch.column(2))):
-            sets = shingle_sets(data, offsets)
+            sets = shingle_sets(data, offsets, width)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), _list_array(sets)], ["node", "shingles"])
 
 
@@ -139,10 +140,10 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, doc_id, n_shingles, component_id, kept of every row."""
     rows = docs.select(row_key(id, text).alias("key"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "key long, doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"), "signatures")
+    signed = written(rows.mapInArrow(partial(_sign, width=width), "key long, doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"), "signatures")
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("set_lo", "set_hi").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.min_by("bands", "key").alias("bands"))
     nodes = written(classes, "classes")
@@ -152,7 +153,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     shared = written(banded.join(hubs, "bucket").select("bucket", "total", "node", "hub"), "buckets")
     pairs = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     taking_part = shared.select(F.col("node").alias("key")).distinct()
-    sets = written(holding(rows, taking_part, "key").dropDuplicates(["key"]).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    sets = written(holding(rows, taking_part, "key").dropDuplicates(["key"]).mapInArrow(partial(_sets, width=width), "node long, shingles array<long>"), "sets")
     links = written(_confirmed(pairs, sets), "confirmed")
 
     roots = components(links)
@@ -175,8 +176,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return member.join(named, "root").select("key", "doc_id", "n_shingles", "component_id").unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each group of near-duplicates, its columns unchanged; a
     repeated row stays once."""
-    kept = near_duplicates(docs, id, text).filter("kept").select("key").distinct()
+    kept = near_duplicates(docs, id, text, width).filter("kept").select("key").distinct()
     return unkeyed(keyed(docs, id, text).join(kept, "key").dropDuplicates(["key"]), docs.columns)

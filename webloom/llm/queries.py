@@ -34,7 +34,7 @@ def op5_multi_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"), width=4).drop("key")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
