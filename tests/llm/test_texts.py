@@ -134,6 +134,28 @@ def test_shared_template_lines_are_deleted_without_markup(spark):
     assert got[50].startswith("Story a4") and got[4].startswith("Story a4")
 
 
+def test_copies_do_not_hide_the_template(spark):
+    """Runs of copies and captures, and short pages whose template is most of their text, without markup."""
+    menu, legal = "Welcome to the site of all the news there are", "All rights reserved by the people of this site"
+    def page(*story):
+        return "".join(f"<div>{t}</div>" for t in (menu, *story, legal))
+    story = lambda k: f"Story {k} has a long first sentence of its own, and more {k * k} words to come after it, as stories have."
+    pages = [(k, f"http://s.net/n/{k:03d}", page(story(k))) for k in range(40)]
+    pages += [(100 + k, "http://s.net/n/020", page(story(20))) for k in range(5)]  # equal captures
+    pages += [(200 + k, "http://s.net/n/030", page(story(30), f"seen {k}")) for k in range(5)]  # captures
+    pages += [(300 + k, f"http://s.net/n/010?s={k}", page(story(10), f"seen {k}")) for k in range(5)]  # copies at adjacent URLs
+    pages += [(400 + k, f"http://short.org/{k}", page(f"Short story {k}.")) for k in range(6)]
+    pages += [(500 + k, f"http://copies.org/?s={k}", f"<p>{story(7)}</p><p>{story(8)}</p><p>no {k}</p>") for k in range(4)]
+    pages += [(600 + k, f"http://marked.org/{k}", f"<p>By someone</p><article><p>{story(k // 4)}</p></article><p>{menu}</p>") for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages)
+    assert all(got[k] == story(k) for k in range(40))
+    assert all(got[100 + k] == story(20) and got[200 + k] == f"{story(30)}\nseen {k}" and got[300 + k] == f"{story(10)}\nseen {k}" for k in range(5))
+    assert [got[400 + k] for k in range(6)] == [f"Short story {k}." for k in range(6)]
+    assert all(got[500 + k] == f"{story(7)}\n{story(8)}\nno {k}" for k in range(4))
+    assert [got[600 + k] for k in range(8)] == [story(k // 4) for k in range(8)]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):

@@ -3,8 +3,15 @@
 A page becomes text lines (one for each block). Within a host each page is
 paired with its neighbours in URL-path order, the nearest first: the one that
 shares the longer path prefix. The lines of both are aligned by longest common
-subsequence, and shared lines, the template, are deleted. Pages that share most
-of their text are copies, not template mates, and delete nothing of each other.
+subsequence, and shared lines, the template, are deleted. Copies are no template
+mates and delete nothing of each other: pages of equal lines are one class, and
+captures of one URL one place in the order, so that neighbours are different
+pages. Two pages with articles are copies if they share most of the article's
+lines. A page without one that shares most of its text with a neighbour is
+compared with pages 2, 4, 8, ... places away as well: its own lines are those
+that the other page sharing least of it (but something) lacks, and only pages
+that share most of its own lines are copies. The nearest page that is none is
+taken. A page that has next to nothing of its own against any of them is left.
 
 The markup then checks the result: lines inside article or main are restored
 (two pages may quote the same sentence), and lines in elements that are never
@@ -26,6 +33,7 @@ import hashlib
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -36,8 +44,10 @@ from pyspark.sql import functions as F
 from webloom.llm.common import row_key, written
 from webloom.operators.paging import with_row_index
 
-#: Share of a page's text that makes its neighbour a copy.
+#: Share of a page's own text, or of its article's lines, that makes another page its copy.
 COPY_SHARE = 0.5
+#: A page without article that has no more text of its own than this has only copies.
+OWN_SHARE = 0.1
 
 ARTICLE, NEUTRAL, CHROME = 0, 1, 2
 
@@ -223,31 +233,59 @@ def _split(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+_OUTLINE = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.list_(pa.int64()))])
+
+
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, path and the hashes of the lines outside article."""
+    """Host, path, the hash of all lines, and the hashes of those outside and inside article."""
     for batch in batches:
         rows = []
         for key, url, page in zip(*(batch.column(c).to_pylist() for c in range(3))):
             lines = page_lines(page or "")
-            outside = [line_hash(t) for t, zone in lines if zone != ARTICLE]
-            rows.append((key, *_split(url), outside, sum(len(t) for t, _ in lines), [len(t) for t, zone in lines if zone != ARTICLE]))
-        types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["key", "host", "path", "lines", "size", "sizes"])
+            outside = [t for t, zone in lines if zone != ARTICLE]
+            same = line_hash("\n".join(f"{zone}{t}" for t, zone in lines))
+            rows.append((key, *_split(url), same, [line_hash(t) for t in outside], [len(t) for t in outside], [line_hash(t) for t, zone in lines if zone == ARTICLE]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], field.type) for c, field in enumerate(_OUTLINE)], schema=_OUTLINE)
+
+
+def _common_start(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _chosen(page: dict, others: list[dict]) -> tuple[list[int], bool]:
+    """Places, among the lines outside article, of those shared with the nearest
+    of the other pages (nearest first) that is no copy; and whether that is
+    certain without pages further away."""
+    text = lambda places: sum(page["sizes"][k] for k in places)
+    shared = [shared_lines(page["lines"], n["lines"]) for n in others]
+    if page["body"]:
+        for n, s in zip(others, shared):
+            both = sum((Counter(page["body"]) & Counter(n["body"])).values())
+            if both <= COPY_SHARE * min(len(page["body"]), len(n["body"])):
+                return sorted(s), True
+        return [], False
+    total = sum(page["sizes"])
+    if text(shared[0]) <= COPY_SHARE * total:
+        return sorted(shared[0]), True
+    by_size = sorted((k for k, s in enumerate(shared) if s), key=lambda k: text(shared[k]))
+    if total - text(shared[by_size[0]]) <= OWN_SHARE * total:
+        return [], False
+    for k, s in enumerate(shared):
+        least = next((shared[m] for m in by_size if m != k), set())
+        if text(s - least) <= COPY_SHARE * (total - text(least)):
+            return sorted(s), False
+    return [], False
 
 
 def _template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places, among the lines outside article, of those shared with the nearest neighbour."""
+    """The choice between the page's neighbours in `near`."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            near = [n for n in (r["up"], r["down"]) if n and n["host"] == r["host"]]
-            near.sort(key=lambda n: -next((i for i, (x, y) in enumerate(zip(n["path"], r["path"])) if x != y), min(len(n["path"]), len(r["path"]))))
-            for n in near:
-                shared = shared_lines(r["lines"], n["lines"])
-                if sum(r["sizes"][k] for k in shared) <= COPY_SHARE * r["size"]:
-                    rows.append((r["key"], sorted(shared)))
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["key", "deleted"])
+            near = [n for n in r["near"] if n["host"] == r["host"]]
+            near.sort(key=lambda n: (n["step"], -_common_start(n["path"], r["path"])))
+            rows.append((r["key"], *(_chosen(r, near) if near else ([], True))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])], ["class", "deleted", "sure"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +304,33 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(row_key(id, url, page).alias("key"), F.col(id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
-    outline = rows.select("key", "url", "html").mapInArrow(_outline, "key long, host string, path string, lines array<long>, size long, sizes array<int>")
-    ordered = with_row_index(outline, "host", "path", "key")
-    side = lambda step, name: ordered.select((F.col("row_idx") + step).alias("row_idx"), F.struct("host", "path", "lines").alias(name))
-    pairs = ordered.join(side(1, "up"), "row_idx", "left").join(side(-1, "down"), "row_idx", "left").select("key", "host", "path", "lines", "size", "sizes", "up", "down")
-    deleted = written(pairs.mapInArrow(_template, "key long, deleted array<int>").dropDuplicates(["key"]), "template")
+    outline = written(rows.select("key", "url", "html").mapInArrow(_outline, "key long, host string, path string, same long, lines array<long>, sizes array<int>, body array<long>"), "outline")
+    named = outline.groupBy("host", "same").agg(F.min_by("key", F.struct("path", "key")).alias("class"))
+    classes = outline.join(named.select(F.col("class").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    # One place in the order for each URL; its first class is what others see.
+    first = classes.groupBy("host", "path").agg(F.min("key").alias("key"))
+    ordered = with_row_index(classes.join(first.select("key"), "key", "left_semi"), "host", "path")
+    places = ordered.select("host", "path", "row_idx")
+    asking = written(classes.join(places, ["host", "path"]).select("row_idx", "key", "host", "path", "lines", "sizes", "body"), "classes")
+
+    def choices(pages: DataFrame, steps: list[int]) -> DataFrame:
+        reach = F.explode(F.array(*[F.lit(x) for s in steps for x in (s, -s)]))
+        asked = pages.select("key", "row_idx", reach.alias("reach")).select("key", F.abs("reach").alias("step"), (F.col("row_idx") + F.col("reach")).alias("row_idx"))
+        seen = asked.join(ordered.select("row_idx", F.struct("host", "path", "lines", "body").alias("page")), "row_idx")
+        near = seen.groupBy("key").agg(F.collect_list(F.struct("step", "page.*")).alias("near"))
+        return pages.join(near, "key").select("key", "host", "path", "lines", "sizes", "body", "near").mapInArrow(_template, "class long, deleted array<int>, sure boolean")
+
+    adjacent = written(choices(asking, [1]), "adjacent")
+    unsure = written(asking.join(adjacent.filter("not sure").select(F.col("class").alias("key")), "key", "left_semi"), "unsure")
+    if unsure.isEmpty():
+        chosen = adjacent
+    else:
+        largest = places.groupBy("host").count().agg(F.max("count")).first()[0]
+        steps = [1 << k for k in range(largest.bit_length())]
+        chosen = adjacent.filter("sure").unionByName(choices(unsure, steps))
+    members = outline.select("key", "host", "same").distinct().join(named, ["host", "same"])
+    deleted = written(members.join(chosen.filter("size(deleted) > 0"), "class").select("key", "deleted"), "template")
+    texts = rows.join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
     kind = rows.schema["page_id"].dataType.simpleString()
     texts = rows.join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
     return texts.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
