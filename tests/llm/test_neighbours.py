@@ -76,6 +76,14 @@ def test_width_of_the_shingles_is_a_parameter(spark):
     assert {r.doc_id for r in minmax.keep_one_of_each(frame(spark, rows)).collect()} == {0}
 
 
+def test_one_stays_of_a_group_with_null_or_repeated_ids(spark):
+    text = lambda name, edit: " ".join(f"{name}{k}" for k in range(100)) + f" {edit}"
+    rows = [(None, text("a", "x")), (None, text("a", "y")), (None, text("a", "z")), (4, text("b", "x")), (4, text("b", "y")), (9, text("b", "z")), (None, text("b", "w")), (None, None), (7, ""), (7, "")]
+    got = [(r.doc_id, r.text) for r in minmax.keep_one_of_each(frame(spark, rows)).collect()]
+    assert sorted((i, (t or "")[:1]) for i, t in got if i) == [(4, "b"), (7, "")]
+    assert sorted((t or "")[:1] for i, t in got if i is None) == ["", "a"]
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     links = spark.createDataFrame([((k * 37) % n, ((k + 1) * 37) % n) for k in range(n - 1)], "a long, b long")

@@ -140,8 +140,8 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """key, doc_id, n_shingles, component_id, kept of every row."""
+def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """key, doc_id, n_shingles of every row: those with shingles and their root, and those without."""
     rows = docs.select(row_key(id, text).alias("key"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(partial(_sign, width=width), "key long, doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"), "signatures")
     filled = signed.filter("n_shingles > 0")
@@ -170,14 +170,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     joined = roots if crossing.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(crossing))
 
     of_class = nodes.select("set_lo", "set_hi", "node").join(joined, "node", "left").select("set_lo", "set_hi", F.coalesce("root", "node").alias("root"))
-    empty = signed.filter("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     member = filled.join(of_class, ["set_lo", "set_hi"]).select("key", "doc_id", "n_shingles", "root")
+    return member, signed.filter("n_shingles = 0").select("key", "doc_id", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """key, doc_id, n_shingles, component_id, kept of every row."""
+    member, empty = _grouped(docs, id, text, width)
     named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(named, "root").select("key", "doc_id", "n_shingles", "component_id").unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    every = member.join(named, "root").select("key", "doc_id", "n_shingles", "component_id").unionByName(empty.withColumn("component_id", F.col("doc_id")))
+    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row of each group of near-duplicates, its columns unchanged; a
-    repeated row stays once."""
-    kept = near_duplicates(docs, id, text, width).filter("kept").select("key").distinct()
+    """One row of each group of near-duplicates, that of the least doc_id (of
+    several, or of null ids alone, that of the least key), its columns
+    unchanged; a repeated row stays once, and so does each without words."""
+    member, empty = _grouped(docs, id, text, width)
+    one = member.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
+    kept = one.select("key").unionByName(empty.select("key")).distinct()
     return unkeyed(keyed(docs, id, text).join(kept, "key").dropDuplicates(["key"]), docs.columns)
