@@ -1,12 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: MinHash containment search.
 
 DataFrame operations only. A text's set is its distinct 5-word shingles
 (lower-cased A-Z; a shorter text is one shingle, which only an equally short
-text can contain). Test items are partitioned by set size in powers of two. An
-item's sketch is the `SKETCH` least hashes of its set, so a size partition has
-a threshold under which the sketches of all its items lie; a document is probed
-with its own hashes under the threshold of the smallest sizes, however long it
-is. An item of which the document holds 0.8 escapes with probability
+text can contain). An item's sketch is the `SKETCH` least hashes of its set. Each
+size class (powers of two) has a threshold under which the sketches of its items
+lie; the greatest of them serves all sizes: a document is probed once with its
+own hashes under it, against the sketches of all items. An item of which the document holds 0.8 escapes with probability
 0.2**SKETCH = 3e-6. Each candidate is verified by exact shingle containment.
 
 Sketches reach the documents through a bitmap of fixed size (``holding``); what
