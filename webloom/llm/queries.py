@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import containment, html_text, langid, mih, minmax, mixing, ppm, rlz, suffixes, warc
+from webloom.llm import containment, conversations, html_text, langid, mih, minmax, mixing, ppm, rlz, slots, suffixes, treap, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(read(spark, sf_dir, "pages"))
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.report(read(spark, sf_dir, "documents"))
+
+
+def op12_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(read(spark, sf_dir, "conversations"))
+
+
+def op13_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_induced_sorting": op1_induced_sorting,
     "op2_prediction_by_partial_matching": op2_prediction_by_partial_matching,
@@ -64,9 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_difference": op8_url_difference,
     "op9_language_id": op9_language_id,
     "op10_warc_index": op10_warc_index,
+    "op11_virtual_slots": op11_virtual_slots,
+    "op12_checkpointed_repair": op12_checkpointed_repair,
+    "op13_k2_treap": op13_k2_treap,
 }
 
 SQL: dict[str, str] = {
     "op4_containment": containment.SQL,
     "op7_mixing": mixing.SQL,
+    "op12_checkpointed_repair": conversations.SQL,
+    "op13_k2_treap": treap.SQL,
 }
