@@ -20,14 +20,14 @@ def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
-                mode: str = "overwrite", partitions: int | None = None) -> None:
+                mode: str = "overwrite", partitions: int | None = None, bloom: bool = True) -> None:
     """Write ``df`` as a key-bucketed, key-sorted parquet store.
 
     Range partitioning on ``(bucket, key, row hash)`` instead of hashing on the
     bucket: a bucket holding a hot key (a term in a third of all documents) is
     split over several tasks and files by key and row-hash ranges, never
     written by one task. Files stay sorted by key, and hold a Bloom filter of
-    it, for row-group pruning.
+    it (unless ``bloom`` is off, as for small files), for row-group pruning.
     Without ``partitions`` AQE sizes the ranges (it merges only ranges smaller
     than its advisory size, so a hot key still spans many files).
     """
@@ -36,7 +36,9 @@ def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64,
     ranged = (keyed.repartitionByRange(partitions, BUCKET, key, spread) if partitions
               else keyed.repartitionByRange(BUCKET, key, spread))
     (ranged.sortWithinPartitions(key).write.mode(mode).partitionBy(BUCKET)
-     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
+     .option(f"parquet.bloom.filter.enabled#{key}", str(bloom).lower())
+     # As large as the file's keys need; the fixed size would be 1 MiB in every file.
+     .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path))
 
 
 def read_keyed(spark: SparkSession, path: str, key: str, values: list,

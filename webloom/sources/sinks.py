@@ -8,12 +8,12 @@ a half-written output visible.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.constants import STATUS_LOADED, STATUS_MISSING
 from webloom.functions import urls as U
+from webloom.sources.store import latest_per_key, read_store, store_upsert, store_version, upsert  # noqa: F401
 
 
 def write_pages(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,62 +28,6 @@ def write_paths(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("path").write.mode(mode).text(path)
 
 
-def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per ``key``: the one written last, which is the one with the greatest
-    ``order`` (a batch number, a file position, a time); ties go to the greatest row.
-
-    ``max_by`` is a partial aggregate: a key written many times is combined
-    map-side rather than gathered into one task.
-    """
-    others = [c for c in df.columns if c != key]
-    rank_key = F.struct(F.col(order), *[F.col(c) for c in others if c != order])
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*others), rank_key).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "url",
-           order: str | None = None) -> DataFrame:
-    """Store upsert by key: incoming rows replace existing rows with the same key.
-
-    ``existing ▷ incoming`` (anti join) ∪ ``incoming``. With ``order`` the last
-    write of each key counts; without it ``incoming`` must hold a key once.
-    Idempotent: applying the same incoming rows twice gives the same table.
-    """
-    new = latest_per_key(incoming, key, order) if order else incoming
-    kept = existing.join(new.select(key), key, "left_anti")
-    return kept.unionByName(new.select(*existing.columns))
-
-
-def store_upsert(path: str, incoming: DataFrame, key: str = "url", order: str | None = None) -> DataFrame:
-    """Merge ``incoming`` into the parquet store at ``path`` (made if absent) and
-    return the store. Each merge writes a new version directory; a pointer row
-    written after it names the current one, so a failed merge leaves the store as
-    it was and no version is read while it is overwritten."""
-    spark = incoming.sparkSession
-    current = store_version(spark, path)
-    merged = upsert(read_store(spark, path), incoming, key, order) if current else (
-        latest_per_key(incoming, key, order) if order else incoming)
-    version = current + 1
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
-    spark.range(1).select(F.lit(version).cast("long").alias("current")).write.mode("append").parquet(f"{path}.current")
-    return read_store(spark, path)
-
-
-def store_version(spark, path: str) -> int:
-    """Number of the store's current version, 0 where there is no store."""
-    try:
-        return spark.read.schema("current long").parquet(f"{path}.current").agg(F.max("current")).first()[0] or 0
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-
-
-def read_store(spark, path: str) -> DataFrame:
-    """The current version of a store written by ``store_upsert``."""
-    return spark.read.parquet(f"{path}/version={store_version(spark, path)}")
-
-
 def save_ranked_table(df: DataFrame, table: str, buckets: int = 64,
                       mode: str = "overwrite") -> None:
     """Key-value table of ranked pages: bucketed and sorted by url, so a later
