@@ -16,6 +16,36 @@ def test_row_index_matches_row_number(spark):
     assert (r.n_rows, r.n_pages) == (1000, 4)
 
 
+def test_pages_of_one_listing(spark, tmp_path):
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("row"), F.lit("x").alias("place")).repartition(5)
+    path = str(tmp_path / "l")
+    PA.write_listing(df, path, "k", block_rows=50)
+    want = sorted((r.k, r.row, "x", r.k) for r in df.collect())
+    for page, size in ((0, 100), (3, 64), (9, 100), (0, 5000), (7, 1000)):
+        got = PA.listing_page(spark, path, page, size)
+        assert got.columns == ["k", "row", "place", "row_idx"]
+        assert sorted(map(tuple, got.collect())) == want[page * size:(page + 1) * size]
+    assert [PA.listing_seek(spark, path, k) for k in (-1, 0, 1, 500, 999, 2000)] == [0, 0, 1, 500, 999, 1000]
+
+
+def test_a_page_reads_its_blocks_alone(spark, tmp_path):
+    """No sort, no shuffle; the folders and places are given to the scan."""
+    path = str(tmp_path / "l")
+    PA.write_listing(spark.range(100_000).repartition(8), path, "id", block_rows=1000)
+    parts = spark.read.parquet(f"{path}/directory").agg(F.countDistinct("part")).first()[0]
+    page = PA.listing_page(spark, path, 3, 100)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(place,300)" in plan and "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert page.select(F.input_file_name().alias("f")).distinct().count() == 1 <= parts
+
+
+def test_listing_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "l")
+    PA.write_listing(spark.range(0), path, "id")
+    assert PA.listing_page(spark, path, 0, 10).collect() == [] and PA.listing_seek(spark, path, 5) == 0
+
+
 def test_kmeans_invariants(spark):
     rows = spark.createDataFrame(
         [(f"u{i}", float(2 + (i % 7) * 30 + i % 3), (i * 37) % 400 + 2) for i in range(120)],

@@ -32,6 +32,11 @@ def query_terms(q: str) -> list[str]:
     return list(seen)
 
 
+def phrase_tokens(q: str) -> list[str]:
+    """Tokens of a phrase in order, repeats kept."""
+    return [t for t in _SPLIT.split(q.lower()) if t]
+
+
 def tokens(text: Column) -> Column:
     """Array of tokens of a text column (empty strings removed).
 
@@ -155,7 +160,7 @@ def search_phrase(docs: DataFrame, q: str, url: str = "url", text: str = "text")
     terms = query_terms(q)
     if not terms:
         return docs.select(F.col(url).alias("url")).limit(0)
-    phrase = " " + " ".join(t for t in _SPLIT.split(q.lower()) if t) + " "
+    phrase = " " + " ".join(phrase_tokens(q)) + " "
     low = F.lower(F.col(text))
     maybe = None
     for t in terms:

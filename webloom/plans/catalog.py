@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from webloom.constants import DENSITY_PRESETS
 from webloom.functions import urls as U
 from webloom.functions.numeric import report_round
+from webloom.operators import blocks as BL
 from webloom.operators import cluster as CL
 from webloom.operators import graph as G
 from webloom.operators import pages as PG
@@ -32,6 +33,7 @@ from webloom.plans import serving as SV
 from webloom.plans.search_request import search_request, table_links
 from webloom.sources import readers as RD
 from webloom.sources import sinks as SK
+from webloom.sources import store as ST
 from webloom.sources import tables as TB
 from webloom.session import ensure_checkpoint_dir
 
@@ -49,6 +51,8 @@ DOMAIN_PATTERN = "*.example.net"
 PREFIX_PATTERN = "https://m."
 PAGE_SIZE = 100
 PAGE_NO = 1
+LOOKUP_SIZE = 7
+CELL_DOCS = 64             # documents of a cell of the block index
 
 
 def _r6(c: str) -> F.Column:
@@ -233,6 +237,31 @@ def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
         "url", _r6("score"))
 
 
+def _doc_blocks(spark, sf, terms: list[str] | None = None) -> DataFrame:
+    """The documents' block index, written and read back."""
+    d, path = _docs(spark, sf), _scratch(spark, "blocks")
+    BL.write_blocks(BL.build_blocks(d, d.count(), cell_docs=CELL_DOCS), path, 16)
+    return BL.read_blocks(spark, path, terms, 16)
+
+
+def doc_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of a query from the stored blocks, without reading them all."""
+    terms = S.query_terms(DOC_QUERY)
+    asked = spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
+    return BL.best(_doc_blocks(spark, sf, terms), asked, TOP_N).select("url", "score", "rank")
+
+
+def batch_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents for every test item, all items at once."""
+    items = TB.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    return BL.best(_doc_blocks(spark, sf), BS.query_terms(items), TOP_N).select("query_id", "url", "score", "rank")
+
+
+def phrase_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase found from the positions of the stored blocks."""
+    return BL.search_phrase(_doc_blocks(spark, sf, S.query_terms(DOC_PHRASE)), DOC_PHRASE)
+
+
 def doc_count(spark: SparkSession, sf: str) -> DataFrame:
     return S.match_all(_docs(spark, sf)).agg(F.count(F.lit(1)).alias("n_docs"))
 
@@ -286,6 +315,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_search_and": doc_search_and,
     "doc_phrase": doc_phrase,
     "doc_bm25": doc_bm25,
+    "doc_best": doc_best,
+    "batch_best": batch_best,
+    "phrase_index": phrase_index,
     "doc_count": doc_count,
     "page_text": page_text,
     "page_links": page_links,
@@ -359,6 +391,16 @@ def index_page(spark: SparkSession, sf: str) -> DataFrame:
     return PA.index_page(p, PAGE_NO, PAGE_SIZE, "url", "page_id")
 
 
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Two pages of one stored listing, and the page at which a url prefix begins."""
+    d = _scratch(spark, "listing")
+    PA.write_listing(TB.read_table(spark, sf, "pages", "page_id", "url"), d, "url", "page_id", block_rows=PAGE_SIZE)
+    begins = PA.listing_seek(spark, d, PREFIX_PATTERN)
+    found = [PA.listing_page(spark, d, n, PAGE_SIZE).withColumn("kind", F.lit(kind))
+             for kind, n in (("first", 0), ("second", 1), ("prefix", begins // PAGE_SIZE))]
+    return reduce(DataFrame.unionByName, found).withColumn("prefix_row", F.lit(begins).cast("long"))
+
+
 def index_page_count(spark: SparkSession, sf: str) -> DataFrame:
     return PA.page_count(TB.read_table(spark, sf, "pages", "page_id"), PAGE_SIZE)
 
@@ -490,6 +532,17 @@ def upsert_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return SK.store_upsert(store, new)
 
 
+def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of the parts of one size, looked up by key in the merged ranked store."""
+    g = _graph(spark, sf)
+    store = _scratch(spark, "ranked")
+    ranked = _ranked1(g).select("url", _r6("rank"), "total_links")
+    SK.store_upsert(store, ranked.withColumn("rank", F.lit(0.0)))
+    SK.store_upsert(store, ranked)
+    keys = TB.read_table(spark, sf, "part", "p_partkey", "p_size").filter(F.col("p_size") == LOOKUP_SIZE).select("p_partkey")
+    return ST.read_keys(spark, store, keys)
+
+
 def document_store(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned pages written to the text store in two batches, the second of which
     repeats keys: the last write of a url wins."""
@@ -654,6 +707,8 @@ QUERIES.update({
     "records_per_file": records_per_file,
     "index_page": index_page,
     "index_page_count": index_page_count,
+    "listing_pages": listing_pages,
+    "store_lookup": store_lookup,
     "batch_search": batch_search,
     "batch_tables": batch_tables,
     "batch_graph_nodes": batch_graph_nodes,

@@ -171,6 +171,9 @@ WHERE strpos(' ' || array_to_string(list_filter(regexp_split_to_array(lower(text
              ' {' '.join(C.DOC_PHRASE.lower().split())} ') > 0""",
     "doc_bm25": _with(_index("documents", "doc_id", "text"), _bm25(C.DOC_QUERY))
     + " SELECT url, floor(round(score, 9) * 1000000 + 0.5) / 1000000 AS score FROM hits",
+    "doc_best": _with(_index("documents", "doc_id", "text"), _bm25(C.DOC_QUERY)) + f"""
+SELECT url, score, CAST(row_number() OVER (ORDER BY score DESC, url) AS INTEGER) AS rank
+FROM (SELECT url, floor(round(score, 9) * 1000000 + 0.5) / 1000000 AS score FROM hits) QUALIFY rank <= {C.TOP_N}""",
     "doc_count": "SELECT count(*) AS n_docs FROM documents",
     "page_text": f"""SELECT page_id, url,
        regexp_replace(regexp_replace(html, '{TAG}', '', 'g'), '{NON_ASCII}', '', 'g') AS plaintext
@@ -292,6 +295,16 @@ bedges AS (SELECT query_id, source, target, value FROM sedges
            FROM nbrs)"""
 
 SQL.update({
+    "phrase_index": SQL["doc_phrase"],
+    "batch_best": _with(_index("documents", "doc_id", "text"), f"""
+dl AS (SELECT url, sum(tf) AS dl FROM idx GROUP BY url), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '{TOKEN}')) AS term FROM benchmark),
+dft AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
+sc AS (SELECT qt.query_id, idx.url, sum(ln(1.0 + (CAST(st.n - dft.df AS DOUBLE) + 0.5) / (CAST(dft.df AS DOUBLE) + 0.5))
+    * idx.tf * 2.2 / (idx.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score
+  FROM idx JOIN dft USING (term) JOIN qt USING (term) JOIN dl ON dl.url = idx.url, st GROUP BY qt.query_id, idx.url)""") + f"""
+SELECT query_id, url, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS INTEGER) AS rank
+FROM (SELECT query_id, url, {_r6("score")} AS score FROM sc) QUALIFY rank <= {C.TOP_N}""",
     "pages_json_roundtrip": f"""SELECT url,
        CAST(len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1),
                             lambda x: starts_with(x, '/'))) AS INTEGER) AS n_links,
@@ -343,6 +356,12 @@ FROM paths LEFT JOIN cnt ON paths.source_file = cnt.source_file""",
 WHERE row_idx >= {C.PAGE_NO * C.PAGE_SIZE} AND row_idx < {(C.PAGE_NO + 1) * C.PAGE_SIZE}""",
     "index_page_count": f"""SELECT count(*) AS n_rows,
        CAST(ceil(count(*) / {float(C.PAGE_SIZE)}) AS BIGINT) AS n_pages FROM pages""",
+    "listing_pages": f"""WITH n AS (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages),
+b AS (SELECT count(*) AS n_below FROM pages WHERE url < '{C.PREFIX_PATTERN}'),
+k AS (SELECT 'first' AS kind, 0 AS p UNION ALL SELECT 'second', 1 UNION ALL SELECT 'prefix', n_below // {C.PAGE_SIZE} FROM b)
+SELECT n.*, kind, n_below AS prefix_row FROM n JOIN k ON n.row_idx // {C.PAGE_SIZE} = k.p, b""",
+    "store_lookup": _with(P_BASE, _rounds(1), RANKED) + f""" SELECT url, {_r6('rank')} AS rank, total_links
+FROM rk JOIN part ON p_partkey = url WHERE p_size = {C.LOOKUP_SIZE}""",
     "batch_search": BATCH + " SELECT query_id, url, rank, total_links FROM found",
     "batch_tables": BATCH + """ SELECT query_id, url, rank, total_links FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, url) AS r FROM found)
