@@ -93,3 +93,22 @@ def test_scratch_tables_can_be_dropped(spark, mini_graph):
     assert len(ranks_of(G.pagerank(mini_graph, 2))) == 4
     assert drop_scratch_tables(spark) == 1
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("webloom_")]
+
+
+def test_a_round_of_bucketed_ranks_and_edges_has_one_shuffle(spark, mini_graph):
+    """Ranks come out of a round in the buckets that the edges lie in."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [G.pagerank(mini_graph, n, checkpoint_every=0)._jdf.queryExecution().executedPlan().toString() for n in (3, 4)]
+        cut = G.pagerank(mini_graph, 6, checkpoint_every=5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [p.count("Exchange hashpartitioning") for p in plans]
+    assert shuffles[1] - shuffles[0] == 1 and cut.count("Exchange hashpartitioning") == 1
+
+
+def test_rounds_end_once_nothing_moves(spark, mini_graph):
+    far = {r.url: r.rank for r in G.pagerank(mini_graph, 64, checkpoint_every=8).collect()}
+    near = {r.url: r.rank for r in G.pagerank(mini_graph, 500, checkpoint_every=8, until=1e-3).collect()}
+    assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 0.02 for k in far)

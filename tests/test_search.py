@@ -96,3 +96,23 @@ def test_scores_are_equal_with_and_without_carried_lengths(spark):
     plain = sorted(map(tuple, S.score(S.query_postings(docs, "a b"), "a b", lengths=lengths).collect()))
     carried = sorted(map(tuple, S.score(S.query_postings(docs, "a b", with_length=True), "a b", lengths=lengths).collect()))
     assert plain == carried and len(plain) == 2
+
+
+def test_texts_searched_in_one_pass_equal_the_index(spark):
+    rows = [(1, "Red widget, red."), (2, "a WIDGET"), (3, "rediscovered widgets"), (4, None), (5, " -- "), (6, "red red red blue"), (6, "widget again"), (7, "blue")]
+    docs = spark.createDataFrame(rows, "url long, text string")
+    index = S.build_index(docs)
+    for q in ("red widget", "widget", "RED red", "nothing", "", "blue nothing"):
+        for mode in ("or", "and"):
+            if q:
+                assert sorted(S.search_texts(docs, q, mode).collect()) == sorted(S.search(index, q, mode).collect())
+        got = {r.url: round(r.score, 9) for r in S.score_texts(docs, q).collect()}
+        assert got == {r.url: round(r.score, 9) for r in S.score(index, q).collect()}
+
+
+def test_one_light_shuffle_scores_texts(spark):
+    docs = spark.createDataFrame([(1, "red widget"), (2, "blue")], "url long, text string")
+    scored = S.score_texts(docs, "red widget")
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "text" not in "".join(line for line in plan.splitlines() if "Exchange" in line)

@@ -106,6 +106,10 @@ def build_edges(links: DataFrame, hot_max_keys: int = HOT_MAX_KEYS,
         pairs = written_table(pairs, "pairs")
         degree = written_table(pairs.groupBy("src").agg(F.sum("mult").alias("out_degree"), F.count(F.lit(1)).alias("n_targets")), "degree")
     hot = hot_keys(degree, "src", "n_targets", hot_max_keys, hot_min_rows)
+    if stored and hot.isEmpty():  # known from the written degrees: no hot branch at all
+        w = (F.col("mult") / F.col("out_degree")).alias("w")
+        degree = degree.select("src", "out_degree")
+        return Edges(cold=pairs.join(degree, "src").select("src", "dst", w), hot=None, hot_src=None, degree=degree)
     pairs_hot, pairs_cold = split_by_keys(pairs, "src", hot, "src")
     degree_hot, _ = split_by_keys(degree, "src", hot, "src")
     w = (F.col("mult") / F.col("out_degree")).alias("w")
@@ -157,56 +161,63 @@ def damp(received: Column, damping: float = DAMPING, teleport: float = TELEPORT)
 
 def pagerank(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS, damping: float = DAMPING,
              teleport: float = TELEPORT, checkpoint_every: int = CHECKPOINT_EVERY,
-             edges: Edges | None = None) -> DataFrame:
+             edges: Edges | None = None, until: float | None = None) -> DataFrame:
     """Unnormalised PageRank after ``rounds`` rounds: ``(url, rank)``."""
-    return pagerank_with_edges(graph, rounds, damping, teleport, checkpoint_every, edges)[0]
+    return pagerank_with_edges(graph, rounds, damping, teleport, checkpoint_every, edges, until)[0]
 
 
 def pagerank_with_edges(graph: LinkGraph, rounds: int = DEFAULT_ROUNDS,
                         damping: float = DAMPING, teleport: float = TELEPORT,
                         checkpoint_every: int = CHECKPOINT_EVERY,
-                        edges: Edges | None = None) -> tuple[DataFrame, Edges]:
+                        edges: Edges | None = None, until: float | None = None) -> tuple[DataFrame, Edges]:
     """PageRank ``(url, rank)`` and the edges it ran on (written ones when the
     run spans checkpoints), so later steps can reuse their degree table.
 
-    Each round is one join (edges never reshuffle: cold edges keep their
-    exchange, hot ones are reached by broadcast) and one partial+final
-    aggregate by target. Lineage is cut with a reliable ``checkpoint`` every
-    ``checkpoint_every`` rounds so a lost executor recomputes at most that many.
+    Each round is one join and one partial+final aggregate by target, which is its
+    only shuffle: the edges lie in buckets of their source, and the aggregate deals
+    the new ranks by the same hash into as many partitions, so neither side of the
+    next join moves. Lineage is cut every ``checkpoint_every`` rounds by writing
+    the ranks, in those same buckets; a lost executor recomputes at most that many
+    rounds. With ``until`` the rounds end early, at such a cut, once no rank has
+    changed by more than that in the last round.
     """
     if rounds < 0:
         raise ValueError("rounds must be >= 0")
     given = edges is not None
-    edges = edges or build_edges(graph.links, stored=rounds > 1)
+    edges = edges or build_edges(graph.links, stored=rounds > 0)
+    spark = graph.links.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rounds > 1:
-        # Write the edges once, so no round rebuilds them. Cold edges become a
-        # table bucketed and sorted by src, so every round's join shuffles only
-        # the ranks, never the edges.
-        spark = graph.links.sparkSession
-        ensure_checkpoint_dir(spark)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Write the edges once, so no round rebuilds them.
         hot_src = written_table(edges.hot_src, "hot_src") if edges.hot_src is not None else None
         degree = written_table(edges.degree, "degree") if given and edges.degree is not None else edges.degree
+        cold = bucketed_table(edges.cold, "src", n, "edges")
         if hot_src is None or hot_src.isEmpty():  # known after one pass: drop the hot branch
-            edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"), hot=None,
-                          hot_src=None, degree=degree)
+            edges = Edges(cold=cold, hot=None, hot_src=None, degree=degree)
         else:
-            edges = Edges(cold=bucketed_table(edges.cold, "src", n, "edges"),
-                          hot=written_table(edges.hot, "hot_edges"), hot_src=hot_src,
-                          degree=degree)
+            edges = Edges(cold=cold, hot=written_table(edges.hot, "hot_edges"), hot_src=hot_src, degree=degree)
     ranks = graph.pages.select(F.col("url").alias("src"),
                                F.lit(INITIAL_RANK).cast("double").alias("rank"))
     for i in range(rounds):
+        before = ranks
         received = (contributions(edges, ranks).groupBy("dst")
                     .agg(F.sum("contrib").alias("received")))
         ranks = received.select(F.col("dst").alias("src"),
                                 damp(F.col("received"), damping, teleport).alias("rank"))
         if checkpoint_every and (i + 1) % checkpoint_every == 0 and i + 1 < rounds:
-            ensure_checkpoint_dir(ranks.sparkSession)
-            ranks = ranks.checkpoint(eager=True)
+            ranks = bucketed_table(ranks, "src", n, "ranks")
+            if until is not None and moved(before, ranks).filter(F.col("moved") > until).isEmpty():
+                break
     return ranks.withColumnRenamed("src", "url"), edges
 
 
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """By how much each rank ``(src, rank)`` has changed: ``(src, moved)``; a page that
+    has a rank on one side only moved by all of it."""
+    both = before.select("src", F.col("rank").alias("was")).join(after, "src", "full")
+    return both.select("src", F.abs(F.coalesce("was", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))).alias("moved"))
+
+
 def ranked_pages(graph: LinkGraph, ranks: DataFrame, edges: Edges | None = None) -> DataFrame:
     """Ranks of crawled pages with their link counts: ``(url, rank, total_links)``.
 

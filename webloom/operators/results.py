@@ -62,10 +62,11 @@ def first_hits(hits: DataFrame, n: int = MAX_LOOKUPS, order: str = "score") -> D
 def lookup_pages(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     """Hits joined with the ranked table: ``(url, rank, total_links)``.
 
-    ``hits`` is bounded (``first_hits``), so it is broadcast and the ranked
-    table is only scanned, never shuffled.
+    ``hits`` is bounded (``first_hits``), which the optimizer knows from its limit: a
+    limit of the usual size is broadcast, so the ranked table is only scanned; a
+    far larger one is shuffled.
     """
-    return ranked.join(F.broadcast(hits.select("url")), "url")
+    return ranked.join(hits.select("url"), "url")
 
 
 def above_rank(found: DataFrame, cutoff: float = RANK_CUTOFF) -> DataFrame:

@@ -11,6 +11,9 @@ data) and applied as an ``isin`` filter that is pushed into the scan.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 import regex
 
 from pyspark.sql import Column, DataFrame
@@ -196,6 +199,50 @@ def score(index: DataFrame, q: str, k1: float = BM25_K1, b: float = BM25_B,
     return weighted.groupBy("url").agg(F.sum(part).alias("score"))
 
 
+def text_counts(docs: DataFrame, terms: list[str], url: str = "url", text: str = "text") -> DataFrame:
+    """``(url, dl, tf)`` of every document with a token; ``tf`` counts the given terms
+    in their order. Each text is tokenised once, in the scan's own stage, and what
+    is shuffled is one light row a document, not its text or its postings."""
+    listed = docs.filter(F.col(text).rlike(TOKEN_CHAR)).select(F.col(url).alias("url"), tokens(F.col(text)).alias("_t"))
+    times = [(F.size("_t") - F.size(F.array_remove("_t", F.lit(t)))).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)]
+    light = listed.select("url", F.size("_t").cast("long").alias("dl"), *times)
+    sums = light.groupBy("url").agg(F.sum("dl").alias("dl"), *[F.sum(f"tf{i}").alias(f"tf{i}") for i in range(len(terms))])
+    return sums.select("url", "dl", F.array(*[F.col(f"tf{i}") for i in range(len(terms))]).cast("array<bigint>").alias("tf"))
+
+
+def search_texts(docs: DataFrame, q: str, mode: str = "or", url: str = "url", text: str = "text") -> DataFrame:
+    """``search`` over raw texts: ``(url, matched)`` without postings. Texts that lack
+    the terms as plain substrings are dropped before they are tokenised."""
+    terms = query_terms(q)
+    if mode not in ("or", "and"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if not terms:
+        return docs.select(F.col(url).alias("url"), F.lit(0).cast("long").alias("matched")).limit(0)
+    low = F.lower(F.col(text))
+    held = [F.instr(low, t) > 0 for t in terms]
+    # Any term, in either mode: the others may be in another row of the url.
+    maybe = docs.filter(reduce(or_, held)).select(F.col(url).alias("url"), tokens(F.col(text)).alias("_t"))
+    each = maybe.select("url", *[F.array_contains("_t", t).alias(f"m{i}") for i, t in enumerate(terms)])
+    # Rows of one url are one document.
+    hits = each.groupBy("url").agg(*[F.bool_or(f"m{i}").alias(f"m{i}") for i in range(len(terms))])
+    matched = reduce(add, [F.col(f"m{i}").cast("long") for i in range(len(terms))])
+    return hits.select("url", matched.alias("matched")).filter(F.col("matched") >= (len(terms) if mode == "and" else 1))
+
+
+def score_texts(docs: DataFrame, q: str, k1: float = BM25_K1, b: float = BM25_B, url: str = "url", text: str = "text") -> DataFrame:
+    """``score`` over raw texts: ``(url, score)``. Corpus statistics and scores come from
+    the same light rows, whose one shuffle both read."""
+    terms = query_terms(q)
+    counts = text_counts(docs, terms, url, text)
+    df = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = counts.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *df).alias("s")).scalar()
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])
+    parts = [F.log(F.lit(1.0) + (stats["n"] - stats[f"df{i}"] + F.lit(0.5)) / (stats[f"df{i}"] + F.lit(0.5)))
+             * F.col("tf")[i] * F.lit(k1 + 1.0) / (F.col("tf")[i] + norm) for i in range(len(terms))]
+    hit = F.array_max("tf") > 0 if terms else F.lit(False)
+    return counts.filter(hit).select("url", reduce(add, parts, F.lit(0.0)).alias("score"))
+
+
 def match_all(docs: DataFrame) -> DataFrame:
     """Every stored document (the store's match-all listing)."""
     return docs.select("url")

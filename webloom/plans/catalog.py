@@ -38,7 +38,7 @@ from webloom.sources import tables as TB
 from webloom.session import ensure_checkpoint_dir
 
 # Parameters of the registered queries.
-LIMITED = {"lookups": 200, "rows": 10, "budget": 50}
+LIMITED = {"lookups": 100, "rows": 10, "budget": 50}
 GRAPH_QUERY = "widget"       # search term on graph P
 GRAPH_BASE_TERM = "brand"    # every graph-P page holds it: the percentage base
 GRAPH_BUDGET = 1000          # node budget -> 100 seeds
@@ -70,7 +70,7 @@ def _graph(spark, sf):
 
 def _ranked1(g: G.LinkGraph) -> DataFrame:
     """Ranked pages after one round; the out-degree comes from the same edges."""
-    edges = G.build_edges(g.links)
+    edges = G.build_edges(g.links, stored=True)
     return G.ranked_pages(g, G.pagerank(g, 1, edges=edges), edges)
 
 
@@ -111,17 +111,15 @@ def received_r1(spark: SparkSession, sf: str) -> DataFrame:
 def _request(spark, sf):
     g = _graph(spark, sf)
     ranked = _ranked1(g)
-    return search_request(S.query_postings(g.pages, GRAPH_QUERY, with_length=True), ranked, g.links,
-                          GRAPH_QUERY, budget=GRAPH_BUDGET, lengths=S.text_lengths(g.pages))
+    return search_request(None, ranked, g.links, GRAPH_QUERY, budget=GRAPH_BUDGET, hits=S.score_texts(g.pages, GRAPH_QUERY))
 
 
 def _limited_request(spark, sf):
     """The request with limits that bind: fewer lookups than hits, fewer table
     rows and seeds than pages found."""
     g = _graph(spark, sf)
-    return search_request(S.query_postings(g.pages, GRAPH_QUERY, with_length=True), _ranked1(g), g.links,
-                          GRAPH_QUERY, budget=LIMITED["budget"], max_lookups=LIMITED["lookups"],
-                          table_rows=LIMITED["rows"], lengths=S.text_lengths(g.pages))
+    return search_request(None, _ranked1(g), g.links, GRAPH_QUERY, budget=LIMITED["budget"], max_lookups=LIMITED["lookups"],
+                          table_rows=LIMITED["rows"], hits=S.score_texts(g.pages, GRAPH_QUERY))
 
 
 def limited_analysis(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,11 +218,11 @@ def doc_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_search_or(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search(S.query_postings(_docs(spark, sf), DOC_QUERY), DOC_QUERY, "or")
+    return S.search_texts(_docs(spark, sf), DOC_QUERY, "or")
 
 
 def doc_search_and(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search(S.query_postings(_docs(spark, sf), DOC_QUERY), DOC_QUERY, "and")
+    return S.search_texts(_docs(spark, sf), DOC_QUERY, "and")
 
 
 def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,9 +230,7 @@ def doc_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf)
-    return S.score(S.query_postings(d, DOC_QUERY, with_length=True), DOC_QUERY, lengths=S.text_lengths(d)).select(
-        "url", _r6("score"))
+    return S.score_texts(_docs(spark, sf), DOC_QUERY).select("url", _r6("score"))
 
 
 def _doc_blocks(spark, sf, terms: list[str] | None = None) -> DataFrame:

@@ -58,9 +58,9 @@ def run(spark: SparkSession, text_glob: str, meta_glob: str, out_dir: str,
     derived archive count for the listed one.
     """
     # A .gz archive is one task; with fewer archives than cores, spread records.
-    records = spread(readers.read_archive(spark, text_glob))
+    records = spread(readers.read_archive(spark, text_glob), "source_file", "url")
     texts = text_records(records, descriptor)
-    links = link_records(spread(readers.read_link_metadata(spark, meta_glob)), descriptor)
+    links = link_records(spread(readers.read_link_metadata(spark, meta_glob), "source_file", "url"), descriptor)
     sinks.write_pages(texts, f"{out_dir}/text")
     sinks.write_pages(links, f"{out_dir}/links")
     readers.rejected(records, "length_ok").write.mode("overwrite").json(f"{out_dir}/rejected")

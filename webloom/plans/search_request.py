@@ -8,26 +8,67 @@ assembled document).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.constants import MAX_LOOKUPS, RANK_CUTOFF, TABLE_ROWS
+from webloom.constants import LINKS_PER_SEED, MAX_LOOKUPS, RANK_CUTOFF, TABLE_ROWS
 from webloom.operators import results as R
 from webloom.operators import search as S
+from webloom.operators.graph import written_table
 
 
 @dataclass
 class SearchResult:
+    """Outputs of a request. What only the graph needs is made when first asked for;
+    the seeds' distinct links, which three of its tables read, are written once."""
+
     hits: DataFrame        # (url, score), every matching document
     found: DataFrame       # (url, rank, total_links), looked up and above the cutoff
-    table: DataFrame       # best TABLE_ROWS of found
-    seeds: DataFrame       # (seed_idx, url, rank, total_links)
-    seed_edges: DataFrame  # (source, target, value)
-    neighbours: DataFrame  # (node_id, seed_idx, link)
-    nodes: DataFrame       # (node_id, name, group, rank, total_links)
-    edges: DataFrame       # (source, target, value)
+    links_of: Callable[[DataFrame], DataFrame]  # links (url, pos, link) of the seeds given
+    budget: int = 1000
+    table_rows: int = TABLE_ROWS
+    per_seed: int = LINKS_PER_SEED
+    materialize: bool = True
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """Best ``table_rows`` of found."""
+        return R.best_pages(self.found, self.table_rows)
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        """(seed_idx, url, rank, total_links)"""
+        return R.pick_seeds(self.found, R.seed_count(self.budget))
+
+    @cached_property
+    def seed_links(self) -> DataFrame:
+        """(seed_idx, link, first_pos): as many rows as the seeds have distinct links."""
+        links = R.seed_links(self.links_of(self.seeds), self.seeds)
+        return written_table(links, "seed_links") if self.materialize else links
+
+    @cached_property
+    def seed_edges(self) -> DataFrame:
+        """(source, target, value)"""
+        return R.seed_edges(self.seed_links, self.seeds)
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        """(node_id, seed_idx, link)"""
+        return R.neighbours(self.seed_links, self.seed_edges, self.seeds, self.per_seed)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """(node_id, name, group, rank, total_links)"""
+        return R.graph_nodes(self.seeds, self.neighbours)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(source, target, value)"""
+        return R.graph_edges(self.seed_edges, self.neighbours)
 
     def document(self) -> DataFrame:
         return R.graph_document(self.nodes, self.edges)
@@ -37,33 +78,26 @@ class SearchResult:
         return self.found.select("url", "rank", "total_links")
 
 
-def search_request(index: DataFrame, ranked: DataFrame, links: DataFrame, q: str,
+def search_request(index: DataFrame | None, ranked: DataFrame, links: DataFrame, q: str,
                    budget: int = 1000, cutoff: float = RANK_CUTOFF,
                    max_lookups: int = MAX_LOOKUPS, table_rows: int = TABLE_ROWS,
-                   lengths: DataFrame | None = None, materialize: bool = True) -> SearchResult:
+                   lengths: DataFrame | None = None, materialize: bool = True,
+                   hits: DataFrame | None = None) -> SearchResult:
     """Run the request for query ``q`` with a node ``budget`` (seeds = budget // 10).
 
+    ``hits`` ``(url, score)``, where given, stand for the scores from ``index``.
     ``found`` has at most ``max_lookups`` rows and feeds every output, so it is
-    computed once and kept as a local relation (``materialize``) instead of
-    being recomputed — index scan, scoring and lookup — by each consumer. A
-    local relation also carries its exact size, so the optimizer never mistakes
-    it for a large table (a checkpointed RDD has no statistics, which invites
-    runtime filters that scan the link table to shrink a 100-row side).
+    written once (``materialize``) instead of being recomputed by each consumer.
+    Its files carry its size, so the optimizer never mistakes it for a large
+    table; nothing of it passes through the driver.
     """
-    hits = S.score(index, q, lengths=lengths)
+    if hits is None:
+        hits = S.score(index, q, lengths=lengths)
     first = R.first_hits(hits, max_lookups)
     found = R.above_rank(R.lookup_pages(first, ranked), cutoff)
     if materialize:
-        found = found.sparkSession.createDataFrame(found.collect(), found.schema)
-    table = R.best_pages(found, table_rows)
-    n_seeds = R.seed_count(budget)
-    seeds = R.pick_seeds(found, n_seeds)
-    dlinks = R.seed_links(links, seeds)
-    s_edges = R.seed_edges(dlinks, seeds)
-    nbrs = R.neighbours(dlinks, s_edges, seeds)
-    return SearchResult(hits=hits, found=found, table=table, seeds=seeds,
-                        seed_edges=s_edges, neighbours=nbrs,
-                        nodes=R.graph_nodes(seeds, nbrs), edges=R.graph_edges(s_edges, nbrs))
+        found = written_table(found, "found")
+    return SearchResult(hits, found, lambda seeds: links, budget, table_rows, materialize=materialize)
 
 
 def table_links(table: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,24 +4,24 @@ The batch side writes four stores once (``build_stores``): postings by term
 (each posting carries its document's length), one row of corpus statistics,
 the ranked table by url and the link table by url. A request then touches
 only bounded key sets — the query's terms, at most ``max_lookups`` hit urls,
-at most ``budget // 10`` seed urls — so it reads a few bucket directories and
-row groups instead of scanning corpus-sized tables. The key lists are small
-by construction and travel through the driver as literals (that is what
-enables partition and row-group pruning); no corpus-sized data does.
+at most ``budget // 10`` seed urls — so it reads a few bucket directories
+instead of scanning corpus-sized tables. The terms are the request's own words;
+hit and seed urls stay relations that prune the bucket directories at run time.
+Nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.constants import (BM25_B, BM25_K1, LINKS_PER_SEED, MAX_LOOKUPS, RANK_CUTOFF,
                                TABLE_ROWS)
 from webloom.operators import results as R
 from webloom.operators import search as S
-from webloom.operators.graph import LinkGraph
+from webloom.operators.graph import LinkGraph, written_table
 from webloom.plans.search_request import SearchResult
-from webloom.sources.keyed import read_keyed, write_keyed
+from webloom.sources.keyed import read_keyed, read_matching, write_keyed
 
 
 def build_stores(graph: LinkGraph, ranked: DataFrame, docs: DataFrame, out_dir: str,
@@ -40,50 +40,31 @@ def served_scores(spark: SparkSession, store: str, q: str, k1: float = BM25_K1,
     """BM25 ``(url, score)`` from the term-keyed postings and the stats row."""
     terms = S.query_terms(q)
     p = read_keyed(spark, f"{store}/postings", "term", terms, buckets)
-    n_docs, avgdl = spark.read.parquet(f"{store}/stats").first()  # one row
+    stats = spark.read.parquet(f"{store}/stats").select(F.struct("n", "avgdl").alias("s")).scalar()  # one row
+    n_docs, avgdl = stats["n"], stats["avgdl"]
     df_t = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm
     return (p.join(F.broadcast(df_t.select("term", idf.alias("idf"))), "term")
             .groupBy("url").agg(F.sum(part).alias("score")))
 
 
-def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A bounded result brought to the driver once and served from there."""
-    return spark.createDataFrame(df.collect(), df.schema)
-
-
 def served_request(spark: SparkSession, store: str, q: str, budget: int = 1000,
                    cutoff: float = RANK_CUTOFF, max_lookups: int = MAX_LOOKUPS,
                    table_rows: int = TABLE_ROWS, buckets: int = 64,
                    per_seed: int = LINKS_PER_SEED) -> SearchResult:
     """Same outputs as ``search_request``, reading only the request's keys.
 
-    Every collected set is bounded by the request: <= max_lookups urls and
-    found rows, <= budget // 10 seeds, and per seed its links that are seeds
-    plus its first ``per_seed`` distinct links.
+    Every written set is bounded by the request: <= max_lookups urls and found
+    rows, <= budget // 10 seeds, and the seeds' distinct links.
     """
     hits = served_scores(spark, store, q, buckets=buckets)
-    hit_urls = [r[0] for r in R.first_hits(hits, max_lookups).select("url").collect()]
-    found = _local(spark, R.above_rank(
-        read_keyed(spark, f"{store}/ranked", "url", hit_urls, buckets), cutoff))
-    seeds = _local(spark, R.pick_seeds(found, R.seed_count(budget)))
-    seed_urls = [r["url"] for r in seeds.select("url").collect()]
-    links = read_keyed(spark, f"{store}/links", "url", seed_urls, buckets)
-    dlinks = R.seed_links(links, seeds)
-    # Keep, per seed, its first ``per_seed`` distinct links (a pure rank limit,
-    # so Spark cuts it per task before the shuffle) and its links that are
-    # seeds (at most seeds^2 rows); nothing else is needed downstream.
-    w = Window.partitionBy("seed_idx").orderBy(F.asc("first_pos"), F.asc("link"))
-    top = (dlinks.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_seed)
-           .select("seed_idx", "link", "first_pos"))
-    targets = F.broadcast(seeds.select(F.col("url").alias("link")))
-    to_seeds = dlinks.join(targets, "link", "left_semi").select("seed_idx", "link", "first_pos")
-    needed = top.unionByName(to_seeds).distinct()
-    dlinks = _local(spark, needed)
-    s_edges = R.seed_edges(dlinks, seeds)
-    nbrs = R.neighbours(dlinks, s_edges, seeds, per_seed)
-    return SearchResult(hits=hits, found=found, table=R.best_pages(found, table_rows),
-                        seeds=seeds, seed_edges=s_edges, neighbours=nbrs,
-                        nodes=R.graph_nodes(seeds, nbrs), edges=R.graph_edges(s_edges, nbrs))
+    first = R.first_hits(hits, max_lookups).select("url")
+    ranked = read_matching(spark, f"{store}/ranked", "url", first, buckets)
+    found = written_table(R.above_rank(ranked, cutoff), "found")
+
+    def links_of(seeds: DataFrame) -> DataFrame:
+        return read_matching(spark, f"{store}/links", "url", seeds.select("url"), buckets)
+
+    return SearchResult(hits, found, links_of, budget, table_rows, per_seed)

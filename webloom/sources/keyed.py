@@ -57,6 +57,18 @@ def read_keyed(spark: SparkSession, path: str, key: str, values: list,
     return store.filter(F.expr(f"{BUCKET} IN ({hashed})") & F.expr(f"`{key}` IN ({', '.join(literals)})")).drop(BUCKET)
 
 
+def read_matching(spark: SparkSession, path: str, key: str, keys: DataFrame, buckets: int = 64) -> DataFrame:
+    """Rows of a keyed store whose key is in the relation ``keys`` (one column).
+
+    Joined on bucket and key, so that Spark prunes the bucket directories at run
+    time from the keys it broadcasts; no list of keys passes through the driver,
+    and keys too many to broadcast are shuffled instead."""
+    wanted = with_bucket(keys.select(F.col(keys.columns[0]).alias("_key")).distinct(), "_key", buckets)
+    wanted = wanted.select("_key", F.col(BUCKET).cast("int").alias("_bucket")).filter(F.col("_bucket") >= 0)
+    store = spark.read.parquet(path)
+    return store.join(wanted, (F.col(BUCKET) == F.col("_bucket")) & (F.col(key) == F.col("_key")), "left_semi").drop(BUCKET)
+
+
 def _sql_literal(v, key_type: str) -> str:
     if key_type == "bigint":
         return f"{int(v)}L" if v != -(2**63) else "cast('-9223372036854775808' as bigint)"

@@ -81,19 +81,21 @@ def part_graph(spark: SparkSession, sf_dir: str) -> LinkGraph:
 SCAN_PARTITIONS = "spark.webloom.scanPartitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in as many partitions as the session's ``spark.webloom.scanPartitions``
-    says; as scanned where that is not set (a crawl-sized input has splits enough)."""
+    says, by the hash of its keys (a round robin would sort the rows first, to be
+    repeatable); as scanned where that is not set: a crawl-sized input has splits
+    enough, and its texts are tokenised where they are read."""
     n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
-    return df.repartition(int(n)) if n else df
+    return df.repartition(int(n), *keys) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text documents ``(url, text)`` keyed by ``doc_id``."""
     return spread(read_table(spark, sf_dir, "documents", "doc_id", "text").select(
-        F.col("doc_id").alias("url"), "text"))
+        F.col("doc_id").alias("url"), "text"), "url")
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages ``(page_id, url, html)``."""
-    return spread(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return spread(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id")
