@@ -95,3 +95,23 @@ def test_rows_without_a_feature_keep_a_null_label(spark):
     got = {r.url: r.label for r in CL.assign(rows, CL.fit(rows, 2)).collect()}
     assert set(got) == {"a", "b", "c", "d"} and got["b"] is None and got["d"] is None and got["a"] != got["c"]
     assert sum(r.n for r in CL.centroids(CL.assign(rows, CL.fit(rows, 2))).collect()) == 2
+
+
+def test_rounds_from_given_centres_equal_plain_ones(spark):
+    points = [(float((i * 37) % 101), float((i * i) % 53)) for i in range(150)] + [(float("nan"), 1.0)]
+    rows = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(points)], "url long, rank double, total_links double")
+    start = [(0.0, 0.0), (50.0, 50.0), (1e6, 1e6), (100.0, 0.0)]  # the third never has a row
+    centres = list(start)
+    for _ in range(5):
+        own = {}
+        for p in points[:-1]:
+            far = [(p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2 for c in centres]
+            own.setdefault(far.index(min(far)), []).append(p)
+        centres = [tuple(sum(v) / len(own[k]) for v in zip(*own[k])) if k in own else c for k, c in enumerate(centres)]
+    got = CL.lloyd(rows, start, 5)
+    assert got[2] == start[2] and all(abs(a - b) < 1e-9 for g, c in zip(got, centres) for a, b in zip(g, c))
+    last = CL.lloyd(rows, got, 100)
+    assert CL.lloyd(rows, last, 3) == last
+    picks = CL.spread_centres(rows, 4)
+    assert len(set(picks)) == 4 and set(picks) <= set(points)
+    assert CL.spread_centres(rows.limit(2), 4) == sorted(points[:2]) and CL.spread_centres(rows.limit(0), 4) == []

@@ -78,3 +78,26 @@ def test_oracle_at_smallest_scale(spark, name):
     want = sorted((tuple(_norm(r[ocols.index(c)]) for c in cols) for r in res.fetchall()),
                   key=repr)
     assert got == want
+
+
+def test_a_common_word_of_a_batch_spans_tasks(spark):
+    """With no broadcast the terms meet their postings by term and salt."""
+    from pyspark.sql import functions as F
+
+    from webloom.operators import search as S
+    from webloom.plans import batch_search as BS
+    docs = spark.range(2000).select(F.col("id").alias("url"), F.concat(F.lit("the w"), F.col("id") % 50).alias("text"))
+    queries = spark.createDataFrame([(q, f"the w{q}") for q in range(20)], "query_id int, q string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored = BS.batch_scores(S.build_index(docs), queries)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        n = scored.filter("query_id = 3").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == 2000
+    joined = [line for line in plan.splitlines() if "SortMergeJoin" in line and "term" in line]
+    assert len(joined) >= 2 and sum("salt" in line for line in joined) >= 2

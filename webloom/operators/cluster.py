@@ -1,7 +1,9 @@
-"""Clustering of search results on (total links, rank) with Spark ML k-means."""
+"""Clustering of search results on (total links, rank): Spark ML k-means, or rounds
+of k-means from given centres, whose result is the same wherever it runs."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.constants import KMEANS_K, KMEANS_MAX_ITER, SCATTER_MAX, SCATTER_MIN
+from webloom.operators.paging import listing_page, write_listing
+from webloom.session import ensure_checkpoint_dir
 
 FEATURES = ("total_links", "rank")
 
@@ -33,6 +37,32 @@ def fit(rows: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
                   predictionCol="label").fit(features(rows))
 
 
+def lloyd(rows: DataFrame, centres: list[tuple[float, float]], rounds: int = KMEANS_MAX_ITER) -> list[tuple[float, float]]:
+    """Centres after at most ``rounds`` rounds of k-means from the given ones, fewer
+    once none moves. A centre that loses all its rows stays where it is. A round
+    is one scan and a partial aggregate; only its k sums come to the driver."""
+    centres = [tuple(map(float, c)) for c in centres]
+    for _ in range(rounds):
+        found = {r["label"]: (r["total_links"], r["rank"]) for r in centroids(nearest(rows, centres)).collect()}
+        moved = [found.get(i, c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
+def spread_centres(rows: DataFrame, k: int = KMEANS_K) -> list[tuple[float, float]]:
+    """k distinct starting centres that depend on the rows alone: those at equal steps
+    through the distinct complete rows by (total_links, rank)."""
+    links, rank = F.col("total_links").cast("double"), F.col("rank").cast("double")
+    points = rows.filter(complete(rows)).select(links.alias("total_links"), rank.alias("rank")).distinct()
+    n = points.count()
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/listing-{uuid.uuid4().hex}"
+    write_listing(points, path, "total_links", "rank")
+    picks = [listing_page(rows.sparkSession, path, i * n // min(k, n), 1) for i in range(min(k, n))]
+    return [(r["total_links"], r["rank"]) for p in picks for r in p.collect()]
+
+
 def assign(rows: DataFrame, model: KMeansModel) -> DataFrame:
     """Nearest-centroid label for every row: ``(url, total_links, rank, label)``;
     a row that lacks a feature keeps its place with a NULL label.

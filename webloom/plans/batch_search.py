@@ -19,6 +19,10 @@ from webloom.operators.topk import top_k_per_group
 from webloom.operators.graph import written_table
 
 
+#: Places in which a term of a batch meets its postings.
+SALTS = 16
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, q)`` -> distinct ``(query_id, term)``."""
     return (queries.select("query_id", F.explode(F.array_distinct(S.tokens(F.col("q"))))
@@ -26,21 +30,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def batch_scores(index: DataFrame, queries: DataFrame, k1: float = BM25_K1,
-                 b: float = BM25_B, lengths: DataFrame | None = None) -> DataFrame:
-    """BM25 ``(query_id, url, score)`` for every query of the batch (OR semantics)."""
+                 b: float = BM25_B, lengths: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+    """BM25 ``(query_id, url, score)`` for every query of the batch (OR semantics).
+
+    Terms meet postings by ``(term, salt)``, where the salt is a hash of the url and
+    the terms, few beside the postings, are repeated for every salt: a word that is
+    in every document is joined in ``salts`` places, not in one.
+    """
     lengths = lengths if lengths is not None else S.doc_lengths(index)
     # One scalar subquery for both corpus statistics (one pass over lengths).
     stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"),
                                  F.avg("dl").alias("avgdl")).alias("s")).scalar()
     n_docs, avgdl = stats["n"], stats["avgdl"]
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     qt = query_terms(queries)
-    terms = qt.select("term").distinct()
-    p = index.join(terms, "term", "left_semi")
+    terms = qt.select("term").distinct().select("term", every_salt)
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int"))
+    p = salted.join(terms, ["term", "salt"], "left_semi")
     df_t = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / norm
-    scored = p.join(df_t.select("term", idf.alias("idf")), "term").join(qt, "term")
+    asked = qt.join(df_t, "term").select("query_id", "term", idf.alias("idf"), every_salt)
+    scored = p.join(asked, ["term", "salt"])
     if "dl" not in p.columns:
         scored = scored.join(lengths, "url")
     return (scored.groupBy("query_id", "url").agg(F.sum(part).alias("score")))

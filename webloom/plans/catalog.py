@@ -38,7 +38,7 @@ from webloom.sources import tables as TB
 from webloom.session import ensure_checkpoint_dir
 
 # Parameters of the registered queries.
-LIMITED = {"lookups": 100, "rows": 10, "budget": 50}
+LIMITED = {"lookups": 40, "rows": 10, "budget": 50}
 GRAPH_QUERY = "widget"       # search term on graph P
 GRAPH_BASE_TERM = "brand"    # every graph-P page holds it: the percentage base
 GRAPH_BUDGET = 1000          # node budget -> 100 seeds
@@ -52,6 +52,7 @@ PREFIX_PATTERN = "https://m."
 PAGE_SIZE = 100
 PAGE_NO = 1
 LOOKUP_SIZE = 7
+LLOYD_ROUNDS = 4
 CELL_DOCS = 64             # documents of a cell of the block index
 
 
@@ -666,14 +667,49 @@ def scatter_points(spark: SparkSession, sf: str) -> DataFrame:
         "url", "total_links", "rank", _r6("log_rank"))
 
 
-def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
+def _lloyd(spark, sf) -> tuple[DataFrame, list[tuple[float, float]]]:
     rows = G.written_table(_analysis_rows(spark, sf), "analysis")
-    return CL.assign(rows, CL.fit(rows))
+    return rows, CL.lloyd(rows, CL.spread_centres(rows), LLOYD_ROUNDS)
+
+
+def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels after some rounds of k-means from centres that the rows give."""
+    return CL.nearest(*_lloyd(spark, sf))
 
 
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.written_table(_analysis_rows(spark, sf), "analysis")
-    return CL.centroids(CL.assign(rows, CL.fit(rows)))
+    return CL.centroids(CL.nearest(*_lloyd(spark, sf))).select("label", "n", _r6("total_links"), _r6("rank"))
+
+
+def quarantined(spark: SparkSession, sf: str) -> DataFrame:
+    """Dirty input of all four readers, and what each rejects, by reason: pages as JSON
+    lines that are cut or lack their url, index lines without JSON or file name,
+    text and metadata archives with cut records, metadata that is no JSON."""
+    p = TB.web_pages(spark, sf)
+    d = _scratch(spark, "quarantine")
+    dirt = lambda n: F.col("page_id") % n == 0
+    line = F.when(dirt(9), F.to_json(F.struct("html"))).otherwise(F.to_json(F.struct("url")))
+    p.select(F.when(dirt(7), F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(f"{d}/pages")
+    listed = F.when(dirt(7), '{"url": 1').when(dirt(9), '{"url": "x"}').otherwise('{"url": "x", "filename": "y"}')
+    p.select(F.concat(F.lit("key 1 "), listed).alias("value")).write.text(f"{d}/index")
+    short = lambda payload: F.when(dirt(11), F.substr(payload, F.lit(2))).otherwise(payload)
+    meta = F.when(dirt(7), F.lit("{broken")).otherwise(F.lit('{"Envelope": {}}'))
+    for kind, payload in (("text", F.col("html")), ("metadata", meta)):
+        head = F.concat(F.lit("WARC/1.0\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
+        p.select(F.concat(head, short(payload)).alias("value")).write.option("lineSep", "\r\n\r\n").text(f"{d}/{kind}")
+    bad = [RD.quarantine(RD.read_links(spark, f"{d}/pages"), "pages"), RD.quarantine(RD.read_index(spark, f"{d}/index"), "index"),
+           RD.quarantine(RD.read_archive(spark, f"{d}/text"), "text"), RD.quarantine(RD.read_link_metadata(spark, f"{d}/metadata"), "metadata")]
+    return reduce(DataFrame.unionByName, bad).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def archive_stitched(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives of which every payload holds a whole record separator, and what looks
+    like a record behind it: all are read back as they were written."""
+    p = TB.web_pages(spark, sf)
+    d = _scratch(spark, "archives")
+    fake = F.lit("\r\n\r\nWARC/1.0\r\nWARC-Target-URI: fake\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nend")
+    _archive_records(p, F.concat("html", fake)).write.option("lineSep", "\r\n\r\n").text(d)
+    return RD.read_archive(spark, d, stitch=True).select("url", "length_ok", F.octet_length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("digest"))
 
 
 def page_captures(spark: SparkSession, sf: str) -> DataFrame:
@@ -704,6 +740,8 @@ QUERIES.update({
     "index_page": index_page,
     "index_page_count": index_page_count,
     "listing_pages": listing_pages,
+    "quarantined": quarantined,
+    "archive_stitched": archive_stitched,
     "store_lookup": store_lookup,
     "batch_search": batch_search,
     "batch_tables": batch_tables,

@@ -204,6 +204,23 @@ far AS (SELECT *, [{', '.join(far)}] AS d FROM arows),
 lab AS (SELECT url, CAST(total_links AS DOUBLE) AS total_links, rank, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS label FROM far)"""
 
 
+def _lloyd(rounds: int) -> str:
+    """Rounds of k-means from four distinct rows at equal steps, unrolled."""
+    near = "list_position(list_transform(c, lambda p: pow(total_links - p[1], 2) + pow(rank - p[2], 2)), list_min(list_transform(c, lambda p: pow(total_links - p[1], 2) + pow(rank - p[2], 2)))) - 1"
+    out = """,
+am AS MATERIALIZED (SELECT url, CAST(total_links AS DOUBLE) AS total_links, rank FROM arows),
+pt AS (SELECT DISTINCT total_links, rank FROM am),
+pn AS (SELECT *, row_number() OVER (ORDER BY total_links, rank) - 1 AS i, count(*) OVER () AS n FROM pt),
+c0 AS MATERIALIZED (SELECT list([total_links, rank] ORDER BY i) AS c FROM pn WHERE i IN (0, n // 4, 2 * n // 4, 3 * n // 4))"""
+    for r in range(1, rounds + 1):
+        out += f""",
+l{r} AS MATERIALIZED (SELECT total_links, rank, {near} AS label FROM am, c{r - 1}),
+m{r} AS MATERIALIZED (SELECT label, [avg(total_links), avg(rank)] AS p FROM l{r} GROUP BY label),
+c{r} AS MATERIALIZED (SELECT list(coalesce(p, o) ORDER BY k) AS c FROM (SELECT unnest(c) AS o, generate_subscripts(c, 1) - 1 AS k FROM c{r - 1}) LEFT JOIN m{r} ON label = k)"""
+    return out + f""",
+lab AS (SELECT url, total_links, rank, CAST({near} AS INTEGER) AS label FROM am, c{rounds})"""
+
+
 def _r6(x: str) -> str:
     return f"floor(round({x}, 9) * 1000000 + 0.5) / 1000000"
 
@@ -356,6 +373,19 @@ FROM paths LEFT JOIN cnt ON paths.source_file = cnt.source_file""",
 WHERE row_idx >= {C.PAGE_NO * C.PAGE_SIZE} AND row_idx < {(C.PAGE_NO + 1) * C.PAGE_SIZE}""",
     "index_page_count": f"""SELECT count(*) AS n_rows,
        CAST(ceil(count(*) / {float(C.PAGE_SIZE)}) AS BIGINT) AS n_pages FROM pages""",
+    "cluster_labels": BATCH + _lloyd(C.LLOYD_ROUNDS) + " SELECT url, total_links, rank, label FROM lab",
+    "cluster_centroids": BATCH + _lloyd(C.LLOYD_ROUNDS) + f""" SELECT label, count(*) AS n, {_r6("avg(total_links)")} AS total_links, {_r6("avg(rank)")} AS rank
+FROM lab GROUP BY label""",
+    "quarantined": """WITH p AS (SELECT page_id % 7 = 0 AS a, page_id % 9 = 0 AS b, page_id % 11 = 0 AS c FROM pages),
+k AS (SELECT 'pages' AS kind, CASE WHEN a THEN 'not JSON' WHEN b THEN 'no url' END AS reason FROM p
+  UNION ALL SELECT 'index', CASE WHEN a THEN 'not JSON' WHEN b THEN 'no filename' END FROM p
+  UNION ALL SELECT 'text', CASE WHEN c THEN 'cut short' END FROM p
+  UNION ALL SELECT 'metadata', CASE WHEN c THEN 'cut short' WHEN a THEN 'not JSON' END FROM p)
+SELECT kind, reason, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY ALL""",
+    "archive_stitched": """WITH p AS (SELECT url, html || chr(13) || chr(10) || chr(13) || chr(10) || 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Target-URI: fake'
+  || chr(13) || chr(10) || 'Content-Length: 3' || chr(13) || chr(10) || chr(13) || chr(10) || 'abc' || chr(13) || chr(10) || chr(13) || chr(10)
+  || 'WARC/1.0' || chr(13) || chr(10) || 'end' AS payload FROM pages)
+SELECT url, true AS length_ok, CAST(strlen(payload) AS BIGINT) AS n_bytes, md5(payload) AS digest FROM p""",
     "listing_pages": f"""WITH n AS (SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages),
 b AS (SELECT count(*) AS n_below FROM pages WHERE url < '{C.PREFIX_PATTERN}'),
 k AS (SELECT 'first' AS kind, 0 AS p UNION ALL SELECT 'second', 1 UNION ALL SELECT 'prefix', n_below // {C.PAGE_SIZE} FROM b)

@@ -32,7 +32,7 @@ def archive_paths(index: DataFrame, pattern: str | None = None) -> DataFrame:
 
 def text_records(records: DataFrame, descriptor: str = URL_DESCRIPTOR) -> DataFrame:
     """Text-archive records -> ``(source_file, url, plaintext)`` for matching urls;
-    a record whose payload is cut short is left to ``readers.rejected``."""
+    a record whose payload is cut short is left to ``readers.quarantine``."""
     whole = records.filter(F.coalesce("length_ok", F.lit(True))) if "length_ok" in records.columns else records
     rows = PG.url_contains(whole, descriptor).select("source_file", "url", "payload")
     return TX.with_clean_text(rows, "payload", "plaintext").drop("payload")
@@ -58,12 +58,14 @@ def run(spark: SparkSession, text_glob: str, meta_glob: str, out_dir: str,
     derived archive count for the listed one.
     """
     # A .gz archive is one task; with fewer archives than cores, spread records.
-    records = spread(readers.read_archive(spark, text_glob), "source_file", "url")
+    records = spread(readers.read_archive(spark, text_glob, stitch=True), "source_file", "url")
     texts = text_records(records, descriptor)
-    links = link_records(spread(readers.read_link_metadata(spark, meta_glob), "source_file", "url"), descriptor)
+    meta = spread(readers.read_link_metadata(spark, meta_glob, stitch=True), "source_file", "url")
+    links = link_records(meta, descriptor)
     sinks.write_pages(texts, f"{out_dir}/text")
     sinks.write_pages(links, f"{out_dir}/links")
-    readers.rejected(records, "length_ok").write.mode("overwrite").json(f"{out_dir}/rejected")
+    bad = readers.quarantine(records, "text").unionByName(readers.quarantine(meta, "metadata"))
+    bad.write.mode("overwrite").json(f"{out_dir}/rejected")
     # Count per archive first (partial aggregate); only counts meet the path list.
     counts = sinks.records_per_file(
         readers.read_text(spark, f"{out_dir}/text").select(F.col("archive").alias("a"))

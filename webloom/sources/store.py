@@ -1,15 +1,15 @@
 """Key-bucketed stores that are merged in place of being rewritten.
 
-A store is a folder of commits, each written once below
-``data/commit=<id>/bucket=<n>`` and sorted by key, and of manifests, one for
-each version: which commits make up each bucket now. A merge writes only the
+A store is a folder of commits, each written once as
+``<path>/commit=<id>/bucket=<n>`` and sorted by key, and beside it of manifests,
+one for each version: which commits make up each bucket now. A merge writes only the
 rows it brings, as a *delta* of the buckets they belong to; a bucket whose
 deltas have grown past ``COMPACT_AT`` of its base (or past ``MAX_DELTAS`` in
 number) is rewritten by the same merge, every other bucket keeps its files. A
 reader takes the base rows whose key no delta holds, and each delta key's last
 row; buckets without deltas need neither.
 
-A version exists once its file in ``versions`` does, and that file is created
+A version exists once its file in ``<path>.versions`` does, and that file is created
 exclusively: of two merges that end at the same time one is first, and the
 other goes on from what the first one wrote, with its delta as it is. A failed
 merge leaves files that no manifest names; ``vacuum`` removes those, and the
@@ -99,7 +99,7 @@ def _files(spark: SparkSession, path: str):
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    folder, files = _files(spark, f"{path}/versions")
+    folder, files = _files(spark, f"{path}.versions")
     if not files.exists(folder):
         return []
     names = [s.getPath().getName() for s in files.listStatus(folder)]
@@ -116,9 +116,9 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
         return Snapshot(path)
     if version not in known:
         raise ValueError(f"{path} has no version {version}")
-    head = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/versions/{version}").collect()))
+    head = json.loads("\n".join(r.value for r in spark.read.text(f"{path}.versions/{version}").collect()))
     # One row for each bucket and commit, a bounded number a bucket.
-    rows = spark.read.schema("bucket int, commit string, seq long, bytes long").json(f"{path}/manifests/{head['manifest']}").collect()
+    rows = spark.read.schema("bucket int, commit string, seq long, bytes long").json(f"{path}.manifests/{head['manifest']}").collect()
     return Snapshot(path, version, head["key"], head["buckets"], head["schema"], sorted((Part(**r.asDict()) for r in rows), key=_place))
 
 
@@ -126,8 +126,8 @@ def _publish(spark: SparkSession, snap: Snapshot) -> bool:
     """Make ``snap`` a version; False when that version exists already."""
     name = uuid.uuid4().hex
     rows = [(p.bucket, p.commit, p.seq, p.bytes) for p in snap.parts]
-    spark.createDataFrame(rows, "bucket int, commit string, seq long, bytes long").coalesce(1).write.json(f"{snap.path}/manifests/{name}")
-    at, files = _files(spark, f"{snap.path}/versions/{snap.version}")
+    spark.createDataFrame(rows, "bucket int, commit string, seq long, bytes long").coalesce(1).write.json(f"{snap.path}.manifests/{name}")
+    at, files = _files(spark, f"{snap.path}.versions/{snap.version}")
     try:
         out = files.create(at, False)
     except Py4JJavaError as taken:
@@ -144,8 +144,8 @@ def _publish(spark: SparkSession, snap: Snapshot) -> bool:
 
 def _scan(spark: SparkSession, snap: Snapshot, parts: list[Part]) -> DataFrame:
     """Rows of these parts with ``bucket`` and ``commit``."""
-    paths = [f"{snap.path}/data/commit={p.commit}/{BUCKET}={p.bucket}" for p in parts]
-    return spark.read.schema(f"{snap.schema}, commit string, {BUCKET} int").option("basePath", f"{snap.path}/data").parquet(*paths)
+    paths = [f"{snap.path}/commit={p.commit}/{BUCKET}={p.bucket}" for p in parts]
+    return spark.read.schema(f"{snap.schema}, commit string, {BUCKET} int").option("basePath", snap.path).parquet(*paths)
 
 
 def _resolved(spark: SparkSession, snap: Snapshot, parts: list[Part]) -> DataFrame:
@@ -205,7 +205,7 @@ def _commit(rows: DataFrame, path: str, key: str, buckets: int, small: bool = Fa
     no Bloom filter, which takes 64 KiB at least."""
     spark = rows.sparkSession
     name = uuid.uuid4().hex
-    folder = f"{path}/data/commit={name}"
+    folder = f"{path}/commit={name}"
     write_keyed(rows, folder, key, buckets, bloom=not small)
     # What was written, from the files' own metadata: no data column is read.
     written = spark.read.schema(f"{_ddl(rows)}, {BUCKET} int").parquet(folder)
@@ -220,7 +220,7 @@ def _ddl(rows: DataFrame) -> str:
 def bucket_count(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
     """``rows`` written once, and the buckets of about ``BUCKET_BYTES`` they fill."""
     spark = rows.sparkSession
-    folder = f"{path}/staged/{uuid.uuid4().hex}"
+    folder = f"{path}.staged/{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     staged = spark.read.schema(rows.schema).parquet(folder)
     size = staged.groupBy("_metadata.file_path").agg(F.first("_metadata.file_size").alias("b")).agg(F.sum("b")).first()[0] or 0
@@ -285,11 +285,11 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     known = _versions(spark, path)
     named = {p.commit for v in known[-keep:] for p in snapshot(spark, path, v).parts}
     for v in known[:-keep]:
-        at, files = _files(spark, f"{path}/versions/{v}")
+        at, files = _files(spark, f"{path}.versions/{v}")
         files.delete(at, False)
-    folder, files = _files(spark, f"{path}/data")
+    folder, files = _files(spark, path)
     gone = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().partition("=")[2] not in named]
-    staged, _ = _files(spark, f"{path}/staged")
+    staged, _ = _files(spark, f"{path}.staged")
     for at in [*gone, staged]:
         files.delete(at, True)
     return len(gone)
