@@ -17,7 +17,10 @@ The markup then checks the result: lines inside article or main are restored
 (two pages may quote the same sentence), and lines in elements that are never
 text (menus, headers, footers, asides, forms, adverts, notices, comments,
 scripts, styles) are removed even where no neighbour shares them, as on a host
-with one page.
+with one page. A class, role or id marks such an element only as a whole name
+(``sidebar``, ``cookie-notice``, ``commentlist``), not by a word in a longer one
+(``related-work``, ``commentary``, ``no-sidebar``); inside an article ids do not
+count, and no name takes the only article from a page.
 
 Only hashes of the lines outside article are paired and moved, never texts; a
 host of any size is ordered by a global sort, not in one task.
@@ -32,9 +35,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -54,8 +57,9 @@ ARTICLE, NEUTRAL, CHROME = 0, 1, 2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 #: Elements whose content is no markup: it ends at the end tag only.
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in ("script", "style", "textarea", "title")}
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: HTML element names, and words of class, id or role that mark chrome.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CHROME_TAG = frozenset("nav aside footer form head menu dialog header".split())
@@ -64,22 +68,53 @@ _ASIDE = frozenset("button select object svg iframe template noscript".split())
 _CONTAINER = frozenset("div section ul ol table p span article main header footer aside nav form figure li details dialog".split())
 _CHROME_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies widget login signup search form toolbar pagination pager contentinfo complementary alert dialog header".split())
 _CHROME_START = ("advert", "breadcrumb", "comment", "cookie", "footer", "navig", "newsletter", "sidebar", "sponsor", "subscri")
+#: Words that may stand beside a chrome word in a name of chrome, words
+#: that turn it around (a page that has or lacks such an element), words of a reader's comment.
+_PLACE_WORD = frozenset("area bar block body bottom box button buttons center column container content contents fixed global holder icons inner item items left level line link links list lists main message meta module outer page panel policy post posts primary reader readers right row section secondary site slot space sticky story stories tag tags thread toggle top unit user users wrap wrapper".split())
+_TURN_WORD = frozenset("has have hide is no non not show with without".split())
+_COMMENT_WORD = frozenset("comment comments reply replies".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _chrome_words(attributes: str) -> set[str]:
-    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[1].lower())}
-    return {w for w in words if w in _CHROME_WORD or w.startswith(_CHROME_START)}
+def _names(attributes: str, ids: bool = True) -> list[list[str]]:
+    """Names of class and role, and of id, each as its words."""
+    names = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[2] and m[1].lower() in (("class", "role", "id") if ids else ("class", "role")):
+            names += [_WORD.findall(_CAMEL.sub(" ", name).lower()) for name in m[2].strip("\"'").split()]
+    return names
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> int | None:
-    """The zone an element opens, if it opens one."""
+def _chrome_words(name: list[str]) -> set[str]:
+    """The chrome words of a name, if the name is one of chrome: nothing else is in it
+    but words of place, and nothing that turns it around."""
+    if not name or name[0] in _TURN_WORD:
+        return set()
+    words = set()
+    for w in name:
+        start = next((c for c in _CHROME_START if w.startswith(c)), None) if w not in _CHROME_WORD else w
+        if w in _CHROME_WORD or start and any(w[:k] in _CHROME_WORD and w[k:] in _PLACE_WORD for k in range(len(start), len(w))):
+            words.add(w)
+        elif w not in _PLACE_WORD and not w.isdigit():
+            return set()
+    return words
+
+
+def _of_reader(attributes: str) -> bool:
+    """Whether an article is named as a reader's comment."""
+    return any(_chrome_words(name) & _COMMENT_WORD for name in _names(attributes))
+
+
+def _kind(tag: str, attributes: str, inside_article: bool, story: bool) -> int | None:
+    """The zone an element opens, if it opens one. `story`: the page has an article or
+    main that is no reader's comment; only then can one be such a comment. Inside
+    an article an id names a part of the text and says nothing."""
     if tag in ("article", "main"):
-        return CHROME if any(w.startswith(("comment", "repl")) for w in _chrome_words(attributes)) else ARTICLE
+        return CHROME if story and _of_reader(attributes) else ARTICLE
     if tag in _CHROME_TAG:
         return None if inside_article and tag == "header" else CHROME
     if tag in _CONTAINER and attributes:
-        words = _chrome_words(attributes)
+        words = set().union(*map(_chrome_words, _names(attributes, not inside_article)))
         if words and not (inside_article and words <= {"header", "banner"}):
             return CHROME
     return None
@@ -146,6 +181,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 
     tokens = _tokens(page)
     closed = _closed(tokens)
+    story = any(tag in ("article", "main") and not ends and not _of_reader(attributes) for _, _, ends, tag, attributes in tokens)
     last = -1  # place of the end tag of the element of _ASIDE just passed
     muted = False  # such an element without an end tag reaches to the next block
     for place, (start, end, ends, tag, attributes) in enumerate(tokens):
@@ -177,7 +213,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             muted = muted or place not in closed
             continue
         inside = any(z[2] == ARTICLE for z in zones)
-        kind = _kind(tag, attributes, inside)
+        kind = _kind(tag, attributes, inside, story)
         if kind is None or zones and zones[-1][2] == CHROME and kind == CHROME and zones[-1][0] == tag:
             for z in reversed(zones):
                 if z[0] == tag:
@@ -200,28 +236,54 @@ def line_hash(text: str) -> int:
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in `a` of a longest common subsequence of both (Hunt and Szymanski)."""
+    """Places in `a` of a longest common subsequence of both.
+
+    Bit-parallel: a row of the table is one whole number with a bit for each line of
+    `b`, 0 where the length grows (Hyyro's recurrence). Rows are kept at every
+    square-root-th line and computed again, block by block, on the way back.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            ends[k:k + 1], links[k:k + 1] = [j], [link]
     found = {*range(head), *range(len(a) - tail, len(a))}
-    link = links[-1] if links else None
-    while link:
-        found.add(link[0])
-        link = link[1]
+    left, right = a[head:len(a) - tail], b[head:len(b) - tail]
+    if not left or not right:
+        return found
+    places: dict[int, int] = {}
+    wanted = set(left)
+    for j, line in enumerate(right):
+        if line in wanted:
+            places[line] = places.get(line, 0) | 1 << j
+    whole = (1 << len(right)) - 1
+
+    def below(row: int, line: int) -> int:
+        same = row & places.get(line, 0)
+        return ((row + same) | (row - same)) & whole
+
+    step = isqrt(len(left)) + 1
+    kept, row = [], whole
+    for i, line in enumerate(left):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, line)
+    j = len(right)
+    for block in range(len(kept) - 1, -1, -1):
+        rows = [kept[block]]
+        for line in left[block * step:(block + 1) * step]:
+            rows.append(below(rows[-1], line))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                # On to the last place at which this row's length grows.
+                j = (~rows[i] & ((1 << j) - 1)).bit_length()
+                continue
+            i -= 1
+            if rows[i] >> (j - 1) & 1:
+                found.add(head + block * step + i)
+                j -= 1
     return found
 
 
@@ -330,7 +392,6 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str =
         chosen = adjacent.filter("sure").unionByName(choices(unsure, steps))
     members = outline.select("key", "host", "same").distinct().join(named, ["host", "same"])
     deleted = written(members.join(chosen.filter("size(deleted) > 0"), "class").select("key", "deleted"), "template")
-    texts = rows.join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
     kind = rows.schema["page_id"].dataType.simpleString()
     texts = rows.join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
     return texts.mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
