@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm import common, containment, langid, minmax, mixing, rlz
 
+#: Words of a shingle in the near-duplicate stage (the query op6 has four by its contract).
+SHINGLE_WORDS = 5
+
 _earlier: list[str] = []
 
 
@@ -40,8 +43,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return minmax.keep_one_of_each(docs)
+    """Keep one document of each group of near-duplicates: five-word shingles at 0.8."""
+    return minmax.keep_one_of_each(docs, width=SHINGLE_WORDS)
 
 
 @_stage
