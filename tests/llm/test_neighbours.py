@@ -14,9 +14,9 @@ def shingles(text, width):
     return frozenset(tuple(w[k:k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def groups(rows):
+def groups(rows, width=4):
     """Component (least doc_id) of each row by all pairs; null ids are largest."""
-    sets = [shingles(t, 4) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(k):

@@ -20,7 +20,7 @@ def test_stages_take_effect_one_after_the_other(spark):
         if name == "language":
             assert {i for i, _ in got} == {i for i, _ in rows}
         elif name == "near_duplicates":
-            assert {i for i, _ in got} == {i for i, _, _, kept in groups(rows) if kept}
+            assert {i for i, _ in got} == {i for i, _, _, kept in groups(rows, 5) if kept}
         elif name == "substrings":
             assert sorted((i, sha(b" ".join(words(t)))) for i, t in got) == sorted((i, s) for i, _, _, s in removed_words(rows))
         elif name == "decontaminate":
