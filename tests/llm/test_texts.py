@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm import html_text, langid, mixing, ppm, warc
+from webloom.llm import common, html_text, langid, mixing, ppm, warc
 from .data import WORD, documents, frame, lower
 
 
@@ -47,6 +47,57 @@ def test_too_many_labels_are_refused(spark, monkeypatch):
         langid.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
 
 
+def plain_bayes(rows):
+    """(language, posterior) of each row's text by plain counting."""
+    def buckets(text):
+        code = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+        for n in langid.ORDERS:
+            for p in range(len(code) - n + 1):
+                x = 0
+                for c in code[p:p + n]:
+                    x = (x * 0x110001 + c + 1) % 2**64
+                x = (x + (n << 56)) % 2**64
+                x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+                yield (x ^ (x >> 31)) >> 48
+
+    counts, seen = defaultdict(Counter), Counter()
+    for i, t, x in rows:
+        if t is not None and x is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[x].update(buckets(t))
+            seen[x] += 1
+    total = {x: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for x, c in counts.items()}
+    out = []
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out.append((i, "und", 0.0))
+            continue
+        grams = Counter(buckets(t))
+        joint = {x: math.log(seen[x] / sum(seen.values())) + sum(n * math.log((c[b] + langid.SMOOTHING) / total[x]) for b, n in grams.items()) for x, c in counts.items()}
+        best = max(joint.values())
+        out.append((i, min(x for x in joint if joint[x] >= best - 1e-9), 1 / sum(math.exp(j - best) for j in joint.values())))
+    return out
+
+
+@pytest.mark.parametrize("one, block, dense", [(512, 128, 64), (512, 128, 1), (2, 1, 1), (2, 2, 64)])
+def test_languages_equal_plain_bayes_in_one_matrix_or_many(spark, monkeypatch, one, block, dense):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", one)
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", block)
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = [(i, t, x + str(i % 2)) for i, t, x in corpus(60)] + [(900, None, "aa0"), (901, "", "aa0"), (902, "12 !", "bb1"), (903, "th", None), (None, "ung", "cc0")]
+    rows += [(950, "tha ing", "dd")] * 5 + [(905, "wor " * 2000, "aa1")]
+    docs = spark.createDataFrame([(i, t, x, 1, 0.5) for i, t, x in rows], "doc_id long, text string, lang string, k1 int, score double")
+    want = plain_bayes(rows)
+    got = langid.identify(docs).collect()
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert [(r.doc_id, r.lang_pred) for r in sorted(got, key=lambda r: order(r))] == [w[:2] for w in sorted(want, key=order)]
+    assert all(abs(r.score - w[2]) < 1e-6 for r, w in zip(sorted(got, key=lambda r: order(r)), sorted(want, key=order)))
+    kept = langid.keep_identified(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, x, p in want if p >= 0.5)
+
+
 def test_ppm_equals_a_plain_model(spark):
     rows = documents(8, 15)
     rows = [r for r in rows if len(r[1] or "") < 5000]

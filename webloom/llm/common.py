@@ -14,6 +14,11 @@ from webloom.session import ensure_checkpoint_dir
 #: of values) are broadcast, whatever the input.
 BITMAP_BITS = 1 << 24
 
+#: Keys that meet more than this many rows, and more than a HOT_KEYS-th of all, are hot;
+#: so fewer than HOT_KEYS keys are, which bounds their broadcast.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+
 _written: list[str] = []
 
 
@@ -70,6 +75,17 @@ def holding(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return joined.filter("getbit(_marks, cast(_place & 63 as int)) = 1").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+def join_hot(rows: DataFrame, named: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `named` (one row for each `on`, without nulls there; read three
+    times, so stored), whose `weight` is the number of rows it meets. The few hot keys go
+    by broadcast, so that their rows stay where they are; the others by shuffle."""
+    total = named.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(HOT_ROWS, total // HOT_KEYS)
+    many, few = named.filter(hot), named.filter(~hot)
+    rest = rows.join(F.broadcast(many.select(*on)), on, "left_anti").join(few, on, how)
+    return rows.join(F.broadcast(many), on).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): root is the least node reachable.
 
