@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from webloom.llm.common import row_key, scratch, written
 
 BLOCK_LINES = 1000
+#: Payload bytes read in a task before its records are handed on.
+BATCH_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2015-10-02T00:00:00Z"
 _OPEN_FILES = 64
@@ -191,9 +193,10 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", html
     return path, sorted(map(tuple, files.collect())), captures
 
 
-def read_records(path: str, top: list[tuple[str, str, int, int]], wanted: DataFrame) -> DataFrame:
+def read_records(path: str, top: list[tuple[str, str, int, int]], wanted: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the captures in `wanted` (one column of capture keys, or of
-    key prefixes such as a URL key and a space), by bisection and range reads."""
+    key prefixes such as a URL key and a space), by bisection and range reads.
+    Without `payloads` they are read and digested, but null in the result."""
     spark = wanted.sparkSession
     shared = spark.sparkContext.broadcast(top)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -237,12 +240,22 @@ def read_records(path: str, top: list[tuple[str, str, int, int]], wanted: DataFr
                     b += 1
                 f += 1
 
+        def handed_on(rows):
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("capture", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
+
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for prefix in batch.column(0).to_pylist():
                 for key, file, at, size in found(prefix):
-                    rows.append({"capture": key, **parse(part(f"archive/{file}", int(at), int(size)))})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("capture", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
+                    row = {"capture": key, **parse(part(f"archive/{file}", int(at), int(size)))}
+                    if not payloads:
+                        row["payload"] = None
+                    rows.append(row)
+                    held += len(row["payload"] or b"")
+                    if held >= BATCH_BYTES:
+                        yield handed_on(rows)
+                        rows, held = [], 0
+            yield handed_on(rows)
 
     column = wanted.columns[0]
     spread = wanted.select(column).distinct().repartitionByRange(parts, column).sortWithinPartitions(column)
@@ -259,4 +272,4 @@ def report(pages: DataFrame) -> DataFrame:
     """Write every page, then read every capture back through the index: page_id,
     payload_bytes, payload_digest, record_type, refers_to."""
     path, top, captures = write_archives(pages)
-    return read_records(path, top, captures.select("capture")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(path, top, captures.select("capture"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
