@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import components, holding, keyed, row_key, unkeyed, written
+from webloom.llm.common import components, holding, join_hot, keyed, row_key, unkeyed, written
 from webloom.llm.textbatch import LOWER, gram_hashes, groups, mix, span_hashes, texts_of, word_hashes, words_of
 
 WIDTH = 4
@@ -141,11 +141,16 @@ def _across(table: pa.Table) -> pa.Table:
 
 
 def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """key, doc_id, n_shingles of every row: those with shingles and their root, and those without."""
+    """Every row with its set's identity (key, doc_id, n_shingles, set_lo, set_hi), and every
+    class of rows with equal sets: its copies, first row and root. Rows without shingles
+    are in no class."""
     rows = docs.select(row_key(id, text).alias("key"), F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(partial(_sign, width=width), "key long, doc_id long, n_shingles long, set_lo long, set_hi long, bands array<long>"), "signatures")
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("set_lo", "set_hi").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.min_by("bands", "key").alias("bands"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    classes = filled.groupBy("set_lo", "set_hi").agg(
+        F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"),
+        F.min_by("bands", "key").alias("bands"), F.min(first).alias("first"))
     nodes = written(classes, "classes")
 
     banded = nodes.select("node", "copies", "size", F.explode("bands").alias("bucket"))
@@ -169,16 +174,19 @@ def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame
     crossing = written(crossing.distinct(), "crossing")
     joined = roots if crossing.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(crossing))
 
-    of_class = nodes.select("set_lo", "set_hi", "node").join(joined, "node", "left").select("set_lo", "set_hi", F.coalesce("root", "node").alias("root"))
-    member = filled.join(of_class, ["set_lo", "set_hi"]).select("key", "doc_id", "n_shingles", "root")
-    return member, signed.filter("n_shingles = 0").select("key", "doc_id", "n_shingles")
+    named = nodes.select("set_lo", "set_hi", "node", "copies", "first").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed, written(named.select("set_lo", "set_hi", "copies", "first", "root"), "named")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, doc_id, n_shingles, component_id, kept of every row."""
-    member, empty = _grouped(docs, id, text, width)
-    named = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    every = member.join(named, "root").select("key", "doc_id", "n_shingles", "component_id").unionByName(empty.withColumn("component_id", F.col("doc_id")))
+    signed, classes = _grouped(docs, id, text, width)
+    light = ["key", "doc_id", "n_shingles"]
+    roots = written(classes.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.min("first").alias("first")).select("root", "classes", F.col("first.doc_id").alias("component_id")), "roots")
+    named = written(join_hot(classes.select("set_lo", "set_hi", "copies", "root"), roots, ["root"], "classes").select("set_lo", "set_hi", "copies", "component_id"), "components")
+    member = join_hot(signed.filter("n_shingles > 0").select(*light, "set_lo", "set_hi"), named, ["set_lo", "set_hi"], "copies")
+    empty = signed.filter("n_shingles = 0").select(*light, F.col("doc_id").alias("component_id"))
+    every = member.select(*light, "component_id").unionByName(empty)
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -186,7 +194,7 @@ def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     """One row of each group of near-duplicates, that of the least doc_id (of
     several, or of null ids alone, that of the least key), its columns
     unchanged; a repeated row stays once, and so does each without words."""
-    member, empty = _grouped(docs, id, text, width)
-    one = member.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
-    kept = one.select("key").unionByName(empty.select("key")).distinct()
+    signed, classes = _grouped(docs, id, text, width)
+    one = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    kept = one.unionByName(signed.filter("n_shingles = 0").select("key")).distinct()
     return unkeyed(keyed(docs, id, text).join(kept, "key").dropDuplicates(["key"]), docs.columns)
