@@ -649,9 +649,10 @@ def dirty_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def escaped_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Page texts whose non-ASCII characters are written as backslash escapes,
+    """Whole pages with backslash escapes before the url and in every paragraph,
     decoded again: what is left is what the ASCII filter keeps of them."""
-    p = TB.web_pages(spark, sf).select("page_id", F.concat(F.lit("\\u00e9\\n"), F.col("url"), F.lit("\\x41")).alias("html"))
+    marked = F.replace("html", F.lit("<p>"), F.lit("<p>\\x41\\u00e9\\t"))
+    p = TB.web_pages(spark, sf).select("page_id", F.concat(F.lit("\\u00e9\\n"), F.col("url"), F.lit("\\x41"), marked).alias("html"))
     return PG.text_pages(p)
 
 

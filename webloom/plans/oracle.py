@@ -437,7 +437,8 @@ SELECT page_id,
   len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: starts_with(x, '/'))) END AS n FROM pages)
 SELECT count(*) FILTER (page_id % 7 <> 0 AND n IS NOT NULL) AS n_pages, CAST(sum(n) FILTER (page_id % 7 <> 0) AS BIGINT) AS n_links,
   count(*) FILTER (page_id % 7 = 0) AS n_rejected FROM p""",
-    "escaped_text": f"SELECT page_id, regexp_replace(chr(10) || url || 'A', '{NON_ASCII}', '', 'g') AS plaintext FROM pages",
+    "escaped_text": f"""SELECT page_id, regexp_replace(chr(10) || url || 'A' || regexp_replace(replace(html, '<p>', '<p>A' || chr(9)), '{TAG}', '', 'g'),
+       '{NON_ASCII}', '', 'g') AS plaintext FROM pages""",
     "scatter_points": BATCH + f""" SELECT url, total_links, rank, {_r6('log10(rank)')} AS log_rank
 FROM arows WHERE total_links BETWEEN 2 AND 500 AND rank BETWEEN 2 AND 500""",
 })
