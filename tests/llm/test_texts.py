@@ -220,6 +220,7 @@ def test_longest_common_subsequence():
 
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 60)
     pages = [(k, f"http://h{k % 3}.org/p?{k // 2}", "<p>same</p>" if k % 4 == 0 else f"é{k}" * k) for k in range(40)]
     pages += [(77, None, None), (78, "http://h0.org/", None), (None, "http://[bad", "x\r\n\r\ny"), (78, "http://h0.org/", None), (-5, "http://h0.org/ a", "big" * 100_000)]
     table = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, key string")

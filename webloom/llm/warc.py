@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import row_key, scratch, written
 
 BLOCK_LINES = 1000
-#: Payload bytes read in a task before its records are handed on.
+#: Bytes of keys and payloads that a task holds before it hands records on.
 BATCH_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 0
 DATE = "2015-10-02T00:00:00Z"
@@ -251,7 +251,7 @@ def read_records(path: str, top: list[tuple[str, str, int, int]], wanted: DataFr
                     if not payloads:
                         row["payload"] = None
                     rows.append(row)
-                    held += len(row["payload"] or b"")
+                    held += len(key) + len(row["payload"] or b"")
                     if held >= BATCH_BYTES:
                         yield handed_on(rows)
                         rows, held = [], 0
