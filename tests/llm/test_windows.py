@@ -103,17 +103,42 @@ def test_induced_sorting_in_memory_and_on_disk(monkeypatch, memory, block):
             assert ((suffixes.repeated_windows(text) & whole) == want).all()
 
 
+def matches(texts, order):
+    """The longest match of every word with a text of smaller order, by plain comparison."""
+    for r, t in enumerate(texts):
+        for i in range(len(t)):
+            best = 0
+            for s, u in enumerate(texts):
+                for j in range(len(u) if order[s] < order[r] else 0):
+                    k = 0
+                    while i + k < len(t) and j + k < len(u) and t[i + k] == u[j + k]:
+                        k += 1
+                    best = max(best, k)
+            yield best
+
+
+def test_longest_earlier_match_equals_plain_comparison():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        texts = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 14)).astype(np.uint64) for _ in range(rng.integers(1, 6))]
+        order = rng.integers(0, 4, len(texts))
+        first = np.cumsum([0, *map(len, texts)])
+        got = rlz.longest_earlier(np.concatenate(texts), first, order)
+        assert got.tolist() == list(matches(texts, order))
+
+
+def test_factors_are_greedy_and_whole():
+    assert rlz.factor(np.array([3, 9, 1, 0, 2, 1])) == [(0, 3), (3, 4), (4, 6)]
+    assert rlz.factor(np.zeros(0, int)) == [] and rlz.duplicate_spans(np.zeros(0, int)) == []
+
+
 def test_factors_are_checked_at_their_boundaries():
     """A window that straddles the end of a factor is found, too."""
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 2**60, 80).astype(np.uint64), rng.integers(1, 2**60, 80).astype(np.uint64)
-    first = np.concatenate([a, [1]])
-    second = np.concatenate([a[40:], b, [2]])
-    third = np.concatenate([a, b[:30], [3]])
-    codes = np.concatenate([first, second, third]).astype(np.uint64)
-    begin, end = len(first) + len(second), len(codes) - 1
-    places = {codes[k:k + 50].tobytes(): k for k in reversed(range(begin))}
-    source = np.array([places.get(codes[k:k + 50].tobytes(), 0) for k in range(len(codes))])
-    hit = np.array([k >= begin and codes[k:k + 50].tobytes() in places for k in range(len(codes))])
-    spans = rlz.factor(codes, source, hit, begin, end)
-    assert spans[0] == (begin, begin + 80) and spans[-1][1] == end
+    texts = [a, np.concatenate([a[40:], b]), np.concatenate([a, b[:30]])]
+    first = np.cumsum([0, *map(len, texts)])
+    longest = rlz.longest_earlier(np.concatenate(texts), first, np.arange(3))[first[2]:]
+    assert rlz.factor(longest) == [(0, 80), (80, 110)]
+    spans = rlz.duplicate_spans(longest)
+    assert spans[0] == (0, 80) and (40, 110) in spans and longest[31] == 49

@@ -50,16 +50,16 @@ def classes(runs: DataFrame) -> DataFrame:
         F.min("n").alias("n"), F.min("mixed").alias("mixed"))
 
 
-def wanted_runs(of_classes: DataFrame) -> DataFrame:
-    """For each document the runs to read from its text: key, wanted."""
-    one = of_classes.select(F.col("first.key").alias("key"), F.struct("anchor", "lo", "hi", F.col("first.ord").alias("ord"), F.col("first.start").alias("start"), "n").alias("run"))
+def wanted_runs(of_classes: DataFrame, *more: str) -> DataFrame:
+    """For each document the runs to read from its text, with `more` columns: key, wanted."""
+    one = of_classes.select(F.col("first.key").alias("key"), F.struct("anchor", "lo", "hi", F.col("first.ord").alias("ord"), F.col("first.start").alias("start"), "n", *more).alias("run"))
     return one.groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("wanted"))
 
 
-def by_load(of_classes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Classes whose anchor has different contents: those of anchors with at most
-    `most` of them, which may share a task, and the rest, which may not."""
-    several = of_classes.filter("mixed")
+def by_load(of_classes: DataFrame, most: int, which: str = "mixed") -> tuple[DataFrame, DataFrame]:
+    """Classes (whose anchor has different contents, or `which` others): those of anchors
+    with at most `most` of them, which may share a task, and the rest, which may not."""
+    several = of_classes.filter(which)
     loads = written(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("load")).filter(F.col("load") > most), "loads")
     return several.join(loads, "anchor", "left_anti"), several.join(loads.select("anchor"), "anchor", "left_semi")
 

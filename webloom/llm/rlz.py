@@ -1,15 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 A window is 50 consecutive words. The corpus is cut into reference blocks by
-window anchor, so that equal windows lie in the same block. Within a block each
-text, in order of doc_id, is factored greedily against the earlier ones: the
-longest match from the current word becomes a factor, and a factor of at least
-50 words is a duplicate span. A window can also straddle the end of a factor,
-so parsing resumes 49 words before it (the check at factor boundaries); then
-the spans cover exactly the windows that start in a document of smaller doc_id.
-
-Exact copies of a run of windows are collapsed before the parsing: they are
-duplicates of the first as a whole. An anchor with more than ``CROWD`` different
+window anchor, so that equal windows lie in the same block; a block is indexed
+by its suffix array. Each text of a block is factored greedily against the texts
+of smaller doc_id there: the longest match from the current word becomes a
+factor, and a factor of at least 50 words is a duplicate span. A window can also
+straddle the end of a factor, so the matches from the 49 words before it are
+checked, too (the check at factor boundaries); then the spans cover exactly the
+windows that start in a document of smaller doc_id.
+
+Equal runs of windows are one content, which enters its block twice however many
+copies there are: as the earliest document's and, factored like any other text,
+as that of all later ones. Blocks hold about ``BLOCK_WORDS`` words, so there are
+as many as the repeated runs need. An anchor with more than ``CROWD`` different
 runs would make a block without bound: its windows are dealt singly, by their
 own content, which finds the same duplicates.
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import keyed, row_key, written
+from webloom.llm.common import join_hot, keyed, row_key, written
 from webloom.llm.repeats import (RUN, WINDOW_ROW, by_load, classes, covered, digest, repeated_of, repeated_runs, run_lists, wanted_runs,
                                  window_rows, with_texts)
 from webloom.llm.textbatch import anchored_runs, gram_hashes, groups, joined_words, texts_of, word_hashes, words_of
@@ -38,6 +41,8 @@ WINDOW = 50
 GRAM = 12
 #: Different runs of one anchor that may share a block.
 CROWD = 5000
+#: Words of a reference block, on the average.
+BLOCK_WORDS = 1 << 18
 
 
 def order_of(id: str) -> Column:
@@ -78,8 +83,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(len(first) - 1):
                 for run in wanted[lo + k].as_py():
                     a = first[k] + run["start"]
-                    out.append((run["anchor"], run["lo"], run["hi"], run["ord"], text[at[a]:to[a + run["n"] + WINDOW - 2]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["anchor", "lo", "hi", "ord", "words"])
+                    out.append((run["anchor"], run["lo"], run["hi"], run["ord"], run["times"] > 1, text[at[a]:to[a + run["n"] + WINDOW - 2]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((*[pa.int64()] * 4, pa.bool_(), pa.binary()))], ["anchor", "lo", "hi", "ord", "again", "words"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,49 +98,101 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield window_rows([(r["anchor"], r["lo"], r["hi"], r["ord"]) for _, r in runs], [codes[a:a + r["n"] + WINDOW - 1] for a, r in runs], WINDOW)
 
 
-def factor(codes: np.ndarray, source: np.ndarray, hit: np.ndarray, begin: int, end: int) -> list[tuple[int, int]]:
-    """Duplicate spans of codes[begin:end]: greedy factors of at least WINDOW words.
+def longest_earlier(codes: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each word of a block of texts (text r holds codes[first[r]:first[r + 1]]): the
+    length of the longest match from it with a text of smaller `order`.
 
-    hit[i]: the WINDOW words from i occur earlier in the reference, at source[i].
+    The block's suffix array is sorted by doubling; the best source of a suffix is the
+    nearest one of smaller order before or after it there.
     """
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    # An end mark that equals nothing keeps a match inside its text.
+    of = np.searchsorted(first, np.arange(len(codes)), "right") - 1
+    ids = np.unique(codes, return_inverse=True)[1]
+    rank = np.empty(len(codes) + len(order), dtype=np.int64)
+    place = np.arange(len(codes)) + of
+    rank[place] = ids
+    rank[first[1:] + np.arange(len(order))] = len(codes) + np.arange(len(order))
+    n, step, levels = len(rank), 1, []
+    while True:
+        levels.append(rank.astype(np.int32))
+        if step > int(np.diff(first).max()):
+            break
+        after = np.zeros(n, dtype=np.int64)
+        after[:max(0, n - step)] = rank[step:] + 1
+        rank = np.unique(rank * (2 * n + 1) + after, return_inverse=True)[1]
+        step *= 2
+    suffixes = np.argsort(rank)
+    whose = np.full(n, np.iinfo(np.int32).max, dtype=np.int32)
+    whose[place] = np.unique(order, return_inverse=True)[1][of]
+    best = np.zeros(n, dtype=np.int64)
+    for sequence in (suffixes, suffixes[::-1]):
+        source = _nearest_smaller(whose[sequence])
+        a, b = sequence[source >= 0], sequence[source[source >= 0]]
+        size = np.zeros(len(a), dtype=np.int64)
+        for k in reversed(range(len(levels))):
+            x, y = a + size, b + size
+            inside = np.maximum(x, y) < n
+            same = np.zeros(len(a), dtype=bool)
+            same[inside] = levels[k][x[inside]] == levels[k][y[inside]]
+            size[same] += 1 << k
+        best[a] = np.maximum(best[a], size)
+    return best[place]
+
+
+def _nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a smaller value, or -1."""
+    minima = [values]
+    while (width := 1 << len(minima)) <= len(values):
+        last, half = minima[-1], width // 2
+        grown = last.copy()
+        grown[half:] = np.minimum(last[half:], last[:-half])
+        minima.append(grown)
+    at = np.arange(len(values)) - 1
+    for k in reversed(range(len(minima))):
+        whole = at >= (1 << k) - 1
+        larger = np.zeros(len(values), dtype=bool)
+        larger[whole] = minima[k][at[whole]] >= values[whole]
+        at[larger] -= 1 << k
+    return at
+
+
+def factor(longest: np.ndarray) -> list[tuple[int, int]]:
+    """The greedy factors of a text, given the longest match from each word; a word
+    without any is a factor of its own."""
+    sizes, out, i = longest.tolist(), [], 0
+    while i < len(sizes):
+        out.append((i, i + max(1, sizes[i])))
+        i = out[-1][1]
+    return out
+
+
+def duplicate_spans(longest: np.ndarray) -> list[tuple[int, int]]:
+    """The factors of at least WINDOW words, and the matches of as many that straddle
+    the end of a factor: together they cover every window that occurs earlier."""
     spans = []
-    starts = np.flatnonzero(hit[begin:end - WINDOW + 1]) + begin
-    i = begin
-    while (k := int(np.searchsorted(starts, i))) < len(starts):
-        s = int(starts[k])
-        p = int(source[s])
-        most = min(end - s, len(codes) - p)
-        same = codes[s:s + most] == codes[p:p + most]
-        size = most if same.all() else int(np.argmin(same))
-        spans.append((s, s + size))
-        i = max(s + 1, s + size - WINDOW + 1)
+    for a, b in factor(longest):
+        if b - a >= WINDOW:
+            spans.append((a, b))
+        edge = max(a, b - WINDOW + 1)
+        spans.extend((int(s), int(s + longest[s])) for s in np.flatnonzero(longest[edge:b] >= WINDOW) + edge)
     return spans
 
 
 def _parse_block(table: pa.Table) -> pa.Table:
-    """Factor the runs of one reference block, each against the earlier documents."""
-    table = table.sort_by("ord")
+    """Factor the texts of one reference block, each against the earlier ones. A content
+    that occurs again is factored a second time, for all its later copies (`late`)."""
+    again = np.flatnonzero(table["again"].to_numpy(zero_copy_only=False))
+    late = np.concatenate([np.zeros(table.num_rows, bool), np.ones(len(again), bool)])
+    table = table.take(pa.array(np.concatenate([np.arange(table.num_rows), again])))
     data, offsets = texts_of(table["words"])
     starts, ends, first = words_of(data, offsets)
-    codes = word_hashes(data, starts, ends)
-    order = table["ord"].to_numpy()
-    # A boundary word that equals nothing keeps factors inside their reference text.
-    where = np.searchsorted(first, np.arange(len(codes)), "right") - 1
-    shifted = np.full(len(codes) + len(order), 1, dtype=np.uint64)
-    shifted[np.arange(len(codes)) + where] = codes
-    shifted[first[1:] + np.arange(len(order))] = np.arange(len(order), dtype=np.uint64)
-    head = first[:-1] + np.arange(len(order))
-    size = np.diff(first)
-    grams = gram_hashes(shifted, WINDOW)
-    at = np.concatenate([np.arange(h, h + n - WINDOW + 1) for h, n in zip(head, size)])
-    of = np.repeat(np.arange(len(order)), size - WINDOW + 1)
-    _, earliest, which = np.unique(grams[at], return_index=True, return_inverse=True)
-    source = np.zeros(len(shifted), dtype=np.int64)
-    hit = np.zeros(len(shifted), dtype=bool)
-    source[at] = at[earliest[which]]
-    hit[at] = order[of[earliest[which]]] < order[of]
-    found = [(r, a - head[r], b - head[r]) for r in np.unique(of[hit[at]]) for a, b in factor(shifted, source, hit, int(head[r]), int(head[r] + size[r]))]
-    runs = table.select(["anchor", "lo", "hi"]).take(pa.array([f[0] for f in found], pa.int64()))
+    order = 2 * np.unique(table["ord"].to_numpy(), return_inverse=True)[1] + late
+    longest = longest_earlier(word_hashes(data, starts, ends), first, order)
+    found = [(r, a, b) for r in range(len(order)) if (longest[first[r]:first[r + 1]] >= WINDOW).any() for a, b in duplicate_spans(longest[first[r]:first[r + 1]])]
+    rows = np.array([f[0] for f in found], dtype=np.int64)
+    runs = table.select(["anchor", "lo", "hi"]).take(pa.array(rows)).append_column("late", pa.array(late[rows]))
     return runs.append_column("from", pa.array([f[1] for f in found], pa.int32())).append_column("to", pa.array([f[2] for f in found], pa.int32()))
 
 
@@ -147,16 +204,22 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
     scanned = written(rows.mapInArrow(_scan, f"key long, ord long, doc_id long, n_words long, sha string, runs array<{RUN}>"), "scanned")
     again = repeated_runs(scanned.select("key", "ord", F.explode("runs").alias("run")).select("key", "ord", "run.*"))
     kinds = written(classes(again), "classes")
-    copies = again.join(kinds.filter("times > 1").select("anchor", "lo", "hi", F.col("first.ord").alias("least")), ["anchor", "lo", "hi"]).filter("ord > least")
-    whole = copies.select("key", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual, crowded = by_load(kinds, CROWD)
-    texts = with_texts(rows.select("key", "text"), wanted_runs(usual)).mapInArrow(_runs, "anchor long, lo long, hi long, ord long, words binary")
-    parsed = texts.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).groupBy("block").applyInArrow(_parse_block, "anchor long, lo long, hi long, from int, to int")
+    usual, crowded = by_load(kinds, CROWD, "true")
+    words = usual.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BLOCK_WORDS))
+    texts = with_texts(rows.select("key", "text"), wanted_runs(usual, "times")).mapInArrow(_runs, "anchor long, lo long, hi long, ord long, again boolean, words binary")
+    parsed = texts.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).groupBy("block").applyInArrow(_parse_block, "anchor long, lo long, hi long, late boolean, from int, to int")
     windows = with_texts(rows.select("key", "text"), wanted_runs(crowded)).mapInArrow(_windows, WINDOW_ROW)
-    parsed = parsed.unionByName(repeated_of(windows, WINDOW, "ord > least"))
-    parsed = again.join(parsed, ["anchor", "lo", "hi"]).select("key", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
-    spans = whole.unionByName(parsed).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    parsed = parsed.unionByName(repeated_of(windows, WINDOW, "ord > least").withColumn("late", F.lit(False)))
+    # The later copies of a crowded anchor's content are duplicates as a whole.
+    end = (F.col("n") + WINDOW - 1).alias("to")
+    parsed = parsed.unionByName(crowded.filter("times > 1").select("anchor", "lo", "hi", F.lit(True).alias("late"), F.lit(0).alias("from"), end))
+    of_content = parsed.groupBy("anchor", "lo", "hi").agg(F.collect_set(F.struct("late", "from", "to")).alias("found"))
+    named = written(of_content.join(kinds.select("anchor", "lo", "hi", "times", F.col("first.ord").alias("least")), ["anchor", "lo", "hi"]), "parsed")
+    members = join_hot(again, named, ["anchor", "lo", "hi"], "times")
+    own = F.filter("found", lambda s: s["late"] == (F.col("ord") > F.col("least")))
+    parsed = members.select("key", "start", F.explode(own).alias("s")).select("key", (F.col("start") + F.col("s.from")).alias("a"), (F.col("start") + F.col("s.to")).alias("b"))
+    spans = parsed.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return rows, scanned.drop("runs"), written(spans, "spans")
 
 
