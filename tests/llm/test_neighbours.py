@@ -1,5 +1,6 @@
 """Near-duplicates, containment and nearest neighbours against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,6 +114,23 @@ def test_containment_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and want
 
 
+def test_items_of_every_size_are_found_up_to_what_they_may_lack(spark):
+    """Each item lacks as many shingles as it may in one document, one more in the next."""
+    rng = random.Random(9)
+    items, docs, want = [], [], set()
+    for n in range(1, 46):
+        item = [f"i{n}x{k}" for k in range(n + 4)]
+        items.append((n, " ".join(item)))
+        for more in (0, 1):
+            kept = n - n // 5 - more
+            tail = [f"t{rng.random()}" for _ in range(rng.choice([1, 60]))]
+            docs.append((2 * n + more, " ".join(tail + item[:kept + 4] + tail if kept else tail)))
+            if 100 * kept >= 80 * n:
+                want.add((2 * n + more, n, n, kept))
+    got = containment.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) == 45
+
+
 def test_decontamination_drops_only_what_holds_an_item(spark):
     rows = documents(6)
     docs = frame(spark, rows)

@@ -2,11 +2,15 @@
 
 DataFrame operations only. A text's set is its distinct 5-word shingles
 (lower-cased A-Z; a shorter text is one shingle, which only an equally short
-text can contain). An item's sketch is the `SKETCH` least hashes of its set. Each
-size class (powers of two) has a threshold under which the sketches of its items
-lie; the greatest of them serves all sizes: a document is probed once with its
-own hashes under it, against the sketches of all items. An item of which the document holds 0.8 escapes with probability
-0.2**SKETCH = 3e-6. Each candidate is verified by exact shingle containment.
+text can contain). An item's sketch is the least hashes of its set: one more than it may
+lack, so that a document which contains the item holds one of them, and `SKETCH` at
+most; from 40 shingles on an item escapes with probability 0.2**SKETCH = 3e-6.
+
+Items are partitioned by size (powers of two), and each class has a threshold under
+which the sketches of its items lie. A document searches the classes whose least item
+it is long enough to contain: with its hashes under the greatest of their thresholds,
+each emitted once, and against the sketches that its length admits. Each candidate is
+verified by exact shingle containment.
 
 Sketches reach the documents through a bitmap of fixed size (``holding``); what
 passes it is joined by shuffle, so neither the items nor a common passage need
@@ -52,16 +56,21 @@ def contained_items(docs: DataFrame, items: DataFrame, id: str = "doc_id", text:
     of which a document holds at least 80 per cent of the shingles."""
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_t")).distinct()
     wanted = with_shingles(wanted, "_t", "item").filter("size(item) > 0")
-    wanted = wanted.withColumn("size_class", F.floor(F.log2(F.size("item"))).cast("int")).withColumn("sketch", F.slice(F.sort_array("item"), 1, SKETCH))
+    lacking = F.floor(F.size("item") * (100 - CONTAINED) / 100).cast("int")
+    wanted = wanted.withColumn("size_class", F.floor(F.log2(F.size("item"))).cast("int")).withColumn("sketch", F.slice(F.sort_array("item"), 1, F.least(lacking + 1, F.lit(SKETCH))))
     wanted = written(wanted.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
     # One row for each size class (at most 32), so this stays on the driver.
-    reach = wanted.groupBy("size_class").agg(F.max(F.element_at("sketch", -1)).alias("threshold")).collect()
-    threshold = max((r["threshold"] for r in reach), default=-(2**63))
+    classes = wanted.groupBy("size_class").agg(F.min(F.size("item")).alias("least"), F.max(F.element_at("sketch", -1)).alias("threshold")).collect()
 
     rows = docs.select(row_key(id, text).alias("key"), F.col(id).alias("doc_id"), F.col(text).alias("_t"))
-    probes = with_shingles(rows.drop("doc_id"), "_t", "grams").select("key", F.explode(F.filter("grams", lambda g: g <= F.lit(threshold))).alias("gram"))
-    sketches = wanted.select("item_key", F.explode("sketch").alias("gram"))
-    pairs = written(holding(probes, sketches, "gram").join(sketches, "gram").select("key", "item_key").distinct(), "candidates")
+    held = F.size("grams")
+    long_enough = lambda item_size: held * 100 >= item_size * CONTAINED
+    limit = F.greatest(F.lit(-(2**63)), F.lit(None).cast("long"), *[F.when(long_enough(F.lit(c["least"])), F.lit(c["threshold"])) for c in classes])
+    sized = with_shingles(rows.drop("doc_id"), "_t", "grams").withColumn("limit", limit)
+    probes = sized.select("key", held.alias("held"), F.explode(F.filter("grams", lambda g: g <= F.col("limit"))).alias("gram"))
+    sketches = wanted.select("item_key", F.size("item").alias("item_size"), F.explode("sketch").alias("gram"))
+    met = holding(probes, sketches, "gram").join(sketches, "gram").filter(F.col("held") * 100 >= F.col("item_size") * CONTAINED)
+    pairs = written(met.select("key", "item_key").distinct(), "candidates")
     texts = with_shingles(holding(rows, pairs, "key").join(pairs.select("key").distinct(), "key").dropDuplicates(["key"]), "_t", "grams")
     common = F.size(F.array_intersect("item", "grams"))
     tested = pairs.join(wanted, "item_key").join(texts, "key").select("key", "doc_id", "item_id", F.size("item").cast("long").alias("n_shingles"), common.cast("long").alias("n_common"))
