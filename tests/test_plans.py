@@ -101,3 +101,19 @@ def test_a_common_word_of_a_batch_spans_tasks(spark):
     assert n == 2000
     joined = [line for line in plan.splitlines() if "SortMergeJoin" in line and "term" in line]
     assert len(joined) >= 2 and sum("salt" in line for line in joined) >= 2
+
+
+def test_pairs_of_a_batch_are_dealt_by_their_number(spark, monkeypatch):
+    """2,000 postings of few bytes that 20 queries ask: 40,000 pairs are never one task."""
+    from pyspark.sql import functions as F
+
+    from webloom.operators import search as S
+    from webloom.plans import batch_search as BS
+    monkeypatch.setattr(BS, "PAIRS_PER_TASK", 1000, raising=False)
+    docs = spark.range(2000).select(F.col("id").alias("url"), F.lit("the w").alias("text"))
+    queries = spark.createDataFrame([(q, "the w") for q in range(20)], "query_id int, q string")
+    scored = BS.batch_scores(S.build_index(docs), queries).withColumn("task", F.spark_partition_id())
+    rows = [r["count"] for r in scored.groupBy("task").count().collect()]
+    assert sum(rows) == 40_000 and max(rows) < 4000
+    want = S.score(S.build_index(docs), "the w").select(F.round("score", 9).alias("s")).distinct().collect()
+    assert scored.select(F.round("score", 9).alias("s")).distinct().collect() == want
