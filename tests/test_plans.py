@@ -117,3 +117,24 @@ def test_pairs_of_a_batch_are_dealt_by_their_number(spark, monkeypatch):
     assert sum(rows) == 40_000 and max(rows) < 4000
     want = S.score(S.build_index(docs), "the w").select(F.round("score", 9).alias("s")).distinct().collect()
     assert scored.select(F.round("score", 9).alias("s")).distinct().collect() == want
+
+
+def test_limited_requests_look_up_as_many_as_at_first(spark, tmp_path):
+    """200 hits of the request and 20 of each query of the batch are looked up."""
+    import duckdb
+
+    from webloom.plans import catalog, oracle
+    sf = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT i AS p_partkey, CASE WHEN i % 2 = 0 THEN 'red widget' ELSE 'blue widget' END AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, 1 AS p_size FROM range(1, 251) r(i)) TO '{sf}/part.parquet'")
+    duckdb.sql(f"COPY (SELECT i AS l_orderkey, 1 + i * 31 % 250 AS l_partkey, i % 10 AS l_suppkey, CAST(1 AS INTEGER) AS l_linenumber FROM range(1, 4001) r(i)) TO '{sf}/lineitem.parquet'")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = {}
+    for name in ("limited_analysis", "limited_batch_tables"):
+        df = getattr(catalog, name)(spark, sf)
+        found[name] = sorted(tuple(r) for r in df.collect())
+        assert found[name] == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle.SQL[name]})").fetchall())
+    few = con.execute(oracle._request(40, 50) + " SELECT count(*) FROM found").fetchall()[0][0]
+    assert len(found["limited_analysis"]) > few
+    assert len(found["limited_batch_tables"]) > 2 * 4
