@@ -66,3 +66,23 @@ def test_phrases_equal_the_text_scan(docs, blocks, q):
 def test_no_documents(spark, docs):
     none = BL.build_blocks(docs.limit(0), 0)
     assert BL.best(none, queries(spark, "the"), 5).collect() == [] and BL.search_phrase(none, "of the").collect() == []
+
+
+def test_what_queries_make_of_blocks_is_not_shuffled(spark, docs, blocks, tmp_path):
+    """Texts are dealt by cell, once, and no range is sampled; scores are summed where
+    the cell's blocks lie, in tasks dealt by their pairs."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    built = plan(BL.build_blocks(docs, 407, cell_docs=16))
+    assert built.count("Exchange") == built.count("Exchange hashpartitioning(cell") == 1
+    BL.write_blocks(BL.build_blocks(docs, 407, cell_docs=16), str(tmp_path / "b"), 8)
+    ranking = BL.Ranking(blocks, queries(spark, "the w1", "w2 w3 the"), 3)
+    summed = plan(ranking.scored(ranking.cells, 7))
+    assert "hashpartitioning(cell" in summed and "hashpartitioning(query_id" not in summed
+
+
+def test_rows_of_one_document_and_ids_that_are_null_or_names(spark):
+    rows = [("b", "x y x"), ("b", "x y x"), (None, "y x"), ("a", "y")]
+    got = {r.term: [(d.url, d.dl, d.tf, d.at) for d in r.docs] for r in BL.build_blocks(spark.createDataFrame(rows, "url string, text string"), 1, cell_docs=1).collect() if r.term in ("x",) for _ in [0]}
+    assert got["x"] in ([("b", 3, 4, [1, 1, 3, 3])], [(None, 2, 1, [2])])
+    each = sorted((r.term, r.n, r.max_tf, r.min_dl, r.sum_dl) for r in BL.build_blocks(spark.createDataFrame(rows, "url string, text string"), 1, cell_docs=1).collect())
+    assert each == [("", 1, 1, 1, 1), ("", 1, 1, 2, 2), ("", 1, 2, 3, 3), ("x", 1, 1, 2, 2), ("x", 1, 4, 3, 3), ("y", 1, 1, 1, 1), ("y", 1, 1, 2, 2), ("y", 1, 2, 3, 3)]
