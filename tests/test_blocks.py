@@ -86,3 +86,12 @@ def test_rows_of_one_document_and_ids_that_are_null_or_names(spark):
     assert got["x"] in ([("b", 3, 4, [1, 1, 3, 3])], [(None, 2, 1, [2])])
     each = sorted((r.term, r.n, r.max_tf, r.min_dl, r.sum_dl) for r in BL.build_blocks(spark.createDataFrame(rows, "url string, text string"), 1, cell_docs=1).collect())
     assert each == [("", 1, 1, 1, 1), ("", 1, 1, 2, 2), ("", 1, 2, 3, 3), ("x", 1, 1, 2, 2), ("x", 1, 4, 3, 3), ("y", 1, 1, 1, 1), ("y", 1, 1, 2, 2), ("y", 1, 2, 3, 3)]
+
+
+@pytest.mark.parametrize("url", [1, None])
+def test_rows_of_one_url_in_several_cells_are_one_result(spark, url):
+    rows = [(url, "x"), (url, "x " + "y " * 40), (2, "x z"), (3, "z")]
+    blocks = BL.build_blocks(spark.createDataFrame(rows, "url long, text string"), 4, cell_docs=4)
+    got = {r.url: r.score for r in BL.best(blocks, queries(spark, "x"), 5).collect()}
+    assert set(got) == {url, 2} and BL.best(blocks, queries(spark, "x"), 5).count() == 2
+    assert got[url] > got[2]

@@ -143,6 +143,10 @@ class Ranking:
         self.blocks, self.k, self.k1, self.b = blocks, k, k1, b
         terms = queries.select("query_id", "term").distinct()
         self.wanted = terms.select("term").distinct()
+        # Rows of one url that differ in length may lie in several cells: few urls, if any.
+        places = blocks.filter(F.col("term") == "").select(F.explode("docs.url").alias("parted")).groupBy("parted").agg(F.count(F.lit(1)).alias("n"))
+        self.parted = written_table(places.filter("n > 1").select("parted"), "parted")
+        self.is_parted = not self.parted.isEmpty()
         total = corpus(blocks)
         self.avgdl = total["avgdl"]
         df = blocks.select("term", "n").join(self.wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks"))
@@ -165,7 +169,8 @@ class Ranking:
 
     def scored(self, cells: DataFrame, tasks: int, few: bool = False) -> DataFrame:
         """``(query_id, url, score)`` of every match in these cells; a document's terms
-        lie in one cell, so no match is split over several. The blocks of other cells
+        lie in one cell, so no match is split over several, but where a url has rows in
+        several cells: these are summed apart from the others. The blocks of other cells
         are left out before the shuffle where the cells are ``few``."""
         asked = cells.groupBy("cell").agg(F.collect_set("query_id").alias("asked")).repartition(tasks, "cell")
         own = self.blocks.join(self.wanted, "term", "left_semi").select("term", "cell", *[F.col(f"docs.{c}").alias(c) for c in ("url", "dl", "tf")])
@@ -175,6 +180,10 @@ class Ranking:
         each = each.select("query_id", "cell", "idf", F.explode(F.arrays_zip("url", "dl", "tf")).alias("d"))
         part = _part(F.col("idf"), F.col("d.tf"), F.col("d.dl"), self.avgdl, self.k1, self.b)
         sums = each.select("query_id", "cell", F.col("d.url").alias("url"), part.alias("part")).groupBy("query_id", "cell", "url").agg(F.sum("part").alias("score"))
+        if self.is_parted:
+            several = F.col("url").eqNullSafe(F.col("parted"))
+            apart = sums.join(self.parted, several, "left_semi").groupBy("query_id", "url").agg(F.sum("score").alias("score"))
+            sums = sums.join(self.parted, several, "left_anti").select("query_id", "url", "score").unionByName(apart)
         return sums.select("query_id", "url", report_round("score").alias("score"))
 
     def _best(self, scores: DataFrame) -> DataFrame:
