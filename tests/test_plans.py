@@ -138,3 +138,47 @@ def test_limited_requests_look_up_as_many_as_at_first(spark, tmp_path):
     few = con.execute(oracle._request(40, 50) + " SELECT count(*) FROM found").fetchall()[0][0]
     assert len(found["limited_analysis"]) > few
     assert len(found["limited_batch_tables"]) > 2 * 4
+
+
+def test_tokens_of_a_common_word_meet_a_batch_in_many_tasks(spark):
+    """2,000 texts hold one asked word: without a broadcast its tokens are dealt by url, too."""
+    from pyspark.sql import functions as F
+
+    from webloom.operators import search as S
+    docs = spark.range(2000).select(F.col("id").alias("url"), F.lit("the the w").alias("text"))
+    terms = spark.createDataFrame([("the",)], "term string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.batch_postings(docs, terms)
+        plan = found._jdf.queryExecution().toString()
+        got = found.agg(F.count("url"), F.countDistinct("url"), F.min("dl"), F.max("dl"), F.min("tf"), F.max("tf")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tuple(got) == (2000, 2000, 3, 3, 2, 2)
+    joined = [line for line in plan.splitlines() if "SortMergeJoin" in line and "term" in line]
+    assert joined and all("salt" in line for line in joined)
+
+
+def test_terms_of_a_batch_plan_the_join_by_their_own_size(spark, tmp_path):
+    """A part table above the broadcast limit whose names hold a few words: its tokens
+    are not shuffled by word."""
+    from pyspark.sql import functions as F
+
+    from webloom.operators import graph as G
+    from webloom.plans import catalog as C
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("red widget").alias("p_name"),
+                               F.sha2(F.col("id").cast("string"), 512).alias("p_type"), F.lit("Brand#1").alias("p_brand")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = []
+    real = G.written_table
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        G.written_table = lambda df, prefix: plans.append((prefix, df._jdf.queryExecution().executedPlan().toString())) or real(df, prefix)
+        pages = spark.read.parquet(str(tmp_path / "part.parquet")).select(F.col("p_partkey").alias("url"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+        n = C._batch_postings(spark, str(tmp_path), G.LinkGraph(pages=pages, links=None)).count()
+    finally:
+        G.written_table = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert n == 40_000
+    assert "SortMergeJoin" not in dict(plans)["postings"] and "BroadcastHashJoin" in dict(plans)["postings"]
