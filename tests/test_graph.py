@@ -112,3 +112,29 @@ def test_rounds_end_once_nothing_moves(spark, mini_graph):
     far = {r.url: r.rank for r in G.pagerank(mini_graph, 64, checkpoint_every=8).collect()}
     near = {r.url: r.rank for r in G.pagerank(mini_graph, 500, checkpoint_every=8, until=1e-3).collect()}
     assert near.keys() == far.keys() and all(abs(near[k] - far[k]) < 0.02 for k in far)
+
+
+def test_many_links_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """3,000 links in one split: they are summed in pieces, once by pair and once by source."""
+    links = spark.range(3000, numPartitions=1).select((F.col("id") % 50).alias("url"), F.col("id").alias("pos"), (F.col("id") % 1000).alias("link"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans = []
+    real = G.written_table
+    monkeypatch.setattr(G, "written_table", lambda df, prefix: plans.append((prefix, df._jdf.queryExecution().executedPlan().toString())) or real(df, prefix))
+    dealt = G.build_edges(links, stored=True, rows_per_task=100)
+    assert dealt.cold.rdd.getNumPartitions() >= 30 and dealt.cold.rdd.getNumPartitions() % n == 0
+    pairs = dict(plans)["pairs"]
+    assert pairs.count("Exchange") == 1 and "REPARTITION_BY_NUM" in pairs and pairs.rindex("HashAggregate") < pairs.index("Exchange")
+    whole = G.build_edges(links, stored=True)
+    assert sorted(map(tuple, dealt.cold.collect())) == sorted(map(tuple, whole.cold.collect()))
+    assert sorted(map(tuple, dealt.degree.collect())) == sorted(map(tuple, whole.degree.collect()))
+
+
+def test_dealt_links_with_hot_sources_give_the_same_edges(spark):
+    """One source with most links, repeated links and null ends."""
+    rows = [(1, i, i % 70) for i in range(300)] + [(2, 0, 5), (2, 1, 5), (None, 0, 5), (3, 0, None), (3, 1, None)]
+    links = spark.createDataFrame(rows, "url long, pos long, link long")
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    got, want = [sorted(map(tuple, e.cold.unionByName(e.hot).collect()), key=key)
+                 for e in (G.build_edges(links, 10, 10, stored=True, rows_per_task=20), G.build_edges(links, 10, 10))]
+    assert got == want and len(got) == 72

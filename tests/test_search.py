@@ -90,6 +90,17 @@ def test_batch_postings_are_the_index_of_the_asked_terms(spark):
     assert got == [("a", 1, 4, 2), ("b", 1, 4, 1), ("b", 2, 2, 1)]
 
 
+def test_many_tokens_of_a_batch_are_dealt_over_tasks_by_their_number(spark):
+    """2,000 texts in one split: their 4,000 asked tokens are summed in pieces, not by split."""
+    from pyspark.sql import functions as F
+    docs = spark.range(2000, numPartitions=1).select(F.col("id").alias("url"), F.lit("the w the x").alias("text"))
+    terms = spark.createDataFrame([("the",), ("w",)], "term string")
+    found = S.batch_postings(docs, terms, rows_per_task=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() >= 60 and plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, S.batch_postings(docs, terms).collect()))
+
+
 def test_scores_are_equal_with_and_without_carried_lengths(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "B x"), (3, "c c c c d")], "url long, text string")
     lengths = S.text_lengths(docs)
